@@ -23,13 +23,14 @@ def round_sig(c, bits: int = SIG_BITS) -> Column:
     k = F.lit(bits - 1) - F.floor(F.log2(F.abs(c)))
     scale = F.pow(F.lit(2.0), k)
     r = F.floor(c * scale + 0.5).cast("double")
-    return F.when((c == 0) | (F.abs(c) < _TINY), c).otherwise(r / scale)
+    keep = F.isnan(c) | (F.abs(c) == F.lit(float("inf"))) | (c == 0) | (F.abs(c) < _TINY)
+    return F.when(keep, c).otherwise(r / scale)
 
 
 def sql_round_sig(expr: str, bits: int = SIG_BITS) -> str:
     x = f"({expr})"
     scale = f"pow(2.0, {bits - 1} - floor(log2(abs({x}))))"
-    return f"(CASE WHEN {x} = 0 OR abs({x}) < {_TINY} THEN {x} ELSE floor({x} * {scale} + 0.5) / {scale} END)"
+    return f"(CASE WHEN isnan({x}) OR isinf({x}) OR {x} = 0 OR abs({x}) < {_TINY} THEN {x} ELSE floor({x} * {scale} + 0.5) / {scale} END)"
 
 
 def stable_doubles(df: DataFrame, bits: int = SIG_BITS) -> DataFrame:

@@ -4,6 +4,7 @@ import importlib
 
 MODULES = (
     "feature_queries",
+    "application_queries",
 )
 
 

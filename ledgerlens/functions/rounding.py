@@ -45,3 +45,19 @@ def stable_doubles(df: DataFrame, bits: int = SIG_BITS) -> DataFrame:
         else:
             cols.append(ref)
     return df.select(*cols)
+
+
+def round_dec(c, decimals: int) -> Column:
+    """Half-up rounding to ``decimals`` places as ``floor(x * 10^n + 0.5) / 10^n``.
+
+    10^n is exact, so the result is the same in every IEEE engine (decimal
+    ``round`` implementations disagree on exact decimal ties).
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    scale = float(10 ** decimals)
+    return F.floor(c * scale + 0.5).cast("double") / scale
+
+
+def sql_round_dec(expr: str, decimals: int) -> str:
+    scale = float(10 ** decimals)
+    return f"(floor(({expr}) * {scale} + 0.5) / {scale})"

@@ -5,6 +5,7 @@ import importlib
 MODULES = (
     "feature_queries",
     "application_queries",
+    "monitoring_queries",
 )
 
 

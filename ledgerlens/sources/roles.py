@@ -376,7 +376,7 @@ SQL["predictions"] = f"""
            CAST(pos AS INTEGER) AS position, ts AS occurred_at,
            CASE WHEN event_type = 'purchase' THEN '/predict/batch' ELSE '/predict' END AS endpoint,
            CASE WHEN user_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS model_version,
-           {THRESHOLD} AS threshold,
+           CAST({THRESHOLD} AS DOUBLE) AS threshold,
            least((value + pos) / 100.0, 1.0) AS probability,
            CASE WHEN least((value + pos) / 100.0, 1.0) >= {THRESHOLD} THEN 'rejected' ELSE 'accepted' END AS decision,
            CAST(k + 300 AS INTEGER) AS features_provided,

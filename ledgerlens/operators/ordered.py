@@ -106,3 +106,19 @@ def percentile_cont(df: DataFrame, value_col: str, qs: list[float], group_cols:
         vlo, vhi = F.element_at("_m", lo), F.element_at("_m", hi)
         cols.append((vlo + (vhi - vlo) * (pos - lo)).alias(f"{prefix}{round(q * 100)}"))
     return out.select(*g, *cols)
+
+
+def ordered_running_min(df: DataFrame, order_col: str, value_col: str, group_cols: list[str] | tuple = (),
+                        buckets: int = BUCKETS, tiebreak: list[str] | tuple = ()) -> DataFrame:
+    """Add ``best_<value_col>`` = running minimum ("best so far") in ``order_col`` order."""
+    g = list(group_cols)
+    x = with_bucket(df, order_col, g, buckets)
+    tot = x.groupBy(*g, "_bucket").agg(F.min(value_col).alias("_bmin"))
+    w_b = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*g, "_bucket", F.min("_bmin").over(w_b).alias("_off"))
+    x = x.join(off, g + ["_bucket"], "inner")
+    w = (Window.partitionBy(*g, "_bucket").orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = F.min(value_col).over(w)
+    best = F.when(F.col("_off").isNull(), run).when(run.isNull(), F.col("_off")).otherwise(F.least(run, F.col("_off")))
+    return x.select("*", best.alias(f"best_{value_col}")).drop("_bucket", "_off")

@@ -6,6 +6,7 @@ MODULES = (
     "feature_queries",
     "application_queries",
     "monitoring_queries",
+    "evaluation_queries",
 )
 
 

@@ -7,6 +7,7 @@ MODULES = (
     "application_queries",
     "monitoring_queries",
     "evaluation_queries",
+    "drift_queries",
 )
 
 

@@ -8,6 +8,7 @@ MODULES = (
     "monitoring_queries",
     "evaluation_queries",
     "drift_queries",
+    "contract_queries",
 )
 
 

@@ -9,6 +9,7 @@ MODULES = (
     "evaluation_queries",
     "drift_queries",
     "contract_queries",
+    "quality_queries",
 )
 
 

@@ -10,6 +10,7 @@ MODULES = (
     "drift_queries",
     "contract_queries",
     "quality_queries",
+    "ml_queries",
 )
 
 

@@ -367,3 +367,13 @@ def escalation_alerts(spark, d):
                                         gap_alert.alias("refusal_alert"),
                                         ((F.col("n_significant") >= 2) | gap_alert).alias("alert"))
     return stable_doubles(out)
+
+
+@register("psi_bucket", _with(_base_ctes()) + """
+SELECT o.id, o.feature, len(list_filter(p.bounds, lambda x: x <= o.value)) AS class
+FROM prod o JOIN profile p USING (feature) WHERE o.value IS NOT NULL""")
+def psi_bucket(spark, d):
+    """class of each production value = number of sorted bounds <= value (broadcast profile)."""
+    prof = F.broadcast(_profile(spark, d).select("feature", "bounds"))
+    prod = _production(spark, d).filter(F.col("value").isNotNull()).join(prof, "feature")
+    return prod.select("id", "feature", D.class_of(F.col("bounds"), F.col("value")).cast("bigint").alias("class"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.columns import psi_band
 from ledgerlens.functions.rounding import round_dec
 from ledgerlens.operators.ordered import percentile_cont
+from ledgerlens.session import checkpointed
 
 # ---------------------------------------------------------------- fixed values
 # Inner deciles, floor of a class share inside the PSI, rounding of the stored
@@ -67,7 +68,8 @@ def class_shares(obs: DataFrame, bounds: DataFrame, group_cols: list[str] | tupl
 def reference_profile(obs: DataFrame, importance: DataFrame | None = None) -> DataFrame:
     """``(feature, bounds, proportions, missing, importance)``; a feature without any
     non-missing value has no deciles and is left out."""
-    bounds = decile_bounds(obs)
+    # one row per feature: written once so the later joins do not recompute the deciles
+    bounds = checkpointed(decile_bounds(obs))
     shares = class_shares(obs, bounds)
     props = shares.groupBy("feature").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("class", "share"))),
@@ -79,7 +81,7 @@ def reference_profile(obs: DataFrame, importance: DataFrame | None = None) -> Da
         prof = prof.join(importance, "feature", "left")
     else:
         prof = prof.withColumn("importance", F.lit(None).cast("double"))
-    return prof.select("feature", "bounds", "proportions", "missing", "importance")
+    return checkpointed(prof.select("feature", "bounds", "proportions", "missing", "importance"))
 
 
 def psi(obs: DataFrame, profile: DataFrame, group_cols: list[str] | tuple = ()) -> DataFrame:

@@ -86,3 +86,33 @@ def factorize(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     out = df.join(codes, _ref(column).eqNullSafe(F.col("_value")), "left")
     return out.withColumn(column, F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint")) \
               .drop("_value", "_code")
+
+
+def factorize_columns(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """``factorize`` of several low-cardinality columns with one aggregation.
+
+    The columns are stacked as ``(column, value, first position)``; one
+    ``groupBy(column, value)`` finds each value's first appearance. That table
+    has one row per distinct value (checked against ``MAX_CATEGORIES``), so it
+    is brought to the driver and turned into CASE expressions: no join back.
+    """
+    stacked = df.select(
+        F.struct(*[_ref(o) for o in order]).alias("_o"),
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _ref(c).cast("string").alias("v")) for c in columns]))
+        .alias("_e"))
+    firsts = (stacked.filter(F.col("_e.v").isNotNull())
+              .groupBy(F.col("_e.c").alias("c"), F.col("_e.v").alias("v")).agg(F.min("_o").alias("_o")))
+    rows = firsts.limit(MAX_CATEGORIES * len(columns) + 1).collect()
+    if len(rows) > MAX_CATEGORIES * len(columns):
+        raise ValueError("factorize_columns: too many distinct values for a code table")
+    out = []
+    for name in df.columns:
+        if name not in columns:
+            out.append(_ref(name))
+            continue
+        seen = sorted((tuple(r["_o"]), r["v"]) for r in rows if r["c"] == name)
+        code = F.lit(-1).cast("bigint")
+        for i, (_, v) in reversed(list(enumerate(seen))):
+            code = F.when(_ref(name).cast("string") == F.lit(v), F.lit(i).cast("bigint")).otherwise(code)
+        out.append(code.alias(name))
+    return df.select(*out)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate as E
 from ledgerlens.operators.sampling import hash_key, stratified_folds
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import checkpointed, ensure_checkpoint_dir
 
 LABEL = "label"
 WEIGHT = "weight"
@@ -43,7 +43,7 @@ def training_table(features: DataFrame, key: str, target: str, folds: int = 3) -
     weights = counts.crossJoin(F.broadcast(total)).select(LABEL, (F.col("_n") / (2.0 * F.col("_nc"))).alias(WEIGHT))
     lab = lab.join(F.broadcast(weights), LABEL)
     lab = stratified_folds(lab, LABEL, "id", folds)
-    lab = lab.checkpoint(eager=True)
+    lab = checkpointed(lab)
     # a column without any value cannot be imputed or learnt from: one aggregate finds them
     present = lab.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).first().asDict()
     cols = [c for c in cols if present[c] > 0]

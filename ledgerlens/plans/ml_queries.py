@@ -12,6 +12,7 @@ from ledgerlens.operators import evaluate as E
 from ledgerlens.operators import ml as M
 from ledgerlens.plans.feature_queries import build_feature_table
 from ledgerlens.plans.registry import register
+from ledgerlens.session import checkpointed
 
 KEY, TARGET = "SK_ID_CURR", "TARGET"
 VALIDATION_FOLD = 0
@@ -100,7 +101,7 @@ def permutation_importance(spark, d):
     """AUC drop on the validation fold when one of the top-gain features is permuted, 3 repeats."""
     train, cols, model = _boosted(spark, d)
     valid = train.filter("is_valid").drop("is_valid", "fold")
-    valid = valid.checkpoint(eager=True)
+    valid = checkpointed(valid)
 
     def auc_of(df):
         s = M.positive_probability(model.transform(df)).select(F.col(M.LABEL).cast("int").alias("y"), "p")

@@ -57,3 +57,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder (never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def checkpointed(df):
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage
+    (survives executor loss, unlike a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

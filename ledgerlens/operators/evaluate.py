@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordered import ordered_cumsum
+from ledgerlens.operators.ordered import attach, exact_percentiles, ordered_cumsum
 
 # ---------------------------------------------------------------- fixed values
 # Business cost weights (a missed default costs ten refused good customers), the
@@ -105,6 +105,9 @@ def compare_scores(a: DataFrame, b: DataFrame, id_col: str, pa: str, pb: str, th
     j = a.select(id_col, F.col(pa).alias("_a")).join(b.select(id_col, F.col(pb).alias("_b")), id_col, "inner")
     gap = F.abs(F.col("_a") - F.col("_b"))
     flip = (F.col("_a") >= threshold) != (F.col("_b") >= threshold)
-    return j.agg(F.max(gap).alias("max_gap"), F.avg(gap).alias("mean_gap"), F.percentile(gap, 0.99).alias("p99_gap"),
-                 F.count_if(gap > GAP_TOLERANCE).alias("n_gap_above_tol"), F.count_if(flip).alias("decision_flips"),
-                 F.count(F.lit(1)).alias("n"))
+    g = j.select(gap.alias("gap"), flip.alias("flip"))
+    agg = g.agg(F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"),
+                F.count_if(F.col("gap") > GAP_TOLERANCE).alias("n_gap_above_tol"),
+                F.count_if("flip").alias("decision_flips"), F.count(F.lit(1)).alias("n"))
+    out = attach(agg, exact_percentiles(g, "gap", {"p99_gap": 0.99}))
+    return out.select("max_gap", "mean_gap", "p99_gap", "n_gap_above_tol", "decision_flips", "n")

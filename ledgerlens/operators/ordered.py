@@ -122,3 +122,21 @@ def ordered_running_min(df: DataFrame, order_col: str, value_col: str, group_col
     run = F.min(value_col).over(w)
     best = F.when(F.col("_off").isNull(), run).when(run.isNull(), F.col("_off")).otherwise(F.least(run, F.col("_off")))
     return x.select("*", best.alias(f"best_{value_col}")).drop("_bucket", "_off")
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """Left join on ``keys``; with no keys, attach a one-row ``right`` to every row (NULLs if empty)."""
+    k = list(keys)
+    if k:
+        return left.join(right, k, "left")
+    return (left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one", "left")
+            .drop("_one"))
+
+
+def exact_percentiles(df: DataFrame, value_col: str, named_qs: dict[str, float],
+                      group_cols: list[str] | tuple = ()) -> DataFrame:
+    """Exact ``percentile_cont`` values per group under chosen names, e.g. ``{"p95_ms": 0.95}``.
+    Groups without any non-missing value are absent (attach them with a left join)."""
+    qs = list(named_qs.values())
+    out = percentile_cont(df, value_col, qs, group_cols, prefix="_q")
+    return out.select(*group_cols, *[F.col(f"_q{round(q * 100)}").alias(name) for name, q in named_qs.items()])

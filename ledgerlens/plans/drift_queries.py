@@ -11,6 +11,7 @@ from ledgerlens.functions.columns import psi_band, shift_clip
 from ledgerlens.functions.rounding import round_dec, round_sig, sql_round_dec, sql_round_sig, stable_doubles
 from ledgerlens.operators import drift as D
 from ledgerlens.operators import logs as L
+from ledgerlens.operators.ordered import attach, exact_percentiles
 from ledgerlens.operators.sampling import hash_key, sql_hash_key
 from ledgerlens.plans.registry import register
 from ledgerlens.sources import roles
@@ -312,8 +313,8 @@ def window_synthesis(spark, d):
     s = p.groupBy("window_label").agg(F.max("psi").alias("max_psi"), F.count_if(F.col("psi") >= 0.10).alias("n_drifted"))
     pred = roles.predictions(spark, d).filter(F.col("occurred_at") >= _cut())
     pred = pred.withColumn("window_label", F.when(F.col("occurred_at") < L.ts_literal(SPLIT), "B1").otherwise("B2"))
-    lg = pred.groupBy("window_label").agg(L.rejected_rate().alias("refusal_rate"),
-                                    F.percentile("latency_ms", 0.95).alias("p95_latency_ms"))
+    lg = pred.groupBy("window_label").agg(L.rejected_rate().alias("refusal_rate"))
+    lg = attach(lg, exact_percentiles(pred, "latency_ms", {"p95_latency_ms": 0.95}, ["window_label"]), ["window_label"])
     return stable_doubles(s.join(lg, "window_label"))
 
 

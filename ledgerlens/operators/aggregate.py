@@ -50,8 +50,43 @@ def output_name(prefix: str, col: str, stat: str) -> str:
     return f"{prefix}{col}_{stat.upper()}"
 
 
-def agg_columns(spec: dict[str, list[str]], prefix: str = "", where: Column | None = None) -> list[Column]:
-    """Aggregate expressions for ``groupBy(key).agg(*agg_columns(spec, prefix))``."""
+def stat_expr(col: str, stat: str, where: str | None = None) -> str:
+    """The same statistic as ``stat_column``, as Spark SQL text (one JVM call per column
+    when the plan is built, instead of one per sub-expression)."""
+    x = f"`{col}`"
+    if where is not None:
+        x = f"CASE WHEN {where} THEN {x} END"
+    if stat == "min":
+        out = f"CAST(min({x}) AS DOUBLE)"
+    elif stat == "max":
+        out = f"CAST(max({x}) AS DOUBLE)"
+    elif stat == "mean":
+        out = f"avg({x})"
+    elif stat == "var":
+        out = f"var_samp(CAST({x} AS DOUBLE))"
+    elif stat == "sum":
+        out = f"coalesce(CAST(sum({x}) AS DOUBLE), 0.0D)"
+    elif stat == "size":
+        out = "count(1)" if where is None else f"count_if({where})"
+    elif stat == "nunique":
+        out = f"count(DISTINCT {x})"
+    else:
+        raise ValueError(f"unknown statistic {stat!r}")
+    if where is not None and stat in ("sum", "size", "nunique"):
+        out = f"CASE WHEN count_if({where}) > 0 THEN {out} END"
+    return out
+
+
+def agg_columns(spec: dict[str, list[str]], prefix: str = "", where: Column | str | None = None) -> list[Column]:
+    """Aggregate expressions for ``groupBy(key).agg(*agg_columns(spec, prefix))``.
+
+    ``where`` may be a Column or Spark SQL text; with text (or none) the
+    expressions are built from SQL strings, which keeps plan construction cheap
+    for specifications with hundreds of statistics.
+    """
+    if where is None or isinstance(where, str):
+        return [F.expr(f"{stat_expr(col, stat, where)} AS `{output_name(prefix, col, stat)}`")
+                for col, stats in spec.items() for stat in stats]
     return [stat_column(col, stat, where).alias(output_name(prefix, col, stat))
             for col, stats in spec.items() for stat in stats]
 

@@ -65,15 +65,16 @@ def features_all_columns(spark, d):
     return _out(FT.card_features(roles.card_balance(spark, d)))
 
 
-def build_feature_table(spark, d):
+def build_feature_table(spark, d, finish=None):
     return FT.feature_table(roles.application(spark, d), roles.bureau(spark, d), roles.bureau_balance(spark, d),
                             roles.previous_application(spark, d), roles.pos_cash(spark, d),
-                            roles.installments(spark, d), roles.card_balance(spark, d))
+                            roles.installments(spark, d), roles.card_balance(spark, d), finish=finish)
 
 
 @register("feature_table", FS.feature_table_query())
 def feature_table(spark, d):
-    return stable_doubles(build_feature_table(spark, d))
+    """The full customer feature table (flagship)."""
+    return build_feature_table(spark, d, finish=lambda e: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)")
 
 
 # A1: the dictionary aggregation with every statistic it supports.

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.columns import (clip_low, inf_to_null_all, ne_null_safe, safe_ratio,
+from ledgerlens.functions.columns import (clip_low, inf_to_null, ne_null_safe, safe_ratio,
                                           sentinel_to_null)
 from ledgerlens.operators.aggregate import agg_columns, aggregate, output_names
 from ledgerlens.operators.encode import factorize_columns, indicator_name, one_hot
@@ -140,8 +140,8 @@ def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     spec = dict(BUREAU_NUM, **{c: ["mean"] for c in b_cat + bb_share})
     return accounts.groupBy(KEY).agg(
         *agg_columns(spec, "BURO_"),
-        *agg_columns(BUREAU_NUM, "ACTIVE_", where=_ref("CREDIT_ACTIVE_Active") == 1),
-        *agg_columns(BUREAU_NUM, "CLOSED_", where=_ref("CREDIT_ACTIVE_Closed") == 1),
+        *agg_columns(BUREAU_NUM, "ACTIVE_", where="`CREDIT_ACTIVE_Active` = 1"),
+        *agg_columns(BUREAU_NUM, "CLOSED_", where="`CREDIT_ACTIVE_Closed` = 1"),
     )
 
 
@@ -149,8 +149,8 @@ def bureau_subpopulations(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     """``ACTIVE_`` / ``CLOSED_`` aggregates in one conditional aggregation."""
     accounts, _, _ = bureau_accounts(bureau, balance)
     return accounts.groupBy(KEY).agg(
-        *agg_columns(BUREAU_NUM, "ACTIVE_", where=_ref("CREDIT_ACTIVE_Active") == 1),
-        *agg_columns(BUREAU_NUM, "CLOSED_", where=_ref("CREDIT_ACTIVE_Closed") == 1),
+        *agg_columns(BUREAU_NUM, "ACTIVE_", where="`CREDIT_ACTIVE_Active` = 1"),
+        *agg_columns(BUREAU_NUM, "CLOSED_", where="`CREDIT_ACTIVE_Closed` = 1"),
     )
 
 
@@ -172,8 +172,8 @@ def previous_features(prev: DataFrame) -> DataFrame:
     spec = dict(PREVIOUS_NUM, **{c: ["mean"] for c in cat})
     return df.groupBy(KEY).agg(
         *agg_columns(spec, "PREV_"),
-        *agg_columns(PREVIOUS_NUM, "APPROVED_", where=_ref("NAME_CONTRACT_STATUS_Approved") == 1),
-        *agg_columns(PREVIOUS_NUM, "REFUSED_", where=_ref("NAME_CONTRACT_STATUS_Refused") == 1),
+        *agg_columns(PREVIOUS_NUM, "APPROVED_", where="`NAME_CONTRACT_STATUS_Approved` = 1"),
+        *agg_columns(PREVIOUS_NUM, "REFUSED_", where="`NAME_CONTRACT_STATUS_Refused` = 1"),
     )
 
 
@@ -231,13 +231,30 @@ def sanitise_columns(df: DataFrame) -> DataFrame:
 
 
 def feature_table(app: DataFrame, bureau: DataFrame, balance: DataFrame, prev: DataFrame,
-                  pos: DataFrame, ins: DataFrame, card: DataFrame) -> DataFrame:
-    """One row per application; aggregates joined left so the row count is unchanged."""
+                  pos: DataFrame, ins: DataFrame, card: DataFrame, finish=None) -> DataFrame:
+    """One row per application; aggregates joined left so the row count is unchanged.
+
+    Names are sanitised and ±inf / NaN become NULL in one final projection;
+    ``finish`` (SQL text -> SQL text) is applied to every double column in the same
+    projection.
+    """
     df = application_features(app)
     for part in (bureau_features(bureau, balance), previous_features(prev), pos_features(pos),
                  instalment_features(ins), card_features(card)):
         df = df.join(part, KEY, "left")
-    return inf_to_null_all(sanitise_columns(df))
+    names = [sanitise_name(c) for c in df.columns]
+    if len(set(names)) != len(names):
+        raise ValueError("column names collide after sanitising")
+    # one projection built from SQL text: a single JVM call for a few hundred columns
+    exprs = []
+    for (name, dtype), new in zip(df.dtypes, names):
+        e = f"`{name}`"
+        if dtype in ("double", "float"):
+            e = f"CASE WHEN isnan({e}) OR abs({e}) = double('inf') THEN NULL ELSE CAST({e} AS DOUBLE) END"
+            if finish is not None:
+                e = finish(e)
+        exprs.append(f"{e} AS `{new}`")
+    return df.selectExpr(*exprs)
 
 
 def feature_family_sizes() -> dict[str, int]:

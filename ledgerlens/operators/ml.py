@@ -31,21 +31,24 @@ def numeric_features(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
 
 
 def training_table(features: DataFrame, key: str, target: str, folds: int = 3) -> tuple[DataFrame, list[str]]:
-    """Labelled rows with double features, class-balanced weights and a stratified fold column,
-    checkpointed once."""
+    """Labelled rows with double features, class-balanced weights and a stratified fold column.
+
+    The labelled projection is checkpointed first, so the feature aggregates are
+    computed once; weights and folds are then derived from the materialised rows
+    and the result is checkpointed for the repeated fits.
+    """
     ensure_checkpoint_dir(features.sparkSession)
     cols = numeric_features(features, (key, target))
-    lab = features.filter(F.col(target).isNotNull()).select(
-        F.col(key).alias("id"), F.col(target).cast("double").alias(LABEL),
-        *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    lab = features.filter(F.col(target).isNotNull()).selectExpr(
+        f"`{key}` AS id", f"CAST(`{target}` AS DOUBLE) AS {LABEL}", *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols])
+    lab = checkpointed(lab)
     counts = lab.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_nc"))
     total = counts.agg(F.sum("_nc").alias("_n"))
     weights = counts.crossJoin(F.broadcast(total)).select(LABEL, (F.col("_n") / (2.0 * F.col("_nc"))).alias(WEIGHT))
-    lab = lab.join(F.broadcast(weights), LABEL)
-    lab = stratified_folds(lab, LABEL, "id", folds)
+    lab = stratified_folds(lab.join(F.broadcast(weights), LABEL), LABEL, "id", folds)
     lab = checkpointed(lab)
     # a column without any value cannot be imputed or learnt from: one aggregate finds them
-    present = lab.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).first().asDict()
+    present = lab.agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in cols]).first().asDict()
     cols = [c for c in cols if present[c] > 0]
     return lab, cols
 
@@ -107,12 +110,19 @@ class BusinessCostEvaluator(Evaluator):
 
 
 def param_search(train: DataFrame, cols: list[str], reg_values=(0.001, 0.01, 0.1)) -> DataFrame:
-    """Grid search over the fold column with the cost evaluator; one row per candidate."""
+    """Grid search over the fold column with the cost evaluator; one row per candidate.
+
+    Imputation and scaling are fitted once on the training table and the
+    assembled vectors are checkpointed; the cross-validation then refits only
+    the classifier for each fold and candidate.
+    """
+    prep = Pipeline(stages=pipeline(cols, logistic(), scale=True).getStages()[:-1]).fit(train)
+    vectors = checkpointed(prep.transform(train).select("id", "fold", LABEL, WEIGHT, "features"))
     lr = logistic()
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_values)).build()
-    cv = CrossValidator(estimator=pipeline(cols, lr, scale=True), estimatorParamMaps=grid,
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid,
                         evaluator=BusinessCostEvaluator(), foldCol="fold", seed=42, parallelism=1)
-    model = cv.fit(train)
+    model = cv.fit(vectors)
     rows = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
     best = min(rows, key=lambda r: (r[1], r[0]))
     return train.sparkSession.createDataFrame(
@@ -125,6 +135,32 @@ def feature_importance(model: PipelineModel, cols: list[str]) -> list[tuple[str,
     return [(c, float(v)) for c, v in zip(cols, imp)]
 
 
+def permutation_partners(df: DataFrame, seed: int) -> DataFrame:
+    """``(id, partner)``: the row whose hash rank equals this row's id rank, i.e. a
+    seeded permutation of the rows built from two distributed rankings and a join."""
+    from ledgerlens.operators.ordered import row_numbers
+    by_id = row_numbers(df.select("id"), "id").withColumnRenamed("row_number", "_r")
+    by_hash = row_numbers(df.select("id").withColumn("_h", hash_key("id", seed)), "_h", tiebreak=["id"])
+    by_hash = by_hash.select(F.col("row_number").alias("_r"), F.col("id").alias("partner"))
+    return by_id.join(by_hash, "_r").select("id", "partner")
+
+
+def permuted_variants(df: DataFrame, features: list[str], seeds: list[int]) -> DataFrame:
+    """All (feature, repeat) variants of ``df`` with that one feature permuted, tagged with
+    ``perm_feature`` / ``perm_repeat``: one partner join per seed, then projections."""
+    out = None
+    for r, seed in enumerate(seeds, start=1):
+        pairs = permutation_partners(df, seed)
+        partner_vals = df.select(F.col("id").alias("partner"),
+                                 *[F.col(f"`{f}`").alias(f"_perm_{i}") for i, f in enumerate(features)])
+        joined = df.join(pairs, "id").join(partner_vals, "partner").drop("partner")
+        for i, f in enumerate(features):
+            cols = [F.col(f"_perm_{i}").alias(c) if c == f else F.col(f"`{c}`") for c in df.columns]
+            v = joined.select(*cols, F.lit(f).alias("perm_feature"), F.lit(r).alias("perm_repeat"))
+            out = v if out is None else out.unionByName(v)
+    return out
+
+
 def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
     """``column`` replaced by a seeded permutation of itself: rows ranked by id and by a hash
     are paired by rank through a join (no collection, no single-task sort)."""

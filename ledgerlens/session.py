@@ -64,3 +64,11 @@ def checkpointed(df):
     (survives executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_session_defaults(spark: SparkSession) -> None:
+    """Pin the settings the queries' semantics depend on (log timestamps are UTC wall-clock)
+    on a session created elsewhere, and make sure the checkpoint folder is known."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)

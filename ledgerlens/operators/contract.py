@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordered import scalar_fields
+
 # ---------------------------------------------------------------- fixed values
 # Prefixes of history aggregates, range rules (prefix, low, high; first match
 # wins, names ending in _PERC are exempt), minimum application coverage and the
@@ -76,18 +78,19 @@ def out_of_range(ent: DataFrame, contract: DataFrame) -> DataFrame:
 
 def coverage(ent: DataFrame, contract: DataFrame, records: DataFrame) -> DataFrame:
     """provided / missing counts and application / history ratios (NULL = not provided)."""
-    sizes = contract.agg(F.count_if(F.col("origin") == "application").alias("_na"),
-                         F.count_if(F.col("origin") == "history").alias("_nh"))
+    sizes = scalar_fields(contract.agg(F.count_if(F.col("origin") == "application").alias("_na"),
+                                       F.count_if(F.col("origin") == "history").alias("_nh")))
     hits = (ent.filter(F.col("value").isNotNull())
             .join(F.broadcast(contract.select("name", "origin")), "name")
             .groupBy(*KEYS).agg(F.count_if(F.col("origin") == "application").alias("_app"),
                                 F.count_if(F.col("origin") == "history").alias("_hist")))
-    base = records.select(*KEYS).join(hits, KEYS, "left").fillna(0, ["_app", "_hist"]).crossJoin(F.broadcast(sizes))
+    base = records.select(*KEYS).join(hits, KEYS, "left").fillna(0, ["_app", "_hist"])
+    na, nh = sizes["_na"], sizes["_nh"]
     return base.select(*KEYS,
                        (F.col("_app") + F.col("_hist")).cast("int").alias("provided"),
-                       (F.col("_na") + F.col("_nh") - F.col("_app") - F.col("_hist")).cast("int").alias("missing"),
-                       (F.col("_app") / F.col("_na")).alias("application_ratio"),
-                       (F.col("_hist") / F.col("_nh")).alias("history_ratio"))
+                       (na + nh - F.col("_app") - F.col("_hist")).cast("int").alias("missing"),
+                       (F.col("_app") / na).alias("application_ratio"),
+                       (F.col("_hist") / nh).alias("history_ratio"))
 
 
 def non_finite(ent: DataFrame) -> DataFrame:

@@ -59,22 +59,20 @@ def business_cost(scores: DataFrame, threshold: float = THRESHOLD, y: str = "y",
 def threshold_sweep(scores: DataFrame, thresholds: list[float] = SWEEP, y: str = "y", p: str = "p") -> DataFrame:
     """Confusion counts at every threshold in one pass.
 
-    Each row gets the number of grid thresholds it reaches (literal comparisons,
-    so no float-division boundary error); one aggregation by that bin gives at
-    most len(grid)+1 rows, and a reverse running sum over them gives the
-    predicted-positive counts at each threshold. No cross join with the grid.
+    One aggregation holds a pair of conditional counts per grid threshold
+    (literal comparisons, so no float-division boundary error); it is combined
+    map-side, so one row per task is shuffled. The one-row result is unpivoted
+    to one row per threshold. No join with the grid.
     """
-    bin_ = sum((F.col(p) >= F.lit(t)).cast("int") for t in thresholds)
-    by_bin = scores.groupBy(bin_.alias("_bin")).agg(F.count_if(F.col(y) == 1).alias("_pos"),
-                                                    F.count_if(F.col(y) != 1).alias("_neg"))
-    grid = scores.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thresholds)],
-                                               "_i int, threshold double")
-    # positives at threshold i = rows whose bin >= i (grid and bins are both tiny)
-    j = F.broadcast(grid).join(by_bin, F.col("_bin") >= F.col("_i"), "left")
-    pred_pos = j.groupBy("_i", "threshold").agg(F.coalesce(F.sum("_pos"), F.lit(0)).alias("tp"),
-                                               F.coalesce(F.sum("_neg"), F.lit(0)).alias("fp"))
-    totals = by_bin.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    out = pred_pos.crossJoin(totals).select(
+    pos = F.col(y) == 1
+    counts = [F.count_if(pos).alias("_P"), F.count_if(~pos).alias("_N")]
+    for i, t in enumerate(thresholds):
+        hit = F.col(p) >= F.lit(float(t))
+        counts += [F.count_if(pos & hit).alias(f"_tp{i}"), F.count_if(~pos & hit).alias(f"_fp{i}")]
+    per_threshold = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_tp{i}").alias("tp"),
+                                       F.col(f"_fp{i}").alias("fp")) for i, t in enumerate(thresholds)])
+    long = scores.agg(*counts).select("_P", "_N", F.inline(per_threshold))
+    out = long.select(
         "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
         (F.col("_P") - F.col("tp")).cast("bigint").alias("fn"), (F.col("_N") - F.col("fp")).cast("bigint").alias("tn"))
     return out.select("*", (COST_FN * F.col("fn") + COST_FP * F.col("fp")).alias("cost"))

@@ -43,8 +43,8 @@ def training_table(features: DataFrame, key: str, target: str, folds: int = 3) -
         f"`{key}` AS id", f"CAST(`{target}` AS DOUBLE) AS {LABEL}", *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols])
     lab = checkpointed(lab)
     counts = lab.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.agg(F.sum("_nc").alias("_n"))
-    weights = counts.crossJoin(F.broadcast(total)).select(LABEL, (F.col("_n") / (2.0 * F.col("_nc"))).alias(WEIGHT))
+    total = counts.agg(F.sum("_nc")).scalar()
+    weights = counts.select(LABEL, (total / (2.0 * F.col("_nc"))).alias(WEIGHT))
     lab = stratified_folds(lab.join(F.broadcast(weights), LABEL), LABEL, "id", folds)
     lab = checkpointed(lab)
     # a column without any value cannot be imputed or learnt from: one aggregate finds them

@@ -19,10 +19,24 @@ BUCKETS = 64
 MAX_COLLECTED_BOUNDS = 2_000_000
 
 
-def _bounds(df: DataFrame, order_col: str, group_cols: list[str], buckets: int) -> DataFrame:
+def scalar_fields(one_row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row DataFrame as scalar-subquery expressions.
+
+    Catalyst runs the subquery once (identical ones are merged and reused) and
+    inlines the value into the outer projection or filter: no join, no
+    broadcast of a table. An empty input gives NULLs; more than one row is an error.
+    """
+    s = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("_s")).scalar()
+    return {c: s.getField(c) for c in one_row.columns}
+
+
+def _bounds(df: DataFrame, order_col: str, group_cols: list[str], buckets: int) -> DataFrame | Column:
     probs = [i / buckets for i in range(1, buckets)]
     agg = F.array_distinct(F.percentile_approx(F.col(order_col), probs, 10000)).alias("_bounds")
-    b = df.groupBy(*group_cols).agg(agg) if group_cols else df.agg(agg)
+    if not group_cols:
+        # one array of at most buckets - 1 values, computed once and inlined
+        return df.agg(agg).scalar()
+    b = df.groupBy(*group_cols).agg(agg)
     max_groups = MAX_COLLECTED_BOUNDS // (buckets - 1)
     rows = b.limit(max_groups + 1).collect()
     if len(rows) <= max_groups:
@@ -34,7 +48,7 @@ def _bounds(df: DataFrame, order_col: str, group_cols: list[str], buckets: int)
 
 def with_bucket(df: DataFrame, order_col: str, group_cols: list[str], buckets: int = BUCKETS) -> DataFrame:
     b = _bounds(df, order_col, group_cols, buckets)
-    x = df.join(F.broadcast(b), group_cols, "inner") if group_cols else df.crossJoin(F.broadcast(b))
+    x = df.join(F.broadcast(b), group_cols, "inner") if group_cols else df.withColumn("_bounds", b)
     x = x.withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda v: v < F.col(order_col))))
     return x.drop("_bounds")
 
@@ -81,9 +95,13 @@ def values_at_ranks(df: DataFrame, value_col: str, ranks: Column, group_cols: li
     cum = ordered_cumsum(vals, value_col, ["_cnt"], g, buckets)
     cum = cum.select(*g, value_col, (F.col("cum__cnt") - F.col("_cnt")).alias("_lo"), F.col("cum__cnt").alias("_hi"))
     # each target rank falls in exactly one distinct-value interval [lo, hi)
-    hit = cum.join(targets, g, "inner") if g else cum.crossJoin(F.broadcast(targets))
-    hit = hit.filter((F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
-    return hit.select(*g, "rank", F.col(value_col).alias("value"))
+    if g:
+        hit = cum.join(targets, g, "inner").filter((F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
+        return hit.select(*g, "rank", F.col(value_col).alias("value"))
+    # one group: the few target ranks are one inlined array, matched per row without a join
+    cum = cum.withColumn("_ranks", targets.agg(F.collect_set("rank")).scalar())
+    inside = F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))
+    return cum.select(F.explode(inside).alias("rank"), F.col(value_col).alias("value"))
 
 
 def percentile_cont(df: DataFrame, value_col: str, qs: list[float], group_cols: list[str] | tuple = (),
@@ -98,7 +116,7 @@ def percentile_cont(df: DataFrame, value_col: str, qs: list[float], group_cols:
     at = values_at_ranks(df, value_col, F.array(*lo_hi).cast("array<bigint>"), g, buckets)
     sizes = (df.filter(F.col(value_col).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("n")))
     m = at.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
-    out = sizes.join(m, g, "inner") if g else sizes.crossJoin(m)
+    out = sizes.join(m, g, "inner") if g else m.withColumn("n", sizes.scalar())
     cols = []
     for q in qs:
         pos = (F.col("n") - 1) * F.lit(float(q))
@@ -125,12 +143,12 @@ def ordered_running_min(df: DataFrame, order_col: str, value_col: str, group_col
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
-    """Left join on ``keys``; with no keys, attach a one-row ``right`` to every row (NULLs if empty)."""
+    """Left join on ``keys``; with no keys, attach the columns of a one-row ``right`` to every
+    row as scalar subqueries (NULLs if empty)."""
     k = list(keys)
     if k:
         return left.join(right, k, "left")
-    return (left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one", "left")
-            .drop("_one"))
+    return left.select("*", *[v.alias(c) for c, v in scalar_fields(right).items()])
 
 
 def exact_percentiles(df: DataFrame, value_col: str, named_qs: dict[str, float],

@@ -49,9 +49,8 @@ def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int = 3, see
 def stratified_sample(df: DataFrame, label_col: str, id_col: str, size: int, seed: int = SEED) -> DataFrame:
     """Fixed-size sample with class shares kept: quota = floor(size * n_class / n + 0.5)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.agg(F.sum("_nc").alias("_n"))
-    quota = counts.crossJoin(F.broadcast(total)).select(
-        label_col, F.floor(F.lit(size) * F.col("_nc") / F.col("_n") + 0.5).alias("_quota"))
+    total = counts.agg(F.sum("_nc")).scalar()
+    quota = counts.select(label_col, F.floor(F.lit(size) * F.col("_nc") / total + 0.5).alias("_quota"))
     keyed = df.withColumn("_h", hash_key(id_col, seed))
     ranked = row_numbers(keyed, "_h", [label_col], tiebreak=[id_col])
     return (ranked.join(F.broadcast(quota), label_col)
@@ -61,7 +60,7 @@ def stratified_sample(df: DataFrame, label_col: str, id_col: str, size: int, see
 def holdout(df: DataFrame, id_col: str, train_share: float = 0.85, seed: int = SEED) -> DataFrame:
     """Random permutation by hash; the first ``floor(train_share * n)`` rows are ``train``."""
     keyed = df.withColumn("_h", hash_key(id_col, seed))
-    n = keyed.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = row_numbers(keyed, "_h", tiebreak=[id_col]).crossJoin(F.broadcast(n))
-    part = F.when(F.col("row_number") <= F.floor(F.lit(train_share) * F.col("_n")), "train").otherwise("valid")
-    return ranked.withColumn("part", part).drop("_h", "row_number", "_n")
+    n = keyed.agg(F.count(F.lit(1))).scalar()
+    ranked = row_numbers(keyed, "_h", tiebreak=[id_col])
+    part = F.when(F.col("row_number") <= F.floor(F.lit(train_share) * n), "train").otherwise("valid")
+    return ranked.withColumn("part", part).drop("_h", "row_number")

@@ -333,8 +333,8 @@ def verdict_data(spark, d):
     s = t.agg(F.count_if(F.col("psi") >= 0.25).alias("n_significant"),
               F.count_if((F.col("psi") >= 0.10) & (F.col("psi") < 0.25)).alias("n_moderate"),
               F.concat_ws(", ", F.array_sort(F.collect_list(F.when(F.col("psi") >= 0.25, F.col("feature"))))).alias("features"))
-    n = roles.predictions(spark, d).filter(F.col("occurred_at") >= _cut()).agg(F.count(F.lit(1)).alias("n_predictions"))
-    out = n.crossJoin(s)
+    n = roles.predictions(spark, d).filter(F.col("occurred_at") >= _cut()).agg(F.count(F.lit(1))).scalar()
+    out = s.withColumn("n_predictions", n)
     level = (F.when(F.col("n_predictions") < L.MIN_PREDICTIONS_PSI, "info")
              .when(F.col("n_significant") > 0, "warning").otherwise("ok"))
     return out.select("n_predictions", "n_significant", "n_moderate", level.alias("level"), "features")

@@ -225,9 +225,8 @@ def cumulative_share(spark, d):
     t = o.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
     t = t.select("o_custkey", "total", (-F.col("total").cast("double")).alias("_desc"), F.lit(1).cast("bigint").alias("_one"))
     c = ordered_cumsum(t, "_desc", ["total", "_one"], tiebreak=["o_custkey"])
-    grand = t.agg(F.sum("total").alias("_grand"))
-    c = c.crossJoin(F.broadcast(grand))
-    share = F.col("cum_total").cast("double") / F.col("_grand").cast("double")
+    grand = t.agg(F.sum("total")).scalar()
+    share = F.col("cum_total").cast("double") / grand.cast("double")
     return stable_doubles(c.select("o_custkey", F.col("total").cast("double").alias("total"),
                                    F.col("cum__one").alias("rank"), share.alias("cum_share")))
 
@@ -311,8 +310,8 @@ SELECT c_nationkey, """ + R("gap") + """ AS gap, row_number() OVER (ORDER BY abs
 def sort_by_abs_gap(spark, d):
     """K1: sort by absolute value of a gap, key as tie-break (window on the small grouped table)."""
     c = scan(spark, d, "customer", ["c_nationkey", "c_acctbal"])
-    overall = c.agg(F.avg("c_acctbal").alias("_all"))
-    g = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("_m")).crossJoin(F.broadcast(overall))
-    g = g.select("c_nationkey", (F.col("_m") - F.col("_all")).alias("gap"))
+    overall = c.agg(F.avg("c_acctbal")).scalar()
+    g = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("_m"))
+    g = g.select("c_nationkey", (F.col("_m") - overall).alias("gap"))
     w = Window.orderBy(F.abs(F.col("gap")).desc(), "c_nationkey")
     return stable_doubles(g.select("c_nationkey", "gap", F.row_number().over(w).cast("bigint").alias("rank")))

@@ -109,12 +109,11 @@ def permutation_importance(spark, d):
         s = M.positive_probability(model.transform(df)).select(*groups, F.col(M.LABEL).cast("int").alias("y"), "p")
         return E.auc_rank(checkpointed(s), group_cols=groups)
 
-    base = scored(valid, []).select(F.col("auc").alias("base_auc"))
+    base_auc = scored(valid, []).select("auc").scalar()   # one-row baseline, inlined
     variants = M.permuted_variants(valid, top, [100 + r for r in range(REPEATS)])
     per = scored(variants, ["perm_feature", "perm_repeat"])
-    out = per.crossJoin(F.broadcast(base))   # one-row baseline
-    return out.select(F.col("perm_feature").alias("feature"), F.col("perm_repeat").alias("repeat"),
-                      (F.col("base_auc") - F.col("auc")).alias("auc_drop"))
+    return per.select(F.col("perm_feature").alias("feature"), F.col("perm_repeat").alias("repeat"),
+                      (base_auc - F.col("auc")).alias("auc_drop"))
 
 
 @register("score_batch")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import psi_band
 from ledgerlens.functions.rounding import round_dec
-from ledgerlens.operators.ordered import percentile_cont
+from ledgerlens.operators.ordered import MAX_SORTED_GROUP, percentile_cont, percentile_cont_bounded
 from ledgerlens.session import checkpointed
 
 # ---------------------------------------------------------------- fixed values
@@ -38,9 +38,16 @@ def class_of(bounds: Column, value: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: b <= value))
 
 
-def decile_bounds(obs: DataFrame) -> DataFrame:
-    """Inner deciles (linear interpolation) of the non-missing values, de-duplicated and sorted."""
-    q = percentile_cont(obs, "value", DECILES, ["feature"], prefix="q")
+def decile_bounds(obs: DataFrame, max_rows_per_feature: int | None = None) -> DataFrame:
+    """Inner deciles (linear interpolation) of the non-missing values, de-duplicated and sorted.
+
+    ``max_rows_per_feature`` states a proven bound on the rows of one feature (a
+    fixed-size sample); small enough, each feature is sorted in one aggregation,
+    otherwise the distributed prefix-sum percentile is used."""
+    if max_rows_per_feature is not None and max_rows_per_feature <= MAX_SORTED_GROUP:
+        q = percentile_cont_bounded(obs, "value", DECILES, ["feature"], max_rows_per_feature, prefix="q")
+    else:
+        q = percentile_cont(obs, "value", DECILES, ["feature"], prefix="q")
     cols = [F.col(f"q{round(p * 100)}") for p in DECILES]
     return q.select("feature", F.array_sort(F.array_distinct(F.array(*cols))).alias("bounds"))
 
@@ -65,11 +72,15 @@ def class_shares(obs: DataFrame, bounds: DataFrame, group_cols: list[str] | tupl
     return full.select(*g, "feature", F.col("class").cast("int").alias("class"), share.alias("share"), "n_values")
 
 
-def reference_profile(obs: DataFrame, importance: DataFrame | None = None) -> DataFrame:
+def reference_profile(obs: DataFrame, importance: DataFrame | None = None,
+                      max_rows_per_feature: int | None = None) -> DataFrame:
     """``(feature, bounds, proportions, missing, importance)``; a feature without any
-    non-missing value has no deciles and is left out."""
-    # one row per feature: written once so the later joins do not recompute the deciles
-    bounds = checkpointed(decile_bounds(obs))
+    non-missing value has no deciles and is left out. ``max_rows_per_feature``: see
+    ``decile_bounds``."""
+    bounds = decile_bounds(obs, max_rows_per_feature)
+    if max_rows_per_feature is None or max_rows_per_feature > MAX_SORTED_GROUP:
+        # one row per feature: written once so the later joins do not recompute the deciles
+        bounds = checkpointed(bounds)
     shares = class_shares(obs, bounds)
     props = shares.groupBy("feature").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("class", "share"))),

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 # Bounds are brought to the driver (deterministic reuse) up to this many values.
 MAX_COLLECTED_BOUNDS = 2_000_000
+# Largest group sorted inside one aggregation buffer by percentile_cont_bounded.
+MAX_SORTED_GROUP = 1_000_000
 
 
 def scalar_fields(one_row: DataFrame) -> dict[str, Column]:
@@ -126,6 +128,25 @@ def percentile_cont(df: DataFrame, value_col: str, qs: list[float], group_cols:
     return out.select(*g, *cols)
 
 
+def percentile_cont_bounded(df: DataFrame, value_col: str, qs: list[float], group_cols: list[str] | tuple,
+                            max_group_rows: int, prefix: str = "p") -> DataFrame:
+    """``percentile_cont`` for groups whose size has a proven bound (e.g. a fixed-size sample):
+    one aggregation sorts each group's values in one array (at most ``max_group_rows``
+    values, checked against ``MAX_SORTED_GROUP``) and interpolates as ``percentile_cont``."""
+    if max_group_rows > MAX_SORTED_GROUP:
+        raise ValueError(f"groups of up to {max_group_rows} rows: use percentile_cont")
+    g = list(group_cols)
+    vals = F.array_sort(F.collect_list(F.col(value_col))).alias("_v")   # NULLs are not collected
+    out = df.groupBy(*g).agg(vals).withColumn("n", F.size("_v"))
+    cols = []
+    for q in qs:
+        pos = (F.col("n") - 1) * F.lit(float(q))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        vlo, vhi = F.element_at("_v", (lo + 1).cast("int")), F.element_at("_v", (hi + 1).cast("int"))
+        cols.append(F.when(F.col("n") > 0, vlo + (vhi - vlo) * (pos - lo)).alias(f"{prefix}{round(q * 100)}"))
+    return out.filter(F.col("n") > 0).select(*g, *cols)
+
+
 def ordered_running_min(df: DataFrame, order_col: str, value_col: str, group_cols: list[str] | tuple = (),
                         buckets: int = BUCKETS, tiebreak: list[str] | tuple = ()) -> DataFrame:
     """Add ``best_<value_col>`` = running minimum ("best so far") in ``order_col`` order."""

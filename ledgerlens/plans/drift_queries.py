@@ -14,6 +14,7 @@ from ledgerlens.operators import logs as L
 from ledgerlens.operators.ordered import attach, exact_percentiles
 from ledgerlens.operators.sampling import hash_key, sql_hash_key
 from ledgerlens.plans.registry import register
+from ledgerlens.session import checkpointed
 from ledgerlens.sources import roles
 from ledgerlens.sources.roles import WINDOW_CUT, with_roles
 
@@ -68,8 +69,10 @@ def _importance(ref):
 
 
 def _profile(spark, d):
-    ref = _reference(spark, d)
-    return D.reference_profile(ref, _importance(ref))
+    # the sample (REFERENCE_SAMPLE rows x features) is written once: the deciles, shares,
+    # missing rates and importances below each read it instead of re-deriving it from the log
+    ref = checkpointed(_reference(spark, d))
+    return D.reference_profile(ref, _importance(ref), max_rows_per_feature=REFERENCE_SAMPLE)
 
 
 # ---------------------------------------------------------------- SQL side
@@ -234,14 +237,14 @@ FROM hv JOIN sv USING (feature)"""
 def drift_self_check(spark, d):
     """The instrument itself: one half of the reference against a profile of the
     other half must be stable; the reference with one feature shifted must drift."""
-    ref = _reference(spark, d)
+    ref = checkpointed(_reference(spark, d))
     h = hash_key("id")
     half1, half2 = ref.filter(h % 2 == 0), ref.filter(h % 2 != 0)
-    prof1 = D.reference_profile(half1)
+    prof1 = D.reference_profile(half1, max_rows_per_feature=REFERENCE_SAMPLE)
     halves = D.psi(half2, prof1).select("feature", F.col("psi").alias("psi_halves"), F.col("band").alias("band_halves"))
     shifted = ref.withColumn("value", F.when(F.col("feature") == SHIFTED_FEATURE, shift_clip("value", SHIFT))
                              .otherwise(F.col("value")))
-    sv = D.psi(shifted, D.reference_profile(ref)).select("feature", F.col("psi").alias("psi_shifted"),
+    sv = D.psi(shifted, D.reference_profile(ref, max_rows_per_feature=REFERENCE_SAMPLE)).select("feature", F.col("psi").alias("psi_shifted"),
                                                           F.col("band").alias("band_shifted"))
     return halves.join(sv, "feature")
 

@@ -57,3 +57,15 @@ def test_running_min(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([5.0, None, 3.0, 4.0, 1.0, 2.0])], "n long, v double")
     got = [r.best_v for r in ordered_running_min(df, "n", "v").orderBy("n").collect()]
     assert got == [5.0, 5.0, 3.0, 3.0, 1.0, 1.0]
+
+
+def test_bounded_percentile_matches_distributed(spark):
+    from ledgerlens.operators.ordered import percentile_cont, percentile_cont_bounded
+    rows = [("a", float(v)) for v in (5, 1, 1, 3, 9, 2, 2, 7)] + [("b", 4.0), ("b", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.1, 0.25, 0.5, 0.9]
+    exact = {r["g"]: r.asDict() for r in percentile_cont(df, "x", qs, ["g"]).collect()}
+    small = {r["g"]: r.asDict() for r in percentile_cont_bounded(df, "x", qs, ["g"], 100).collect()}
+    assert exact == small
+    assert set(small) == {"a", "b"}          # a group without values is absent in both
+    assert small["b"]["p50"] == 4.0

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 BUCKETS = 64
 # Bounds are brought to the driver (deterministic reuse) up to this many values.
@@ -36,8 +37,13 @@ def _bounds(df: DataFrame, order_col: str, group_cols: list[str], buckets: int)
     probs = [i / buckets for i in range(1, buckets)]
     agg = F.array_distinct(F.percentile_approx(F.col(order_col), probs, 10000)).alias("_bounds")
     if not group_cols:
-        # one array of at most buckets - 1 values, computed once and inlined
-        return df.agg(agg).scalar()
+        # one array of at most buckets - 1 values: fetched once and inlined as a literal,
+        # so every use in the plan sees the same bounds and no subquery nests in another
+        values = df.agg(agg).first()[0]
+        typ = ArrayType(df.schema[order_col].dataType)
+        if values is None:
+            return F.lit(None).cast(typ)
+        return F.array(*[F.lit(v) for v in values]).cast(typ)
     b = df.groupBy(*group_cols).agg(agg)
     max_groups = MAX_COLLECTED_BOUNDS // (buckets - 1)
     rows = b.limit(max_groups + 1).collect()

@@ -69,3 +69,13 @@ def test_bounded_percentile_matches_distributed(spark):
     assert exact == small
     assert set(small) == {"a", "b"}          # a group without values is absent in both
     assert small["b"]["p50"] == 4.0
+
+
+def test_ungrouped_percentiles_of_empty_and_tied_input(spark):
+    from ledgerlens.operators.ordered import exact_percentiles
+    empty = spark.createDataFrame([], "x double")
+    rows = exact_percentiles(empty, "x", {"p50": 0.5}).collect()
+    assert [r["p50"] for r in rows] in ([], [None])
+    tied = spark.createDataFrame([(1.0,)] * 5 + [(3.0,)], "x double")
+    r = exact_percentiles(tied, "x", {"p50": 0.5, "p90": 0.9}).collect()[0]
+    assert r["p50"] == 1.0 and abs(r["p90"] - 2.0) < 1e-12

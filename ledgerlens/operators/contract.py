@@ -107,23 +107,45 @@ def bounded_list(names: Column, limit: int = MAX_LISTED) -> Column:
 
 
 def validate(records: DataFrame, contract: DataFrame) -> DataFrame:
-    """Verdict per record with precedence non-finite -> unknown -> range -> coverage."""
-    ent = entries(records)
-    unk = unknown_names(ent, contract)
-    rng = out_of_range(ent, contract)
-    cov = coverage(ent, contract, records)
-    fin = non_finite(ent)
-    v = cov.join(unk, KEYS, "left").join(rng, KEYS, "left").join(fin, KEYS, "left")
-    reason = (F.when(F.coalesce(F.col("n_non_finite"), F.lit(0)) > 0, "non_finite")
-              .when(F.size(F.coalesce("unknown", F.array().cast("array<string>"))) > 0, "unknown")
-              .when(F.size(F.coalesce("problems", F.array().cast("array<string>"))) > 0, "range")
-              .when(F.col("application_ratio") < MIN_APPLICATION_COVERAGE, "coverage"))
+    """Verdict per record with precedence non-finite -> unknown -> range -> coverage.
+
+    One pass: the entries are left-joined once to the broadcast contract, and every
+    component (unknown names, range problems, coverage counts, non-finite values) is a
+    conditional aggregate of the same ``groupBy`` on the record key. A record with an
+    empty payload keeps one row through ``explode_outer``.
+    """
+    sizes = scalar_fields(contract.agg(F.count_if(F.col("origin") == "application").alias("_na"),
+                                       F.count_if(F.col("origin") == "history").alias("_nh")))
+    rules = contract.select("name", "origin", "low", "high", "reason", F.lit(True).alias("_known"))
+    ent = records.select(*KEYS, F.explode_outer(F.col("features")).alias("name", "value"))
+    j = ent.join(F.broadcast(rules), "name", "left")
+    name, value = F.col("name"), F.col("value")
+    known, present = F.col("_known").isNotNull(), value.isNotNull()
+    outside = (F.col("low").isNotNull() & (value < F.col("low"))) | (F.col("high").isNotNull() & (value > F.col("high")))
+    bad = known & present & F.col("reason").isNotNull() & outside
+    msg = F.concat(name, F.lit("="), value.cast("string"), F.lit(" ("), F.col("reason"), F.lit(")"))
+    agg = j.groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list(F.when(name.isNotNull() & ~known, name))).alias("unknown"),
+        F.transform(F.array_sort(F.collect_list(F.when(bad, F.struct(name, msg.alias("m"))))),
+                    lambda e: e.getField("m")).alias("problems"),
+        F.count_if(known & present & (F.col("origin") == "application")).alias("_app"),
+        F.count_if(known & present & (F.col("origin") == "history")).alias("_hist"),
+        F.count_if(F.isnan(value) | (F.abs(value) == F.lit(float("inf")))).alias("n_non_finite"))
+    na, nh = sizes["_na"], sizes["_nh"]
+    application_ratio = F.col("_app") / na
+    reason = (F.when(F.col("n_non_finite") > 0, "non_finite")
+              .when(F.size("unknown") > 0, "unknown")
+              .when(F.size("problems") > 0, "range")
+              .when(application_ratio < MIN_APPLICATION_COVERAGE, "coverage"))
     message = (F.when(reason == "unknown", F.concat(F.lit("unknown features: "), bounded_list(F.col("unknown"))))
                .when(reason == "range", F.concat(F.lit("out of range: "), bounded_list(F.col("problems"))))
                .when(reason == "coverage", F.lit("application coverage below the minimum"))
                .when(reason == "non_finite", F.lit("non-finite values")))
-    return v.select(*KEYS, "provided", "missing", "application_ratio", "history_ratio",
-                    reason.alias("reject_reason"), message.alias("message"))
+    return agg.select(*KEYS,
+                      (F.col("_app") + F.col("_hist")).cast("int").alias("provided"),
+                      (na + nh - F.col("_app") - F.col("_hist")).cast("int").alias("missing"),
+                      application_ratio.alias("application_ratio"), (F.col("_hist") / nh).alias("history_ratio"),
+                      reason.alias("reject_reason"), message.alias("message"))
 
 
 def validate_batches(verdicts: DataFrame) -> DataFrame:

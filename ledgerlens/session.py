@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings the operators rely on: UTC time zone (log timestamps are UTC),
 # ANSI arithmetic (division by zero is handled explicitly by safe_ratio), AQE for
@@ -47,10 +48,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only when unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Unset, a folder is made only for a ``local`` master, whose driver is its only executor; on a
+    cluster a driver-local folder would be invisible to the executors, so that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
@@ -58,18 +66,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder (never a machine-local temp dir)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A path (or URI) under the shared checkpoint folder, never a machine-local one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
-def checkpointed(df):
+def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage
     (survives executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and read it back.
+
+    Like ``checkpointed`` it cuts the lineage and survives lost executors; the table is columnar,
+    so later uses read only the columns they need and the planner knows its size.
+    """
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_session_defaults(spark: SparkSession) -> None:
     """Pin the settings the queries' semantics depend on (log timestamps are UTC wall-clock)
     on a session created elsewhere, and make sure the checkpoint folder is known."""

@@ -48,14 +48,16 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str],
     return out.drop(*_KEYS, *[f"_b_{c}" for c in sums])
 
 
-def carried_forward(df: DataFrame, order: Sequence[str], value: str, out: str,
+def carried_forward(df: DataFrame, order: Sequence[str], values: dict[str, str],
                     groups: Sequence[str] = ()) -> DataFrame:
-    """Add ``out``: the last non-null ``value`` at or before each row in ``order`` within ``groups``
-    (the right-hand side of an as-of join, once both sides are in one table)."""
+    """Add, for each ``out: value`` of ``values``, the last non-null ``value`` at or before each row in
+    ``order`` within ``groups`` (the right-hand side of an as-of join, once both sides are in one table)."""
     rows = range_bucketed(df, order, groups)
     inside, earlier = _windows(order)
-    present = F.when(F.col(value).isNotNull(), F.struct(*order))
-    ends = rows.groupBy(*_KEYS).agg(F.max_by(value, present).alias("_end"))
-    before = ends.select(*_KEYS, F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
-    here = F.last(value, ignorenulls=True).over(inside)
-    return rows.join(before, _KEYS).withColumn(out, F.coalesce(here, F.col("_before"))).drop(*_KEYS, "_before")
+    ends = rows.groupBy(*_KEYS).agg(*[
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_e_{out}") for out, v in values.items()])
+    before = ends.select(*_KEYS, *[F.last(f"_e_{out}", ignorenulls=True).over(earlier).alias(f"_b_{out}")
+                                   for out in values])
+    out = rows.join(before, _KEYS).withColumns(
+        {o: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_b_{o}")) for o, v in values.items()})
+    return out.drop(*_KEYS, *[f"_b_{o}" for o in values])

@@ -25,7 +25,7 @@ def test_running_totals_equal_a_window(spark):
 
 def test_carried_forward_equals_a_window(spark):
     df = _rows(spark)
-    got = {r.id: r.last_v for r in carried_forward(df, ["id"], "v", "last_v", ["g"]).collect()}
+    got = {r.id: r.last_v for r in carried_forward(df, ["id"], {"last_v": "v"}, ["g"]).collect()}
     w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     want = {r.id: r.c for r in df.select("id", F.last("v", ignorenulls=True).over(w).alias("c")).collect()}
     assert got == want

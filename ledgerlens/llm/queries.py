@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.mixing import mix_sources
+from ledgerlens.llm.multiset_fingerprint import fingerprint_edits
 from ledgerlens.llm.text import table
 from ledgerlens.llm.url_rules import judge_urls
 
@@ -77,3 +78,8 @@ FROM dealt GROUP BY doc_id
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op4_multiset_fingerprint")
+def op4_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -9,6 +9,7 @@ from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.multiset_fingerprint import fingerprint_edits
 from ledgerlens.llm.text import table
 from ledgerlens.llm.url_rules import judge_urls
+from ledgerlens.llm.warc import captures_of_pages, headers_text, resolve_revisits
 
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -83,3 +84,51 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_multiset_fingerprint")
 def op4_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query("op10_revisit_resolution", r"""
+WITH pieces AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, regexp_extract(url, '://([^#]*)', 1) AS rest FROM pages),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(
+           translate(regexp_extract(rest, '^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '^.*@', ''), ':(80|443)$', ''), '^www[.]', '') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/(index[.]html?)?$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(ref|utm_[a-z]+|gclid|fbclid|sessionid|sid)(=|$)'))), '&') AS query
+  FROM pieces),
+canon AS (
+  SELECT page_id, md5(html) AS tag, sha256(html) AS digest, strlen(html) AS n_bytes,
+         1700000000 + 60 * page_id AS seen_at,
+         1700000030 + 60 * page_id + 3600 * (('0x' || substr(md5(url), 1, 4))::BIGINT % 7 + 1) AS revisited_at,
+         CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url
+  FROM parts),
+joined AS (
+  SELECT v.*, r.page_id AS r_id, r.tag AS r_tag, r.digest AS r_digest, r.n_bytes AS r_bytes, r.seen_at AS r_at,
+         row_number() OVER (PARTITION BY v.page_id ORDER BY r.seen_at DESC) AS nth
+  FROM canon v LEFT JOIN canon r ON v.canonical_url = r.canonical_url AND r.seen_at < v.revisited_at),
+revisits AS (
+  SELECT *, CASE WHEN r_id IS NULL THEN 'no_response' WHEN tag = r_tag THEN 'resolved' ELSE 'changed' END AS outcome
+  FROM joined WHERE nth = 1),
+lines AS (
+  SELECT *, strftime(make_timestamp(seen_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS seen_date,
+         strftime(make_timestamp(revisited_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS date FROM revisits)
+SELECT 2 * page_id AS record_id, 'response' AS warc_type, canonical_url, 'response' AS outcome,
+       NULL::BIGINT AS refers_to, 2 * page_id AS payload_of, 200 AS status, digest AS resolved_digest,
+       'content-length: ' || n_bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || seen_date || chr(10)
+       || 'etag: "' || tag || '"' AS merged_headers
+FROM lines
+UNION ALL
+SELECT 2 * page_id + 1, 'revisit', canonical_url, outcome, 2 * r_id,
+       CASE WHEN outcome = 'resolved' THEN 2 * r_id END, 304, CASE WHEN outcome = 'resolved' THEN r_digest END,
+       'cache-control: max-age=3600' || chr(10)
+       || CASE WHEN outcome = 'resolved' THEN 'content-length: ' || r_bytes || chr(10) || 'content-type: text/html'
+               ELSE 'content-length: 0' END
+       || chr(10) || 'date: ' || date || chr(10) || 'etag: W/"' || tag || '"'
+FROM lines
+""")
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = captures_of_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return resolve_revisits(captures).select(
+        "record_id", "warc_type", "canonical_url", "outcome", "refers_to", "payload_of", "status",
+        "resolved_digest", headers_text(F.col("merged_headers")).alias("merged_headers"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.multiset_fingerprint import fingerprint_edits
+from ledgerlens.llm.pii import detect, digest_spans
 from ledgerlens.llm.text import table
 from ledgerlens.llm.url_rules import judge_urls
 from ledgerlens.llm.warc import captures_of_pages, headers_text, resolve_revisits
@@ -132,3 +133,8 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(captures).select(
         "record_id", "warc_type", "canonical_url", "outcome", "refers_to", "payload_of", "status",
         "resolved_digest", headers_text(F.col("merged_headers")).alias("merged_headers"))
+
+
+@_query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_spans(detect(table(spark, sf_dir, "documents", "doc_id", "text")))

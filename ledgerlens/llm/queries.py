@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.language_id import predict_languages
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.multiset_fingerprint import fingerprint_edits
 from ledgerlens.llm.pii import detect, digest_spans
@@ -138,3 +139,8 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_personal_data")
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_spans(detect(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@_query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.language_id import predict_languages
+from ledgerlens.llm.line_dedup import line_report
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.multiset_fingerprint import fingerprint_edits
 from ledgerlens.llm.pii import detect, digest_spans
@@ -144,3 +145,24 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_language_id")
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@_query("op2_line_dedup", r"""
+WITH texts AS (
+  SELECT doc_id, text, md5(text) AS key, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) AS lines,
+         string_split(text, chr(10)) AS raw FROM documents),
+starts AS (SELECT doc_id, key, lines, unnest(range(0, len(lines) - 2)) AS pos FROM texts WHERE len(lines) >= 3),
+windows AS (
+  SELECT doc_id, key, pos, array_to_string(lines[pos + 1 : pos + 3], chr(10)) AS w FROM starts),
+real AS (SELECT *, min((doc_id, key, pos)) OVER (PARTITION BY w) AS first FROM windows WHERE regexp_matches(w, '[\p{L}\p{N}]')),
+covered AS (
+  SELECT doc_id, key, list(DISTINCT line) AS covered
+  FROM (SELECT doc_id, key, unnest([pos, pos + 1, pos + 2]) AS line FROM real WHERE (doc_id, key, pos) <> first)
+  GROUP BY doc_id, key)
+SELECT doc_id, coalesce(len(raw), 0)::INT AS n_lines, coalesce(len(covered), 0)::INT AS n_removed,
+       sha256(CASE WHEN covered IS NULL THEN coalesce(text, '')
+              ELSE array_to_string([raw[i + 1] for i in range(0, len(raw)) if NOT list_contains(covered, i)], chr(10)) END) AS kept_sha256
+FROM texts LEFT JOIN covered USING (doc_id, key)
+""")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents", "doc_id", "text"))

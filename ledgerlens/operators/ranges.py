@@ -61,3 +61,13 @@ def carried_forward(df: DataFrame, order: Sequence[str], values: dict[str, str],
     out = rows.join(before, _KEYS).withColumns(
         {o: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_b_{o}")) for o, v in values.items()})
     return out.drop(*_KEYS, *[f"_b_{o}" for o in values])
+
+
+def with_previous(df: DataFrame, order: Sequence[str], value: str, out: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Add ``out``: ``value`` (never NULL) of the row before in ``order`` within ``groups``, NULL for the first."""
+    rows = range_bucketed(df, order, groups)
+    ends = rows.groupBy(*_KEYS).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    earlier = Window.partitionBy("_group").orderBy("_bucket")
+    before = ends.select(*_KEYS, F.lag("_end").over(earlier).alias("_before"))
+    here = F.lag(value).over(Window.partitionBy(*_KEYS).orderBy(*order))
+    return rows.join(before, _KEYS).withColumn(out, F.coalesce(here, F.col("_before"))).drop(*_KEYS, "_before")

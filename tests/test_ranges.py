@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ranges import carried_forward, running_totals
+from ledgerlens.operators.ranges import carried_forward, running_totals, with_previous
 
 
 def _rows(spark):
@@ -36,3 +36,11 @@ def test_no_rows_and_no_groups(spark):
     assert running_totals(empty, ["id"], ["n"]).count() == 0
     one = running_totals(spark.range(1, 101).withColumn("n", F.lit(2)), ["id"], ["n"])
     assert [r.cum_n for r in one.orderBy("id").collect()] == [2 * i for i in range(1, 101)]
+
+
+def test_previous_row_equals_lag(spark):
+    df = _rows(spark)
+    got = {r.id: r.p for r in with_previous(df, ["id"], "n", "p", ["g"]).collect()}
+    w = Window.partitionBy("g").orderBy("id")
+    want = {r.id: r.p for r in df.select("id", F.lag("n").over(w).alias("p")).collect()}
+    assert got == want

@@ -9,6 +9,7 @@ from ledgerlens.llm.language_id import predict_languages
 from ledgerlens.llm.line_dedup import line_report
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.multiset_fingerprint import fingerprint_edits
+from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.pii import detect, digest_spans
 from ledgerlens.llm.text import table
 from ledgerlens.llm.url_rules import judge_urls
@@ -166,3 +167,8 @@ FROM texts LEFT JOIN covered USING (doc_id, key)
 """)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -88,6 +88,12 @@ def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: its cleaner acts when the
+    driver's garbage is collected, which a driver with little garbage does only every half hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def ensure_session_defaults(spark: SparkSession) -> None:
     """Pin the settings the queries' semantics depend on (log timestamps are UTC wall-clock)
     on a session created elsewhere, and make sure the checkpoint folder is known."""

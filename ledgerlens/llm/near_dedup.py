@@ -48,7 +48,7 @@ _SCALE = _rng.integers(1, 2**63, (TREES * DEEP, 1), np.uint64) * np.uint64(2) +
 _SHIFT = _rng.integers(0, 2**63, (TREES * DEEP, 1), np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit numbers over all bits."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -68,7 +68,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     firsts = np.concatenate(([0], np.cumsum(widths)[:-1]))
     place = np.arange(len(letters)) - np.repeat(firsts, widths)
     powers = np.multiply.accumulate(np.full(int(widths.max()), _STEP, np.uint64))
-    return _mixed(np.add.reduceat(_BYTE_HASH[letters] * powers[place], firsts))
+    return mixed(np.add.reduceat(_BYTE_HASH[letters] * powers[place], firsts))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -79,7 +79,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     n = min(words, len(h))
     total = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        total = _mixed(total * _STEP + h[k:len(h) - n + 1 + k])
+        total = mixed(total * _STEP + h[k:len(h) - n + 1 + k])
     return np.unique(total)
 
 
@@ -88,7 +88,7 @@ def signature(found: np.ndarray) -> bytes:
     least = np.full(TREES * DEEP, 2**64 - 1, np.uint64)
     for part in range(0, len(found), 4096):
         least = np.minimum(least, (_SCALE * found[part:part + 4096] + _SHIFT).min(axis=1))
-    return (_mixed(least) >> np.uint64(48)).astype(">u2").tobytes()
+    return (mixed(least) >> np.uint64(48)).astype(">u2").tobytes()
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.multiset_fingerprint import fingerprint_edits
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.pii import detect, digest_spans
+from ledgerlens.llm.substring_dedup import remove_repeated_strings
 from ledgerlens.llm.text import table
 from ledgerlens.llm.url_rules import judge_urls
 from ledgerlens.llm.warc import captures_of_pages, headers_text, resolve_revisits
@@ -201,3 +202,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents", "doc_id", "text"),
                                 table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@_query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_strings(table(spark, sf_dir, "documents", "doc_id", "text"))

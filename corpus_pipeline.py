@@ -1,8 +1,78 @@
-"""Corpus pipeline (stages follow as their operators are written)."""
+"""Corpus pipeline: documents to a training mix, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes its rows as Parquet to the shared
+folder and rereads them as the next stage's docs. All but the last stage return the columns of docs.
+
+1. ``language_id`` drops documents without a letter and those that are far from every language's profile.
+2. ``line_dedup`` removes repeated three-line windows; a document of which nothing is left goes.
+3. ``near_dedup`` keeps the smallest doc_id of every group of near duplicates (similarity 0.8).
+4. ``decontamination`` drops documents with a window of a benchmark item.
+5. ``source_mix`` takes documents to the sources' target weights; rows come in the order of the mix, with
+   size, source_size, target, taken (words) and mix_start. Documents of which no word is taken go.
+
+Rows without doc_id and repeated rows pass as the operators define it; of rows that share a doc_id, near_dedup keeps one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm.decontamination import contamination
+from ledgerlens.llm.language_id import accepted, learn_profiles
+from ledgerlens.llm.line_dedup import without_repeated_lines
+from ledgerlens.llm.mixing import mix_sources
+from ledgerlens.llm.near_dedup import near_duplicates
+from ledgerlens.llm.text import same_document, table
+from ledgerlens.session import materialised
+
+SIMILARITY = 80          # percent
+LEAST_SCORE = 0.2        # of the nearest language
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs, learn_profiles(docs), LEAST_SCORE)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = without_repeated_lines(docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_duplicates(docs, SIMILARITY).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(
+        docs.filter("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    rows = docs.withColumn("_md5", F.md5("text"))
+    return rows.join(hit, same_document("doc_id", "_md5", "_id", "_key"), "left_anti").select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated rows are separate documents of the mix; they are joined as one row and listed apart again."""
+    made = ["size", "source_size", "target", "taken", "mix_start"]
+    mixed = mix_sources(docs).filter("taken > 0").groupBy(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key")).agg(
+        F.collect_list(F.struct(*made)).alias("_mixed"))
+    rows = docs.withColumn("_md5", F.md5("text")).dropDuplicates(["doc_id", "source", "_md5"])
+    same = same_document("doc_id", "_md5", "_id", "_key") & F.col("source").eqNullSafe(F.col("_source"))
+    kept = [c for c in docs.columns if c not in made]
+    return rows.join(mixed, same).select(*kept, F.explode("_mixed").alias("_m")).select(*kept, "_m.*").orderBy("mix_start")
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("decontamination", decontamination), ("source_mix", source_mix)]
+
+# Learned profiles, minimum hashes and connected components have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "*")
+    for name, stage in STAGES:
+        docs = materialised(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -75,11 +75,11 @@ def _occurrences(rows: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated."""
-    rows = materialised(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+    """One row per document: doc_id, key (md5 of the text), n_words, n_hit, n_items, items (sorted ids), contaminated."""
+    rows = materialised(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.md5("text").alias("key"),
                                     normal_words(text_or_empty("text")).alias("words")), "doc-words")
     windows = materialised(item_windows(benchmark, window), "windows")
-    total = rows.select("row", "doc_id", F.size(_split("words")).cast("long").alias("n_words"))
+    total = rows.select("row", "doc_id", "key", F.size(_split("words")).cast("long").alias("n_words"))
     found = None
     for block in _blocks(windows):
         part = materialised(_occurrences(rows.select("row", "words"), block), "occurrences")

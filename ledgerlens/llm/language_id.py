@@ -129,6 +129,18 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], key: str, most: i
     return docs.select(key, "text").mapInArrow(predict, f"`{key}` {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, most: int = PROFILE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a score of at least ``least``, with all their columns."""
+    model = Profiles(profiles, most)
+
+    def keep(batches):
+        for batch in batches:
+            near = (model.nearest(t) for t in batch["text"].to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in near], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves remainder 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -46,29 +46,30 @@ def source_targets(sizes: DataFrame, copies: int = COPIES, cycle: int = 3) -> Da
 
 
 def mix_sources(docs: DataFrame, budget: int | None = None, copies: int = COPIES, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, mix_start.
+    """One row per document: doc_id, source, key (md5 of the text), size, source_size, target, taken, mix_start.
 
     ``mix_start``: words of the mix before the document's first appearance. ``budget``: words the mix may hold,
     by default all targets.
     """
     size = F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size")).groupBy("doc_id", "source", "size").count()
-    rows = materialised(rows.select("doc_id", "source", "size",
+    one = ["doc_id", "source", "key", "size"]
+    rows = docs.select("doc_id", "source", F.md5("text").alias("key"), size.alias("size")).groupBy(*one).count()
+    rows = materialised(rows.select(*one,
                                     F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth")), "sizes")
     targets = source_targets(rows, copies)
     rows = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rounds = F.greatest(F.lit(1), F.least(F.lit(copies), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))))
     dealt = rows.withColumn("round", F.explode(F.sequence(F.lit(1), rounds.cast("int"))))
     dealt = dealt.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(seed), "round", F.col("doc_id").cast("string"))))
-    queued = running_totals(dealt, ["round", "shuffled", "doc_id", "size", "nth"], ["size"], ["source"])
+    queued = running_totals(dealt, ["round", "shuffled", "doc_id", "key", "nth"], ["size"], ["source"])
     before = F.col("cum_size") - F.col("size")
     served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - before))
     finish = F.least(F.lit(1.0), F.try_divide(F.col("cum_size").cast("double"), F.col("target")))
-    queued = queued.select("doc_id", "source", "size", "nth", "source_size", "target", "round", "shuffled",
+    queued = queued.select(*one, "nth", "source_size", "target", "round", "shuffled",
                            served.alias("served"), F.coalesce(finish, F.lit(1.0)).alias("finish"))
-    mixed = running_totals(queued, ["finish", "shuffled", "doc_id", "source", "size", "nth", "round"], ["served"])
+    mixed = running_totals(queued, ["finish", "shuffled", "doc_id", "source", "key", "nth", "round"], ["served"])
     start = F.col("cum_served") - F.col("served")
     taken = F.col("served") if budget is None else F.greatest(F.lit(0), F.least(F.col("served"), F.lit(budget) - start))
     return mixed.select("*", taken.alias("part"), start.alias("start")).groupBy(
-        "doc_id", "source", "size", "nth", "source_size", "target").agg(
+        *one, "nth", "source_size", "target").agg(
         F.sum("part").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("start"))).alias("mix_start")).drop("nth")

@@ -22,3 +22,8 @@ def ascii_lower(c: Column) -> Column:
 
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def same_document(id_a: str, key_a: str, id_b: str, key_b: str) -> Column:
+    """Whether two rows have equal ids and equal text keys, also NULL ones."""
+    return F.col(id_a).eqNullSafe(F.col(id_b)) & F.col(key_a).eqNullSafe(F.col(key_b))

@@ -237,8 +237,9 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     by_class = _component_of(classes.select("set_key", "id"), known, "id", "component").select("set_key", "component")
     found = sketches.join(by_class, "set_key", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id"))
-                        .otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", "n_shingles", F.when(
+        (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        .otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -23,7 +23,7 @@ from ledgerlens.llm.language_id import accepted, learn_profiles
 from ledgerlens.llm.line_dedup import without_repeated_lines
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_dedup import near_duplicates
-from ledgerlens.llm.text import same_document, table
+from ledgerlens.llm.text import packed, same_document, table, unpacked
 from ledgerlens.session import materialised
 
 SIMILARITY = 80          # percent
@@ -36,20 +36,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = without_repeated_lines(docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(docs.columns)
+    return left.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs, SIMILARITY).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns]).union(
         docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
     hit = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    rows = docs.withColumn("_md5", F.md5("text"))
-    return rows.join(hit, same_document("doc_id", "_md5", "_id", "_key"), "left_anti").select(docs.columns)
+    rows = packed(docs).join(hit, same_document("_row.doc_id", "_md5", "_id", "_key"), "left_anti")
+    return unpacked(rows, docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs).filter("taken > 0").groupBy(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key")).agg(
         F.collect_list(F.struct(*made)).alias("_mixed"))
-    rows = docs.withColumn("_md5", F.md5("text")).dropDuplicates(["doc_id", "source", "_md5"])
-    same = same_document("doc_id", "_md5", "_id", "_key") & F.col("source").eqNullSafe(F.col("_source"))
-    kept = [c for c in docs.columns if c not in made]
-    return rows.join(mixed, same).select(*kept, F.explode("_mixed").alias("_m")).select(*kept, "_m.*").orderBy("mix_start")
+    rows = packed(docs).withColumns({"_doc": F.col("_row.doc_id"), "_from": F.col("_row.source")})
+    rows = rows.dropDuplicates(["_doc", "_from", "_md5"])
+    same = same_document("_doc", "_md5", "_id", "_key") & F.col("_from").eqNullSafe(F.col("_source"))
+    rows = rows.join(mixed, same).withColumn("_m", F.explode("_mixed"))
+    return unpacked(rows, docs.columns, {c: F.col("_m")[c] for c in made}).orderBy("mix_start")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

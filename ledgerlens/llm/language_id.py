@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.text import packed, unpacked
+
 PROFILE = 300
 UNKNOWN = "und"
 _BITS = 21                 # of a code point; three fit into 63 bits, and a boundary has code 1
@@ -135,10 +137,11 @@ def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, mos
 
     def keep(batches):
         for batch in batches:
-            near = (model.nearest(t) for t in batch["text"].to_pylist())
+            near = (model.nearest(t) for t in batch["_row"].field("text").to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in near], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    rows = packed(docs).select("_row")
+    return unpacked(rows.mapInArrow(keep, rows.schema), docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -16,9 +16,10 @@ their first lines; columns of other names are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.text import packed, same_document, unpacked
 from ledgerlens.session import materialised
 
 SPAN = 3
@@ -49,19 +50,19 @@ def covered_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with the lines of later windows removed from ``text``, and ``n_lines`` and ``n_removed``."""
+    """``docs`` with the lines of later windows removed from ``text``, and ``n_lines`` and ``n_removed`` (which replace
+    columns of these names)."""
     covered = covered_lines(docs, span).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"),
                                                F.col("covered").alias("_covered"))
-    rows = docs.withColumn("_md5", F.md5("text"))
-    rows = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_key")), "left")
-    rows = rows.withColumn("_lines", F.split("text", "\n"))
+    rows = packed(docs).join(covered, same_document("_row.doc_id", "_md5", "_id", "_key"), "left")
+    rows = rows.withColumn("_lines", F.split("_row.text", "\n"))
     n = F.coalesce(F.size("_lines"), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), n - 1), "_covered")       # by a hash set, in order
     kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    made = {"text": F.when(F.col("_covered").isNull(), F.col("text")).otherwise(kept),
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n),
-            "n_removed": F.coalesce(F.size("_covered"), F.lit(0))}
-    return rows.withColumns(made).drop("_md5", "_id", "_key", "_covered", "_lines")
+    text = F.col("_row.text")
+    return unpacked(rows, docs.columns, {
+        "text": F.when(F.col("_covered").isNull(), text).otherwise(kept),
+        "n_lines": F.when(text.isNull(), 0).otherwise(n), "n_removed": F.coalesce(F.size("_covered"), F.lit(0))})
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -27,3 +27,15 @@ def text_or_empty(c: Column | str) -> Column:
 def same_document(id_a: str, key_a: str, id_b: str, key_b: str) -> Column:
     """Whether two rows have equal ids and equal text keys, also NULL ones."""
     return F.col(id_a).eqNullSafe(F.col(id_b)) & F.col(key_a).eqNullSafe(F.col(key_b))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(_row, _md5): every row as one struct, so that its column names clash with none made beside it, and its text's md5."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.md5("text").alias("_md5"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+    """The ``columns`` of ``_row`` and those ``made``, which replace columns of their names."""
+    made = made or {}
+    return rows.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in columns],
+                       *[v.alias(c) for c, v in made.items() if c not in columns])

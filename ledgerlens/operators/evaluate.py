@@ -19,6 +19,11 @@ SWEEP = [round(0.05 * i, 2) for i in range(1, 20)]
 GAP_TOLERANCE = 1e-4
 
 
+def scored(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """The rows that take part in a metric: a row without a label, or whose score is NULL or NaN, counts nowhere."""
+    return df.filter(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
+
+
 def confusion_columns(y: str = "y", p: str = "p", threshold: float | Column = THRESHOLD) -> list[Column]:
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     pred = F.col(p) >= t
@@ -46,12 +51,12 @@ def metrics_from_confusion(df: DataFrame) -> DataFrame:
 
 def metrics_at_threshold(scores: DataFrame, threshold: float, y: str = "y", p: str = "p",
                          group_cols: list[str] | tuple = ()) -> DataFrame:
-    agg = scores.groupBy(*group_cols).agg(*confusion_columns(y, p, threshold))
+    agg = scored(scores, y, p).groupBy(*group_cols).agg(*confusion_columns(y, p, threshold))
     return metrics_from_confusion(agg.withColumn("threshold", F.lit(float(threshold))))
 
 
 def business_cost(scores: DataFrame, threshold: float = THRESHOLD, y: str = "y", p: str = "p") -> DataFrame:
-    c = scores.agg(*confusion_columns(y, p, threshold))
+    c = scored(scores, y, p).agg(*confusion_columns(y, p, threshold))
     return c.select(F.lit(float(threshold)).alias("threshold"), "fn", "fp",
                     (COST_FN * F.col("fn") + COST_FP * F.col("fp")).alias("cost"))
 
@@ -71,7 +76,7 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float] = SWEEP, y: str =
         counts += [F.count_if(pos & hit).alias(f"_tp{i}"), F.count_if(~pos & hit).alias(f"_fp{i}")]
     per_threshold = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_tp{i}").alias("tp"),
                                        F.col(f"_fp{i}").alias("fp")) for i, t in enumerate(thresholds)])
-    long = scores.agg(*counts).select("_P", "_N", F.inline(per_threshold))
+    long = scored(scores, y, p).agg(*counts).select("_P", "_N", F.inline(per_threshold))
     out = long.select(
         "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
         (F.col("_P") - F.col("tp")).cast("bigint").alias("fn"), (F.col("_N") - F.col("fp")).cast("bigint").alias("tn"))
@@ -88,13 +93,13 @@ def auc_rank(scores: DataFrame, y: str = "y", p: str = "p", group_cols: list[str
     """Mann-Whitney AUC with ties counting half: per distinct score the negatives ranked
     below come from a distributed prefix sum over the distinct scores."""
     g = list(group_cols)
-    per_score = scores.groupBy(*g, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    per_score = scored(scores, y, p).groupBy(*g, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     cum = ordered_cumsum(per_score, p, ["neg"], g)
     u = cum.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)).alias("_u"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(None).cast("double")) \
-        .otherwise(F.col("_u") / (F.col("n_pos") * F.col("n_neg")))
+        .otherwise(F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg")))
     return u.select(*g, auc.alias("auc"), "n_pos", "n_neg")
 
 

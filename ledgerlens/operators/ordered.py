@@ -1,25 +1,20 @@
 """Exact order statistics without a single-partition window.
 
-A window ``ORDER BY x`` without ``PARTITION BY`` sends every row to one task.
-Here rows are first collapsed to distinct ``(group, x)`` with counts (so a hot
-value is one row), then split into range buckets whose bounds come from
-``percentile_approx``; per-bucket totals give each bucket's offset (a table of
-groups x buckets rows), and the running sum inside a bucket is a window
-partitioned by ``(group, bucket)``. The result is exact; the approximate bounds
-only balance the buckets.
+A window ``ORDER BY x`` without ``PARTITION BY`` sends every row to one task. Here the rows are
+range-partitioned once (``ranges.py``): as many partitions as Spark gives the shuffle, a hot group or
+value spread over several of them by the tie-break columns. Percentiles first collapse rows to
+distinct ``(group, value)`` with counts, write that aggregate once, and open only the partitions that
+hold a wanted rank. NULL is a group like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
-BUCKETS = 64
-# Bounds are brought to the driver (deterministic reuse) up to this many values.
-MAX_COLLECTED_BOUNDS = 2_000_000
-# Largest group sorted inside one aggregation buffer by percentile_cont_bounded.
-MAX_SORTED_GROUP = 1_000_000
+from ledgerlens.operators.ranges import KEYS, range_bucketed, running_totals, windows
 
 
 def scalar_fields(one_row: DataFrame) -> dict[str, Column]:
@@ -33,148 +28,86 @@ def scalar_fields(one_row: DataFrame) -> dict[str, Column]:
     return {c: s.getField(c) for c in one_row.columns}
 
 
-def _bounds(df: DataFrame, order_col: str, group_cols: list[str], buckets: int) -> DataFrame | Column:
-    probs = [i / buckets for i in range(1, buckets)]
-    agg = F.array_distinct(F.percentile_approx(F.col(order_col), probs, 10000)).alias("_bounds")
-    if not group_cols:
-        # one array of at most buckets - 1 values: fetched once and inlined as a literal,
-        # so every use in the plan sees the same bounds and no subquery nests in another
-        values = df.agg(agg).first()[0]
-        typ = ArrayType(df.schema[order_col].dataType)
-        if values is None:
-            return F.lit(None).cast(typ)
-        return F.array(*[F.lit(v) for v in values]).cast(typ)
-    b = df.groupBy(*group_cols).agg(agg)
-    max_groups = MAX_COLLECTED_BOUNDS // (buckets - 1)
-    rows = b.limit(max_groups + 1).collect()
-    if len(rows) <= max_groups:
-        # bounded: materialise once on the driver so every use sees the same bounds
-        return df.sparkSession.createDataFrame(rows, b.schema)
-    # many groups: keep the bounds distributed (the exchange is reused within the plan)
-    return b
-
-
-def with_bucket(df: DataFrame, order_col: str, group_cols: list[str], buckets: int = BUCKETS) -> DataFrame:
-    b = _bounds(df, order_col, group_cols, buckets)
-    x = df.join(F.broadcast(b), group_cols, "inner") if group_cols else df.withColumn("_bounds", b)
-    x = x.withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda v: v < F.col(order_col))))
-    return x.drop("_bounds")
-
-
 def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: list[str], group_cols: list[str] | tuple = (),
-                   buckets: int = BUCKETS, tiebreak: list[str] | tuple = ()) -> DataFrame:
+                   tiebreak: list[str] | tuple = ()) -> DataFrame:
     """Add ``cum_<c>`` = inclusive running sum of ``c`` in ``order_col`` order within groups.
 
     Rows with equal ``(group, order_col)`` must be pre-aggregated, or ``tiebreak``
     columns must make the order total.
     """
-    g = list(group_cols)
-    x = with_bucket(df, order_col, g, buckets)
-    tot = x.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    w_b = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*g, "_bucket", *[F.coalesce(F.sum(f"_tot_{c}").over(w_b), F.lit(0)).alias(f"_off_{c}")
-                                      for c in sum_cols])
-    x = x.join(off, g + ["_bucket"], "inner")
-    w = (Window.partitionBy(*g, "_bucket").orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.select("*", *[(F.col(f"_off_{c}") + F.sum(c).over(w)).alias(f"cum_{c}") for c in sum_cols])
-    return x.drop("_bucket", *[f"_off_{c}" for c in sum_cols])
-
-
-def row_numbers(df: DataFrame, order_col: str, group_cols: list[str] | tuple = (), tiebreak: list[str] | tuple = (),
-                buckets: int = BUCKETS) -> DataFrame:
+    return running_totals(df, [order_col, *tiebreak], sum_cols, group_cols)
+
+
+def row_numbers(df: DataFrame, order_col: str, group_cols: list[str] | tuple = (),
+                tiebreak: list[str] | tuple = ()) -> DataFrame:
     """1-based ``row_number`` in ``(order_col, tiebreak)`` order within groups, without one-task windows."""
-    x = df.withColumn("_one", F.lit(1).cast("bigint"))
-    x = ordered_cumsum(x, order_col, ["_one"], group_cols, buckets, tiebreak)
+    x = ordered_cumsum(df.withColumn("_one", F.lit(1).cast("bigint")), order_col, ["_one"], group_cols, tiebreak)
     return x.withColumnRenamed("cum__one", "row_number").drop("_one")
 
 
-def values_at_ranks(df: DataFrame, value_col: str, ranks: Column, group_cols: list[str] | tuple = (),
-                    buckets: int = BUCKETS) -> DataFrame:
+def values_at_ranks(df: DataFrame, value_col: str, ranks: Column, group_cols: list[str] | tuple = ()) -> DataFrame:
     """For each group, the values at 0-based ranks of the sorted non-missing values.
 
     ``ranks`` is an expression over the column ``n`` (group size) giving an
-    array of ranks. Returns ``(group..., rank, value)``.
+    array of ranks. Returns ``(group..., n, rank, value)``.
     """
     g = list(group_cols)
     vals = df.filter(F.col(value_col).isNotNull()).groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    sizes = vals.groupBy(*g).agg(F.sum("_cnt").alias("n"))
-    targets = sizes.select(*g, F.explode(F.array_distinct(ranks)).alias("rank"))
-    cum = ordered_cumsum(vals, value_col, ["_cnt"], g, buckets)
-    cum = cum.select(*g, value_col, (F.col("cum__cnt") - F.col("_cnt")).alias("_lo"), F.col("cum__cnt").alias("_hi"))
-    # each target rank falls in exactly one distinct-value interval [lo, hi)
-    if g:
-        hit = cum.join(targets, g, "inner").filter((F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
-        return hit.select(*g, "rank", F.col(value_col).alias("value"))
-    # one group: the few target ranks are one inlined array, matched per row without a join
-    cum = cum.withColumn("_ranks", targets.agg(F.collect_set("rank")).scalar())
-    inside = F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))
-    return cum.select(F.explode(inside).alias("rank"), F.col(value_col).alias("value"))
+    rows = range_bucketed(vals, [value_col], g)
+    inside, earlier = windows([value_col])
+    parts = rows.groupBy(*KEYS).agg(F.sum("_cnt").alias("_in"))
+    parts = parts.select(*KEYS, "_in", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
+    sizes = rows.groupBy(F.col("_group").alias("_of")).agg(F.sum("_cnt").alias("n"))
+    wanted = sizes.select("_of", "n", F.explode(F.array_distinct(ranks)).alias("rank"))
+    # a partition takes part only if a wanted rank falls into it
+    hit = parts.join(wanted, (F.col("_group") == F.col("_of")) & (F.col("rank") >= F.col("_before"))
+                     & (F.col("rank") < F.col("_before") + F.col("_in")))
+    hit = hit.groupBy(*KEYS, "n", "_before").agg(F.collect_list("rank").alias("_ranks"))
+    found = rows.join(hit, KEYS).withColumn("_hi", F.col("_before") + F.sum("_cnt").over(inside))
+    here = F.filter("_ranks", lambda r: (r >= F.col("_hi") - F.col("_cnt")) & (r < F.col("_hi")))
+    return found.select(*g, "n", F.explode(here).alias("rank"), F.col(value_col).alias("value"))
 
 
 def percentile_cont(df: DataFrame, value_col: str, qs: list[float], group_cols: list[str] | tuple = (),
-                    buckets: int = BUCKETS, prefix: str = "p") -> DataFrame:
+                    prefix: str = "p") -> DataFrame:
     """Exact linearly interpolated percentiles (SQL ``percentile_cont``), one row per group,
     columns ``{prefix}{int(q*100)}``."""
     g = list(group_cols)
-    lo_hi = []
-    for q in qs:
-        pos = (F.col("n") - 1) * F.lit(float(q))
-        lo_hi += [F.floor(pos), F.ceil(pos)]
-    at = values_at_ranks(df, value_col, F.array(*lo_hi).cast("array<bigint>"), g, buckets)
-    sizes = (df.filter(F.col(value_col).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("n")))
-    m = at.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
-    out = sizes.join(m, g, "inner") if g else m.withColumn("n", sizes.scalar())
+    at = [(F.col("n") - 1) * F.lit(float(q)) for q in qs]
+    ranks = F.array(*[f(pos) for pos in at for f in (F.floor, F.ceil)]).cast("array<bigint>")
+    found = values_at_ranks(df, value_col, ranks, g).groupBy(*g).agg(
+        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
     cols = []
-    for q in qs:
-        pos = (F.col("n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        vlo, vhi = F.element_at("_m", lo), F.element_at("_m", hi)
-        cols.append((vlo + (vhi - vlo) * (pos - lo)).alias(f"{prefix}{round(q * 100)}"))
-    return out.select(*g, *cols)
-
-
-def percentile_cont_bounded(df: DataFrame, value_col: str, qs: list[float], group_cols: list[str] | tuple,
-                            max_group_rows: int, prefix: str = "p") -> DataFrame:
-    """``percentile_cont`` for groups whose size has a proven bound (e.g. a fixed-size sample):
-    one aggregation sorts each group's values in one array (at most ``max_group_rows``
-    values, checked against ``MAX_SORTED_GROUP``) and interpolates as ``percentile_cont``."""
-    if max_group_rows > MAX_SORTED_GROUP:
-        raise ValueError(f"groups of up to {max_group_rows} rows: use percentile_cont")
-    g = list(group_cols)
-    vals = F.array_sort(F.collect_list(F.col(value_col))).alias("_v")   # NULLs are not collected
-    out = df.groupBy(*g).agg(vals).withColumn("n", F.size("_v"))
-    cols = []
-    for q in qs:
-        pos = (F.col("n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        vlo, vhi = F.element_at("_v", (lo + 1).cast("int")), F.element_at("_v", (hi + 1).cast("int"))
-        cols.append(F.when(F.col("n") > 0, vlo + (vhi - vlo) * (pos - lo)).alias(f"{prefix}{round(q * 100)}"))
-    return out.filter(F.col("n") > 0).select(*g, *cols)
+    for q, pos in zip(qs, at):
+        low, high = F.element_at("_m", F.floor(pos)), F.element_at("_m", F.ceil(pos))
+        cols.append((low + (high - low) * (pos - F.floor(pos))).alias(f"{prefix}{round(q * 100)}"))
+    return found.select(*g, *cols)
 
 
 def ordered_running_min(df: DataFrame, order_col: str, value_col: str, group_cols: list[str] | tuple = (),
-                        buckets: int = BUCKETS, tiebreak: list[str] | tuple = ()) -> DataFrame:
+                        tiebreak: list[str] | tuple = ()) -> DataFrame:
     """Add ``best_<value_col>`` = running minimum ("best so far") in ``order_col`` order."""
-    g = list(group_cols)
-    x = with_bucket(df, order_col, g, buckets)
-    tot = x.groupBy(*g, "_bucket").agg(F.min(value_col).alias("_bmin"))
-    w_b = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*g, "_bucket", F.min("_bmin").over(w_b).alias("_off"))
-    x = x.join(off, g + ["_bucket"], "inner")
-    w = (Window.partitionBy(*g, "_bucket").orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = F.min(value_col).over(w)
-    best = F.when(F.col("_off").isNull(), run).when(run.isNull(), F.col("_off")).otherwise(F.least(run, F.col("_off")))
-    return x.select("*", best.alias(f"best_{value_col}")).drop("_bucket", "_off")
+    order = [order_col, *tiebreak]
+    rows = range_bucketed(df, order, group_cols)
+    inside, earlier = windows(order)
+    least = rows.groupBy(*KEYS).agg(F.min(value_col).alias("_least"))
+    least = least.select(*KEYS, F.min("_least").over(earlier).alias("_before"))
+    best = F.least("_before", F.min(value_col).over(inside))       # least() skips NULLs
+    return rows.join(least, KEYS).withColumn(f"best_{value_col}", best).drop(*KEYS, "_before")
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str] | tuple, how: str = "inner") -> DataFrame:
+    """Equality join on ``keys`` where NULL keys match; the keys of ``left`` are kept."""
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_k_{c}" if c in keys else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
-    """Left join on ``keys``; with no keys, attach the columns of a one-row ``right`` to every
-    row as scalar subqueries (NULLs if empty)."""
-    k = list(keys)
-    if k:
-        return left.join(right, k, "left")
+    """Left join on ``keys`` (NULL keys match); with no keys, attach the columns of a one-row ``right``
+    to every row as scalar subqueries (NULLs if empty)."""
+    if keys:
+        return join_groups(left, right, list(keys), "left")
     return left.select("*", *[v.alias(c) for c, v in scalar_fields(right).items()])
 
 

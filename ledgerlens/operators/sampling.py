@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordered import row_numbers
+from ledgerlens.operators.ordered import join_groups, row_numbers
 
 SEED = 42
 
@@ -32,11 +32,9 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = SEED) -> DataFrame:
 
 
 def halves(df: DataFrame, id_col: str, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """A 50 % sample by hash parity and its complement (anti-join on the id)."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed))
-    first = keyed.filter(F.col("_h") % 2 == 0).drop("_h")
-    rest = df.join(first.select(id_col), id_col, "left_anti")
-    return first, rest
+    """A 50 % sample by hash parity and its complement (with the rows without an id)."""
+    even = F.coalesce(hash_key(id_col, seed) % 2 == 0, F.lit(False))
+    return df.filter(even), df.filter(~even)
 
 
 def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int = 3, seed: int = SEED) -> DataFrame:
@@ -53,7 +51,7 @@ def stratified_sample(df: DataFrame, label_col: str, id_col: str, size: int, see
     quota = counts.select(label_col, F.floor(F.lit(size) * F.col("_nc") / total + 0.5).alias("_quota"))
     keyed = df.withColumn("_h", hash_key(id_col, seed))
     ranked = row_numbers(keyed, "_h", [label_col], tiebreak=[id_col])
-    return (ranked.join(F.broadcast(quota), label_col)
+    return (join_groups(ranked, quota, [label_col])
             .filter(F.col("row_number") <= F.col("_quota")).drop("_h", "row_number", "_quota"))
 
 

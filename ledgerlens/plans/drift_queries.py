@@ -1,5 +1,4 @@
-"""Registered drift queries: reference profile of the prediction log's window A
-(a seeded sample), PSI of window B and of sub-windows, self-checks, sensitivity
+"""Registered drift queries: reference profile of the prediction log's window A, PSI of window B and of sub-windows, self-checks, sensitivity
 sweep, synthesis and the data / escalation verdicts."""
 
 from __future__ import annotations
@@ -14,14 +13,13 @@ from ledgerlens.operators import logs as L
 from ledgerlens.operators.ordered import attach, exact_percentiles
 from ledgerlens.operators.sampling import hash_key, sql_hash_key
 from ledgerlens.plans.registry import register
-from ledgerlens.session import checkpointed
+from ledgerlens.session import materialised
 from ledgerlens.sources import roles
 from ledgerlens.sources.roles import WINDOW_CUT, with_roles
 
 R = sql_round_sig
 RD = sql_round_dec
 
-REFERENCE_SAMPLE = 20000
 SPLIT = "2024-01-23 00:00:00"          # second production window starts here
 SHIFT = 0.2
 SHIFTS = [round(0.05 * i, 2) for i in range(0, 7)]
@@ -54,10 +52,8 @@ def _cut():
 
 
 def _reference(spark, d):
-    """Observations of a seeded sample of window A (distributed top-n on the hash key)."""
-    p = roles.predictions(spark, d).filter(F.col("occurred_at") < _cut())
-    ids = p.select("id").withColumn("_h", hash_key("id")).orderBy("_h", "id").limit(REFERENCE_SAMPLE).select("id")
-    return _obs(spark, d).join(ids, "id", "left_semi")
+    """Observations of window A, all of them."""
+    return _obs(spark, d).filter(F.col("occurred_at") < _cut())
 
 
 def _production(spark, d):
@@ -69,10 +65,10 @@ def _importance(ref):
 
 
 def _profile(spark, d):
-    # the sample (REFERENCE_SAMPLE rows x features) is written once: the deciles, shares,
-    # missing rates and importances below each read it instead of re-deriving it from the log
-    ref = checkpointed(_reference(spark, d))
-    return D.reference_profile(ref, _importance(ref), max_rows_per_feature=REFERENCE_SAMPLE)
+    # the observations are written once: the deciles, shares, missing rates and importances
+    # below each read them instead of deriving them from the log again
+    ref = materialised(_reference(spark, d), "reference")
+    return D.reference_profile(ref, _importance(ref))
 
 
 # ---------------------------------------------------------------- SQL side
@@ -102,12 +98,10 @@ def _profile_ctes(ref: str = "ref", name: str = "profile") -> list[str]:
 
 
 def _base_ctes() -> list[str]:
-    h = sql_hash_key("id")
     return [
         f"pred AS ({roles.SQL['predictions']})",
         f"obs AS ({_obs_sql()})",
-        f"ref_ids AS (SELECT id FROM pred WHERE occurred_at < TIMESTAMP '{WINDOW_CUT}' ORDER BY {h}, id LIMIT {REFERENCE_SAMPLE})",
-        "ref AS (SELECT obs.* FROM obs JOIN ref_ids USING (id))",
+        f"ref AS (SELECT * FROM obs WHERE occurred_at < TIMESTAMP '{WINDOW_CUT}')",
         f"prod AS (SELECT * FROM obs WHERE occurred_at >= TIMESTAMP '{WINDOW_CUT}')",
     ] + _profile_ctes()
 
@@ -237,14 +231,14 @@ FROM hv JOIN sv USING (feature)"""
 def drift_self_check(spark, d):
     """The instrument itself: one half of the reference against a profile of the
     other half must be stable; the reference with one feature shifted must drift."""
-    ref = checkpointed(_reference(spark, d))
+    ref = materialised(_reference(spark, d), "reference")
     h = hash_key("id")
     half1, half2 = ref.filter(h % 2 == 0), ref.filter(h % 2 != 0)
-    prof1 = D.reference_profile(half1, max_rows_per_feature=REFERENCE_SAMPLE)
+    prof1 = D.reference_profile(half1)
     halves = D.psi(half2, prof1).select("feature", F.col("psi").alias("psi_halves"), F.col("band").alias("band_halves"))
     shifted = ref.withColumn("value", F.when(F.col("feature") == SHIFTED_FEATURE, shift_clip("value", SHIFT))
                              .otherwise(F.col("value")))
-    sv = D.psi(shifted, D.reference_profile(ref, max_rows_per_feature=REFERENCE_SAMPLE)).select("feature", F.col("psi").alias("psi_shifted"),
+    sv = D.psi(shifted, D.reference_profile(ref)).select("feature", F.col("psi").alias("psi_shifted"),
                                                           F.col("band").alias("band_shifted"))
     return halves.join(sv, "feature")
 

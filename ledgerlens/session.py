@@ -17,15 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # keep at least the cluster's default parallelism when coalescing: the wide
-    # feature aggregates are CPU-bound, so a small shuffle must still spread over
-    # all cores (large shuffles are split by size either way)
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # the wide feature aggregates have hundreds of output columns
-    "spark.sql.codegen.maxFields": "400",
 }
 
 

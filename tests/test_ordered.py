@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordered import (ordered_cumsum, ordered_running_min, percentile_cont, row_numbers,
+from ledgerlens.operators.ordered import (attach, ordered_cumsum, ordered_running_min, percentile_cont, row_numbers,
                                           values_at_ranks)
 
 
@@ -59,16 +59,24 @@ def test_running_min(spark):
     assert got == [5.0, 5.0, 3.0, 3.0, 1.0, 1.0]
 
 
-def test_bounded_percentile_matches_distributed(spark):
-    from ledgerlens.operators.ordered import percentile_cont, percentile_cont_bounded
-    rows = [("a", float(v)) for v in (5, 1, 1, 3, 9, 2, 2, 7)] + [("b", 4.0), ("b", None), ("c", None)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    qs = [0.1, 0.25, 0.5, 0.9]
-    exact = {r["g"]: r.asDict() for r in percentile_cont(df, "x", qs, ["g"]).collect()}
-    small = {r["g"]: r.asDict() for r in percentile_cont_bounded(df, "x", qs, ["g"], 100).collect()}
-    assert exact == small
-    assert set(small) == {"a", "b"}          # a group without values is absent in both
-    assert small["b"]["p50"] == 4.0
+def test_null_groups_and_one_hot_value_match_duckdb(spark):
+    import duckdb
+    rows = [(None if i % 4 == 0 else "a" if i % 4 < 3 else "b", 1.5 if i % 3 else float(i % 50)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(8)
+    got = {r["g"]: r.asDict() for r in percentile_cont(df, "x", [0.1, 0.25, 0.5, 0.9], ["g"]).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g VARCHAR, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows[:1000])
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows[1000:])
+    want = con.execute("SELECT g, quantile_cont(x, 0.1), quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.9) "
+                       "FROM t GROUP BY g").fetchall()
+    assert {w[0] for w in want} == set(got) == {None, "a", "b"}
+    for g, *qs in want:
+        assert [got[g][f"p{q}"] for q in (10, 25, 50, 90)] == pytest.approx(qs)
+    ranked = row_numbers(df.withColumn("id", F.monotonically_increasing_id()), "x", ["g"], tiebreak=["id"])
+    assert ranked.groupBy("g").agg(F.max("row_number").alias("m"), F.count("x").alias("n")).filter("m <> n").count() == 0
+    attached = attach(df.groupBy("g").count(), percentile_cont(df, "x", [0.5], ["g"]), ["g"])
+    assert attached.filter("p50 IS NULL").count() == 0
 
 
 def test_ungrouped_percentiles_of_empty_and_tied_input(spark):

@@ -99,10 +99,10 @@ def non_finite(ent: DataFrame) -> DataFrame:
     return ent.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_values"), F.count_if(bad).alias("n_non_finite"))
 
 
-def bounded_list(names: Column, limit: int = MAX_LISTED) -> Column:
+def bounded_list(names: Column, limit: int = MAX_LISTED, between: str = ", ") -> Column:
     """``a, b, ... (+n others)`` from a sorted array, at most ``limit`` names spelled out."""
     n = F.size(names)
-    head = F.concat_ws(", ", F.slice(names, 1, limit))
+    head = F.concat_ws(between, F.slice(names, 1, limit))
     return F.when(n > limit, F.concat(head, F.lit(" (+"), (n - limit).cast("string"), F.lit(" others)"))).otherwise(head)
 
 
@@ -137,9 +137,13 @@ def validate(records: DataFrame, contract: DataFrame) -> DataFrame:
               .when(F.size("unknown") > 0, "unknown")
               .when(F.size("problems") > 0, "range")
               .when(application_ratio < MIN_APPLICATION_COVERAGE, "coverage"))
-    message = (F.when(reason == "unknown", F.concat(F.lit("unknown features: "), bounded_list(F.col("unknown"))))
-               .when(reason == "range", F.concat(F.lit("out of range: "), bounded_list(F.col("problems"))))
-               .when(reason == "coverage", F.lit("application coverage below the minimum"))
+    counted = lambda names, what, between: F.concat(
+        F.size(names).cast("string"), F.lit(f" {what}: "), bounded_list(F.col(names), between=between))
+    percent = F.concat((F.floor(application_ratio * 1000 + 0.5) / 10).cast("decimal(4,1)").cast("string"), F.lit("%"))
+    message = (F.when(reason == "unknown", counted("unknown", "unknown feature(s)", ", "))
+               .when(reason == "range", counted("problems", "value(s) out of range", "; "))
+               .when(reason == "coverage", F.concat(F.lit("application coverage "), percent,
+                                                    F.lit(f", at least {MIN_APPLICATION_COVERAGE:.0%} needed")))
                .when(reason == "non_finite", F.lit("non-finite values")))
     return agg.select(*KEYS,
                       (F.col("_app") + F.col("_hist")).cast("int").alias("provided"),

@@ -89,6 +89,11 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(best.alias("b")).select("b.threshold", "b.cost")
 
 
+def pairs(n_pos: Column, n_neg: Column) -> Column:
+    """Number of (positive, negative) pairs, as a double: it outgrows a bigint at a few billion rows a class."""
+    return n_pos.cast("double") * n_neg
+
+
 def auc_rank(scores: DataFrame, y: str = "y", p: str = "p", group_cols: list[str] | tuple = ()) -> DataFrame:
     """Mann-Whitney AUC with ties counting half: per distinct score the negatives ranked
     below come from a distributed prefix sum over the distinct scores."""
@@ -99,7 +104,7 @@ def auc_rank(scores: DataFrame, y: str = "y", p: str = "p", group_cols: list[str
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)).alias("_u"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(None).cast("double")) \
-        .otherwise(F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg")))
+        .otherwise(F.col("_u") / pairs(F.col("n_pos"), F.col("n_neg")))
     return u.select(*g, auc.alias("auc"), "n_pos", "n_neg")
 
 

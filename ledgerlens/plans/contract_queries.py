@@ -133,18 +133,19 @@ _FIN = ("fin AS (SELECT request_id, position, count(*) AS n_values, "
         "count(*) FILTER (WHERE isnan(value) OR isinf(value)) AS n_non_finite FROM ent GROUP BY 1, 2)")
 
 
-def _bounded_sql(lst: str) -> str:
-    return (f"CASE WHEN len({lst}) > {C.MAX_LISTED} THEN array_to_string(list_slice({lst}, 1, {C.MAX_LISTED}), ', ') "
-            f"|| ' (+' || CAST(len({lst}) - {C.MAX_LISTED} AS VARCHAR) || ' others)' ELSE array_to_string({lst}, ', ') END")
+def _bounded_sql(lst: str, between: str = ", ") -> str:
+    return (f"CASE WHEN len({lst}) > {C.MAX_LISTED} THEN array_to_string(list_slice({lst}, 1, {C.MAX_LISTED}), '{between}') "
+            f"|| ' (+' || CAST(len({lst}) - {C.MAX_LISTED} AS VARCHAR) || ' others)' ELSE array_to_string({lst}, '{between}') END")
 
 
 _VERDICT = f"""verdict AS (SELECT cov.*,
   CASE WHEN coalesce(fin.n_non_finite, 0) > 0 THEN 'non_finite' WHEN unk.unknown IS NOT NULL THEN 'unknown'
        WHEN rng.problems IS NOT NULL THEN 'range' WHEN cov.application_ratio < {C.MIN_APPLICATION_COVERAGE} THEN 'coverage' END AS reject_reason,
   CASE WHEN coalesce(fin.n_non_finite, 0) > 0 THEN 'non-finite values'
-       WHEN unk.unknown IS NOT NULL THEN 'unknown features: ' || {_bounded_sql('unk.unknown')}
-       WHEN rng.problems IS NOT NULL THEN 'out of range: ' || {_bounded_sql('rng.problems')}
-       WHEN cov.application_ratio < {C.MIN_APPLICATION_COVERAGE} THEN 'application coverage below the minimum' END AS message
+       WHEN unk.unknown IS NOT NULL THEN len(unk.unknown) || ' unknown feature(s): ' || {_bounded_sql('unk.unknown')}
+       WHEN rng.problems IS NOT NULL THEN len(rng.problems) || ' value(s) out of range: ' || {_bounded_sql('rng.problems', '; ')}
+       WHEN cov.application_ratio < {C.MIN_APPLICATION_COVERAGE} THEN 'application coverage '
+            || CAST(CAST(floor(cov.application_ratio * 1000 + 0.5) / 10 AS DECIMAL(4, 1)) AS VARCHAR) || '%, at least {C.MIN_APPLICATION_COVERAGE:.0%} needed' END AS message
 FROM cov LEFT JOIN unk USING (request_id, position) LEFT JOIN rng USING (request_id, position)
 LEFT JOIN fin USING (request_id, position))"""
 

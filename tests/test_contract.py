@@ -37,15 +37,22 @@ def test_unknown_coverage_and_verdict(spark):
         ("b", 0, {"AMT_CREDIT": 5.0}),
     ])
     v = {(r.request_id, r.position): r for r in C.validate(recs, contract).collect()}
-    assert v[("a", 0)].reject_reason == "unknown" and v[("a", 0)].message == "unknown features: AAA, ZZZ"
+    assert v[("a", 0)].reject_reason == "unknown" and v[("a", 0)].message == "2 unknown feature(s): AAA, ZZZ"
     assert v[("a", 1)].reject_reason is None
     assert v[("a", 1)].provided == 5 and v[("a", 1)].application_ratio == 4 / 6 and v[("a", 1)].history_ratio == 0.5
     assert v[("b", 0)].reject_reason == "coverage"
+    assert v[("b", 0)].message.startswith("application coverage 16.7%, at least ")
     batches = {r.request_id: r for r in C.validate_batches(C.validate(recs, contract)).collect()}
     assert batches["a"].status == "rejected" and batches["a"].first_invalid_position == 0
     assert batches["a"].first_reason == "unknown" and batches["b"].n_items == 1
 
 
+def test_range_message_counts_and_separates_problems(spark):
+    recs = _records(spark, [("r", 0, {"AMT_CREDIT": -1.0, "CNT_CHILDREN": -3.0, "EXT_SOURCE_2": 0.5})])
+    message = C.validate(recs, C.contract_table(spark, NAMES)).first().message
+    assert message.startswith("2 value(s) out of range: AMT_CREDIT=-1.0 (") and "; CNT_CHILDREN=-3.0 (" in message
+
+
 def test_bounded_list(spark):
     df = spark.createDataFrame([([f"n{i:02d}" for i in range(13)],)], "names array<string>")
     assert df.select(C.bounded_list(df.names)).first()[0].endswith("n09 (+3 others)")

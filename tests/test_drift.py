@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from ledgerlens.operators import drift as D
-from ledgerlens.operators.logs import parse_period, time_step
+from ledgerlens.operators.logs import Period, series_step
 
 
 def _obs(spark, values, feature="f"):
@@ -38,14 +38,14 @@ def test_bands(spark):
     assert [r[0] for r in df.select(psi_band("psi")).collect()] == ["stable", "moderate", "moderate", "significant"]
 
 
-def test_time_step_and_period():
-    assert [time_step(timedelta(hours=1)), time_step(timedelta(days=1)), time_step(timedelta(days=7)),
-            time_step(None)] == ["minute", "hour", "day", "day"]
+def test_series_step_and_period():
+    assert [series_step(timedelta(hours=1)), series_step(timedelta(days=1)), series_step(timedelta(days=7)),
+            series_step(None)] == ["minute", "hour", "day", "day"]
     now = datetime(2024, 1, 31, tzinfo=timezone.utc)
-    s, e = parse_period("2024-01-05T00:00:00", None, now)
-    assert s.tzinfo is not None and e == now
+    period = Period.between("2024-01-05T00:00:00", now)
+    assert period.start.tzinfo is not None and period.end == now and period.step == "day"
     with pytest.raises(ValueError):
-        parse_period("2024-01-05", "2024-01-01", now)
+        Period.between("2024-01-05", "2024-01-01")
 
 
 def test_seeded_properties(spark):

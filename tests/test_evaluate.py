@@ -56,3 +56,20 @@ def test_auc_grouped_uses_each_group(spark):
     got = {r.g: r.auc for r in E.auc_rank(df, group_cols=["g"]).collect()}
     assert got["a"] == pytest.approx(15 / 21) and got["b"] == pytest.approx(15 / 21)
     assert F is not None
+
+
+def test_rows_without_a_score_count_nowhere(spark):
+    from ledgerlens.operators import evaluate as E
+    rows = [(1, 0.9), (0, 0.1), (1, None), (0, float("nan")), (None, 0.5)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    m = E.metrics_at_threshold(df, 0.5).first()
+    assert (m.tp, m.fp, m.fn, m.tn) == (1, 0, 0, 1)
+    a = E.auc_rank(df).first()
+    assert (a.auc, a.n_pos, a.n_neg) == (1.0, 1, 1)
+
+
+def test_auc_of_more_pairs_than_a_bigint_holds(spark):
+    from pyspark.sql import functions as F
+    from ledgerlens.operators import evaluate as E
+    sizes = spark.createDataFrame([(4_000_000_000, 4_000_000_000)], "n_pos bigint, n_neg bigint")
+    assert sizes.select(E.pairs(F.col("n_pos"), F.col("n_neg"))).first()[0] == 1.6e19

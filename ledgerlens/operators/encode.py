@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import running_totals
+from ledgerlens.session import materialised
+
 # Upper bound on the categories of one column: one-hot output columns are
 # created per category, so a larger catalogue means the column is not categorical.
 MAX_CATEGORIES = 1000
@@ -70,49 +73,32 @@ def category_share(df: DataFrame, key: str, column: str, values: list[str], pref
         for v in values])
 
 
-def factorize(df: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """Integer codes by order of first appearance (explicit ``order``), missing = -1.
+def first_seen_codes(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """``(column, value, code)``: the distinct non-missing values of each column, as text, numbered by where
+    they first appear in ``order``.
 
-    The first position of each value is found by one aggregate; the value table
-    has one row per distinct value, so the rank window runs on that tiny table
-    and the codes are joined back (broadcast when Spark sees it is small).
-    """
-    first = (df.filter(_ref(column).isNotNull())
-             .groupBy(column)
-             .agg(F.min(F.struct(*[_ref(o) for o in order])).alias("_first")))
-    codes = first.select(
-        _ref(column).alias("_value"),
-        (F.dense_rank().over(Window.orderBy("_first")) - 1).alias("_code"))
-    out = df.join(codes, _ref(column).eqNullSafe(F.col("_value")), "left")
-    return out.withColumn(column, F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint")) \
-              .drop("_value", "_code")
-
-
-def factorize_columns(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """``factorize`` of several low-cardinality columns with one aggregation.
-
-    The columns are stacked as ``(column, value, first position)``; one
-    ``groupBy(column, value)`` finds each value's first appearance. That table
-    has one row per distinct value (checked against ``MAX_CATEGORIES``), so it
-    is brought to the driver and turned into CASE expressions: no join back.
+    The columns are stacked, so one ``groupBy(column, value)`` (combined map-side) finds every first
+    appearance; the numbering is a running total over range partitions, whatever the number of values.
     """
+    at = [f"_o{i}" for i in range(len(order))]
     stacked = df.select(
-        F.struct(*[_ref(o) for o in order]).alias("_o"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _ref(c).cast("string").alias("v")) for c in columns]))
-        .alias("_e"))
-    firsts = (stacked.filter(F.col("_e.v").isNotNull())
-              .groupBy(F.col("_e.c").alias("c"), F.col("_e.v").alias("v")).agg(F.min("_o").alias("_o")))
-    rows = firsts.limit(MAX_CATEGORIES * len(columns) + 1).collect()
-    if len(rows) > MAX_CATEGORIES * len(columns):
-        raise ValueError("factorize_columns: too many distinct values for a code table")
-    out = []
-    for name in df.columns:
-        if name not in columns:
-            out.append(_ref(name))
-            continue
-        seen = sorted((tuple(r["_o"]), r["v"]) for r in rows if r["c"] == name)
-        code = F.lit(-1).cast("bigint")
-        for i, (_, v) in reversed(list(enumerate(seen))):
-            code = F.when(_ref(name).cast("string") == F.lit(v), F.lit(i).cast("bigint")).otherwise(code)
-        out.append(code.alias(name))
-    return df.select(*out)
+        *[_ref(o).alias(n) for o, n in zip(order, at)],
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _ref(c).cast("string").alias("value")) for c in columns])))
+    firsts = (stacked.filter(F.col("value").isNotNull()).groupBy("column", "value")
+              .agg(F.min(F.struct(*at)).alias("_first"), F.lit(1).alias("_one")))
+    numbered = running_totals(firsts, ["_first", "value"], ["_one"], ["column"])
+    return numbered.select("column", "value", (F.col("cum__one") - 1).cast("bigint").alias("code"))
+
+
+def factorize(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Replace each column by integer codes in order of first appearance (explicit ``order``), missing = -1.
+
+    The code table is written once and joined to each column by value; Spark broadcasts it when it is small.
+    """
+    codes = materialised(first_seen_codes(df, columns, order), "codes")
+    out = df
+    for i, name in enumerate(columns):
+        table = codes.filter(F.col("column") == name).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
+        out = out.join(table, _ref(name).cast("string") == F.col(f"_v{i}"), "left")
+    coded = {name: F.coalesce(F.col(f"_c{i}"), F.lit(-1).cast("bigint")) for i, name in enumerate(columns)}
+    return out.select(*[coded[c].alias(c) if c in coded else _ref(c) for c in df.columns])

@@ -170,9 +170,7 @@ def factorize_first_seen(spark, d):
     """Codes by order of first appearance (train before test, then key), missing = -1."""
     app = roles.application(spark, d).filter(ne_null_safe("CODE_GENDER", "XNA"))
     app = app.withColumn("_test", F.col("TARGET").isNull().cast("int"))
-    for c in FT.BINARY_APPLICATION:
-        app = factorize(app, c, ["_test", "SK_ID_CURR"])
-    return app.select("SK_ID_CURR", *FT.BINARY_APPLICATION)
+    return factorize(app, FT.BINARY_APPLICATION, ["_test", "SK_ID_CURR"]).select("SK_ID_CURR", *FT.BINARY_APPLICATION)
 
 
 def _pos_oh_sql():

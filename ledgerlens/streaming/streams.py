@@ -74,11 +74,12 @@ def drift_sliding(stream: DataFrame, length: str = "7 days", slide: str = "1 day
 
 def score_stream(stream: DataFrame, contract: DataFrame, model, columns: list[str], out: str, checkpoint: str,
                  threshold: float) -> None:
-    """Validate each micro-batch against the broadcast contract, score the valid
-    records with the fitted pipeline, write predictions and rejects to two sinks.
+    """Validate each micro-batch against the broadcast contract, score the records of valid
+    requests with the fitted pipeline, write predictions and rejects to two sinks.
 
-    Outputs are written under ``batch=<id>`` with overwrite, so a replayed batch
-    after a failure replaces its own files (idempotent on the batch id).
+    A request is all or nothing: one invalid record rejects all of its records, as ``batch`` those that are
+    valid themselves. The verdicts are written once, as the reject log of the batch, and both outputs are
+    under ``batch=<id>`` with overwrite, so a replayed batch replaces its own files (idempotent on the batch id).
     """
     from ledgerlens.operators import contract as C
     from ledgerlens.operators.ml import positive_probability
@@ -86,9 +87,15 @@ def score_stream(stream: DataFrame, contract: DataFrame, model, columns: list[st
     contract = F.broadcast(contract)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         verdict = C.validate(batch, contract).select(*C.KEYS, "reject_reason")
-        rejects = verdict.filter(F.col("reject_reason").isNotNull())
-        valid = batch.join(verdict.filter(F.col("reject_reason").isNull()).select(*C.KEYS), C.KEYS, "left_semi")
+        gate = C.validate_batches(verdict).select("request_id", "status")
+        path = f"{out}/verdicts/batch={batch_id}"
+        verdict.join(gate, "request_id").write.mode("overwrite").parquet(path)
+        verdict = spark.read.parquet(path)
+        rejects = verdict.filter("status = 'rejected'").select(
+            *C.KEYS, F.coalesce("reject_reason", F.lit("batch")).alias("reject_reason"))
+        valid = batch.join(verdict.filter("status = 'accepted'").select(*C.KEYS), C.KEYS, "left_semi")
         dense = valid.select(*C.KEYS, *[F.col("features").getItem(c).alias(c) for c in columns])
         scored = positive_probability(model.transform(dense)).select(
             *C.KEYS, F.col("p").alias("probability"),

@@ -46,7 +46,10 @@ def _application_cols(with_target: bool) -> list[Column]:
     c = F.col
     cols = [c("c_custkey").alias("SK_ID_CURR")]
     if with_target:
-        cols.append(F.when(c("c_acctbal") < 0, 1).otherwise(0).cast("int").alias("TARGET"))
+        # a noisy label: the rate depends on one category, the rest is a hash that no feature holds
+        noise = F.conv(F.substring(F.md5(F.concat(F.lit("label"), c("c_custkey").cast("string"))), 1, 6), 16, 10).cast("bigint") % 100
+        rate = F.when(c("c_mktsegment") == "BUILDING", 25).otherwise(8)
+        cols.append(F.when(noise < rate, 1).otherwise(0).cast("int").alias("TARGET"))
     cols += [
         F.when((c("c_nationkey") == 3) & (c("c_mktsegment") == "MACHINERY"), "XNA")
          .when(c("c_nationkey") == 4, F.lit(None).cast("string"))
@@ -99,7 +102,8 @@ SQL: dict[str, str] = {}
 DEPS: dict[str, tuple[str, ...]] = {}
 
 SQL["application"] = f"""
-    SELECT c_custkey AS SK_ID_CURR, CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS INTEGER) AS TARGET,{_APP_BODY}
+    SELECT c_custkey AS SK_ID_CURR, CAST(CASE WHEN CAST(('0x' || substr(md5('label' || CAST(c_custkey AS VARCHAR)), 1, 6)) AS BIGINT) % 100
+                < CASE WHEN c_mktsegment = 'BUILDING' THEN 25 ELSE 8 END THEN 1 ELSE 0 END AS INTEGER) AS TARGET,{_APP_BODY}
     FROM customer WHERE c_nationkey < 20
     UNION ALL BY NAME
     SELECT c_custkey AS SK_ID_CURR,{_APP_BODY}

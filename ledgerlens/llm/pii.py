@@ -6,8 +6,9 @@ that miss a rule. Boosted trees (MLlib) score every proposal from its format and
 from proposals of a bounded sample: one that lies in a valid base span of its kind is positive, any other
 negative. The features leave out the marks that only the base patterns know (``@``, ``+``), so a proposal
 without them can look like a positive one. A threshold per kind is calibrated on the other half of the
-sample: the lowest score from which on at least ``PRECISION`` of the proposals are positive. Proposals over it that
-overlap no base span are added; base spans always stay.
+sample: the score that ``RECALL`` of the kind's positive proposals reach, if at least ``PRECISION`` of all that
+reach it are positive (the rest are unmarked spans or errors), else none. Proposals over it that overlap no
+base span are added; base spans always stay.
 
 Positions come from the pieces between the matches: a match starts after all earlier pieces and matches.
 Runs of one character class are matched possessively and only from their start (``\\G`` allows the end of the
@@ -30,7 +31,7 @@ from ledgerlens.session import materialised
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000          # proposals that the trees are fitted and calibrated on, at most
-PRECISION = 0.99
+RECALL, PRECISION = 0.8, 0.8
 TREES, DEPTH = 12, 4
 
 # Base patterns of the four kinds, with possessive runs.
@@ -155,12 +156,12 @@ def fit_thresholds(proposals: DataFrame, sample: int = SAMPLE):
     held = held.select("kind", "label", vector_to_array("probability")[1].alias("score"))
     thresholds = {}
     for kind in KINDS:
-        good = n = 0
-        scored = held.filter(F.col("kind") == kind).orderBy(F.desc("score"), "label").collect()  # bounded by sample
-        for r in scored:
-            n, good = n + 1, good + r["label"]
-            if good >= PRECISION * n:
-                thresholds[kind] = r["score"]
+        scored = held.filter(F.col("kind") == kind).select("score", "label").collect()    # bounded by the sample
+        positive = sorted((r["score"] for r in scored if r["label"]), reverse=True)
+        if positive:
+            least = positive[int(RECALL * (len(positive) - 1))]
+            if sum(x >= least for x in positive) >= PRECISION * sum(r["score"] >= least for r in scored):
+                thresholds[kind] = least
     return inputs, model, thresholds
 
 

@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,17 +145,25 @@ def permutation_partners(df: DataFrame, seed: int) -> DataFrame:
     return by_id.join(by_hash, "_r").select("id", "partner")
 
 
-def permuted_variants(df: DataFrame, features: list[str], seeds: list[int]) -> DataFrame:
-    """All (feature, repeat) variants of ``df`` with that one feature permuted, tagged with
-    ``perm_feature`` / ``perm_repeat``: one partner join per seed, then projections."""
+def permuted_scores(model: PipelineModel, df: DataFrame, cols: list[str], seeds: list[int]) -> DataFrame:
+    """``(feature, repeat, y, p)``: every row scored once for each feature and repeat with that one feature taken
+    from the row's partner.
+
+    The rows are prepared (imputed, assembled) once; a variant is the row's vector with one element replaced,
+    so all features take one join per repeat and one pass of the last stage.
+    """
+    prepared = df
+    for stage in model.stages[:-1]:
+        prepared = stage.transform(prepared)
+    rows = checkpointed(prepared.select("id", F.col(LABEL).cast("int").alias("y"), vector_to_array("features").alias("_v")))
     out = None
-    for r, seed in enumerate(seeds, start=1):
-        pairs = permutation_partners(df, seed)
-        partner_vals = df.select(F.col("id").alias("partner"),
-                                 *[F.col(f"`{f}`").alias(f"_perm_{i}") for i, f in enumerate(features)])
-        joined = df.join(pairs, "id").join(partner_vals, "partner").drop("partner")
-        for i, f in enumerate(features):
-            cols = [F.col(f"_perm_{i}").alias(c) if c == f else F.col(f"`{c}`") for c in df.columns]
-            v = joined.select(*cols, F.lit(f).alias("perm_feature"), F.lit(r).alias("perm_repeat"))
-            out = v if out is None else out.unionByName(v)
-    return out
+    for repeat, seed in enumerate(seeds, start=1):
+        partner = rows.select(F.col("id").alias("partner"), F.col("_v").alias("_w"))
+        joined = rows.join(permutation_partners(rows, seed), "id").join(partner, "partner")
+        variants = joined.select("y", "_v", "_w", F.lit(repeat).alias("repeat"),
+                                 F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("_f"))
+        out = variants if out is None else out.unionByName(variants)
+    vector = F.transform("_v", lambda x, i: F.when(i == F.col("_f"), F.get("_w", i)).otherwise(x))
+    scored = model.stages[-1].transform(out.select("y", "repeat", "_f", array_to_vector(vector).alias("features")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return positive_probability(scored).select(F.get(names, F.col("_f")).alias("feature"), "repeat", "y", "p")

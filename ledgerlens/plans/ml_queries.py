@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.columns import decide
 from ledgerlens.operators import evaluate as E
 from ledgerlens.operators import ml as M
+from ledgerlens.operators.sampling import sql_hash_key
 from ledgerlens.plans.feature_queries import build_feature_table
 from ledgerlens.plans.registry import register
 from ledgerlens.session import checkpointed
+from ledgerlens.sources.roles import with_roles
 
 KEY, TARGET = "SK_ID_CURR", "TARGET"
 VALIDATION_FOLD = 0
 TOP_IMPORTANCE = 20
-PERMUTED_FEATURES = 5
 REPEATS = 3
 
 
@@ -25,6 +26,15 @@ def _train(spark, d):
     return M.training_table(build_feature_table(spark, d), KEY, TARGET)
 
 
+@register("training_folds", with_roles("application") + f"""
+SELECT SK_ID_CURR AS id, CAST(TARGET AS INTEGER) AS y,
+       CAST((row_number() OVER (PARTITION BY TARGET ORDER BY {sql_hash_key("SK_ID_CURR")}, SK_ID_CURR) - 1) % 3 AS INTEGER) AS fold
+FROM application WHERE TARGET IS NOT NULL AND CODE_GENDER IS DISTINCT FROM 'XNA'""")
+def training_folds(spark, d):
+    """M9: what the out-of-fold fits start from: labelled ids, label and stratified fold."""
+    return _train(spark, d)[0].select("id", F.col(M.LABEL).cast("int").alias("y"), "fold")
+
+
 @register("oof_predictions")
 def oof_predictions(spark, d):
     """M9: out-of-fold probabilities of a class-weighted logistic pipeline, 3 stratified folds."""
@@ -98,22 +108,15 @@ def feature_importance(spark, d):
 
 @register("permutation_importance")
 def permutation_importance(spark, d):
-    """AUC drop on the validation fold when one of the top-gain features is permuted,
-    3 repeats; all variants are scored in one pass and the AUC is grouped by variant."""
+    """AUC drop on the validation fold when one feature is permuted, for every feature, 3 repeats;
+    all variants are scored in one pass and the AUC is grouped by variant."""
     train, cols, model = _boosted(spark, d)
     valid = checkpointed(train.filter("is_valid").drop("is_valid", "fold"))
-    top = [f for f, _ in sorted(M.feature_importance(model, cols), key=lambda t: (-t[1], t[0]))[:PERMUTED_FEATURES]]
-
-    def scored(df, groups):
-        # the (group, label, score) triples are written once: the rank AUC reads them several times
-        s = M.positive_probability(model.transform(df)).select(*groups, F.col(M.LABEL).cast("int").alias("y"), "p")
-        return E.auc_rank(checkpointed(s), group_cols=groups)
-
-    base_auc = scored(valid, []).select("auc").scalar()   # one-row baseline, inlined
-    variants = M.permuted_variants(valid, top, [100 + r for r in range(REPEATS)])
-    per = scored(variants, ["perm_feature", "perm_repeat"])
-    return per.select(F.col("perm_feature").alias("feature"), F.col("perm_repeat").alias("repeat"),
-                      (base_auc - F.col("auc")).alias("auc_drop"))
+    plain = M.positive_probability(model.transform(valid)).select(F.col(M.LABEL).cast("int").alias("y"), "p")
+    base_auc = E.auc_rank(plain).select("auc").scalar()   # one-row baseline, inlined
+    variants = M.permuted_scores(model, valid, cols, [100 + r for r in range(REPEATS)])
+    per = E.auc_rank(variants, group_cols=["feature", "repeat"])
+    return per.select("feature", "repeat", (base_auc - F.col("auc")).alias("auc_drop"))
 
 
 @register("score_batch")

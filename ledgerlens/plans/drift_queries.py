@@ -12,6 +12,8 @@ from ledgerlens.operators import drift as D
 from ledgerlens.operators import logs as L
 from ledgerlens.operators.ordered import attach, exact_percentiles
 from ledgerlens.operators.sampling import hash_key, sql_hash_key
+from ledgerlens.plans.feature_queries import build_feature_table
+from ledgerlens.plans.feature_sql import feature_table_query
 from ledgerlens.plans.registry import register
 from ledgerlens.session import materialised
 from ledgerlens.sources import roles
@@ -186,6 +188,44 @@ def drift_table(spark, d):
     return D.drift_table(_production(spark, d), _profile(spark, d))
 
 
+# ---------------------------------------------------------------- the whole contract
+_CONTRACT_CTES = [
+    f"ftab AS ({feature_table_query()})",
+    "cells AS (SELECT * FROM (SELECT SK_ID_CURR AS id, TARGET IS NULL AS unlabelled, "
+    "CAST(COLUMNS(* EXCLUDE (SK_ID_CURR, TARGET)) AS DOUBLE) FROM ftab) "
+    "UNPIVOT INCLUDE NULLS (value FOR feature IN (COLUMNS(* EXCLUDE (id, unlabelled)))))",
+    "ref AS (SELECT id, feature, value, value AS probability FROM cells WHERE NOT unlabelled)",
+    "prod AS (SELECT id, feature, value FROM cells WHERE unlabelled)",
+] + _profile_ctes() + _psi_ctes("prod", "pr", [])
+
+
+def _contract_drift(spark, d):
+    """Drift table of every model feature: labelled customers are the reference, the others production."""
+    ft = build_feature_table(spark, d, finish=lambda e: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)")
+    features = {c: F.col(f"`{c}`") for c in ft.columns if c not in ("SK_ID_CURR", "TARGET")}
+    obs = materialised(D.observations(ft, features, ["TARGET"]), "contract-observations")
+    profile = D.reference_profile(obs.filter(F.col("TARGET").isNotNull()))
+    return D.drift_table(obs.filter(F.col("TARGET").isNull()), profile)
+
+
+@register("drift_contract", _with(_CONTRACT_CTES) + f"""
+SELECT p.feature, pr.psi, {_BAND.replace('psi', 'pr.psi')} AS band, p.missing AS missing_reference, pr.missing_production
+FROM profile p LEFT JOIN pr USING (feature)""")
+def drift_contract(spark, d):
+    """PSI, band and missing rates of every feature of the contract, from the feature table."""
+    return _contract_drift(spark, d).drop("importance")
+
+
+@register("drift_contract_share", _with(_CONTRACT_CTES) + """
+SELECT count(*) AS n_features, count(*) FILTER (WHERE psi >= 0.10) AS n_drifted,
+       count(*) FILTER (WHERE psi >= 0.25) AS n_significant FROM pr""")
+def drift_contract_share(spark, d):
+    """How many of the contract's features drifted."""
+    return _contract_drift(spark, d).agg(
+        F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("psi") >= 0.10).alias("n_drifted"),
+        F.count_if(F.col("psi") >= 0.25).alias("n_significant"))
+
+
 @register("missing_rate_gap", _with(_base_ctes(), _psi_ctes("prod", "pr", [])) + f"""
 SELECT feature, missing_reference, missing_production, {R('missing_production - missing_reference')} AS gap,
        row_number() OVER (ORDER BY abs(missing_production - missing_reference) DESC, feature) AS rank

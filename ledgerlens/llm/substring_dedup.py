@@ -13,8 +13,8 @@ places, so two documents that share a string share the suffix at its anchor; abo
    (all strings whose anchor they are, at most ``2 * LENGTH - LEAD`` bytes). A partition sorts its strings by
    multikey quicksort (8 bytes at a time, only what is still tied goes on) and removes those that are equal to one of a
    smaller document.
-3. The first and the last lead of a partition may go on in its neighbours. Their strings are compared across these
-   boundaries: grouped by the string, pre-aggregated to the smallest document, and joined back.
+3. The first and the last lead of a partition may go on in its neighbours. What is left of their strings, each once in
+   the smallest document of the partition, is compared across these boundaries: grouped by the string and joined back.
 
 Only what is repeated is moved with its bytes. Copies of a whole text are found by their hash; all but the
 smallest doc_id lose everything (if they have ``LENGTH`` bytes).
@@ -198,10 +198,8 @@ class _Strings:
 _FOUND = "doc long, begin long, end long, string binary"
 
 
-def _removed(table: pa.Table) -> pa.RecordBatch:
-    """(doc, begin, end) of the bytes to remove, neighbouring strings of a suffix in one."""
-    s = _Strings(table)
-    gone = s.repeated()
+def _ranges(s: _Strings, gone: np.ndarray) -> pa.RecordBatch:
+    """(doc, begin, end) of the strings that are ``gone``, neighbouring strings of a suffix in one."""
     edge = np.concatenate(([True], s.suffix[1:] != s.suffix[:-1]))
     opens = np.flatnonzero(gone & (edge | ~np.concatenate(([False], gone[:-1]))))
     closes = np.flatnonzero(gone & (np.concatenate((edge[1:], [True])) | ~np.concatenate((gone[1:], [False]))))
@@ -210,12 +208,22 @@ def _removed(table: pa.Table) -> pa.RecordBatch:
          pa.nulls(len(opens), pa.binary())], ["doc", "begin", "end", "string"])
 
 
-def _open_strings(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Every string of the suffixes of a lead that may go on in another partition."""
+def _closed(table: pa.Table) -> pa.RecordBatch:
+    """What goes of the suffixes of whole leads."""
+    s = _Strings(table)
+    return _ranges(s, s.repeated())
+
+
+def _open(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """What goes of the suffixes of a lead that may go on in another partition, and the strings that are still
+    open: each once, in the smallest document that has it here."""
     for k in range(0, len(table), _RUNS):
         s = _Strings(table.slice(k, _RUNS).combine_chunks())
-        strings = [s.data[a:a + LENGTH].tobytes() for a in s.at.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(s.doc), pa.array(s.start), pa.array(s.start + LENGTH),
+        gone = s.repeated()
+        yield _ranges(s, gone)
+        left = np.flatnonzero(~gone)
+        strings = [s.data[a:a + LENGTH].tobytes() for a in s.at[left].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(s.doc[left]), pa.array(s.start[left]), pa.array(s.start[left] + LENGTH),
                                           pa.array(strings, pa.binary())], ["doc", "begin", "end", "string"])
 
 
@@ -237,9 +245,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             after = int(np.searchsorted(lead, first_lead, "right"))
             upto = int(np.searchsorted(lead, lead[-1], "left"))
             if after:
-                yield from _open_strings(table.slice(0, min(after, len(table))))
+                yield from _open(table.slice(0, min(after, len(table))))
             if upto > after:
-                yield _removed(table.slice(after, upto - after).combine_chunks())
+                yield _closed(table.slice(after, upto - after).combine_chunks())
             rest = table.slice(max(after, upto))
             held, rows = rest.to_batches(), len(rest)
     if rows:
@@ -248,10 +256,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = int(np.searchsorted(lead, first_lead, "right"))
         upto = max(after, int(np.searchsorted(lead, lead[-1], "left")))
         if upto > after:
-            yield _removed(table.slice(after, upto - after).combine_chunks())
+            yield _closed(table.slice(after, upto - after).combine_chunks())
         for part in (table.slice(0, after), table.slice(upto)):
             if len(part):
-                yield from _open_strings(part.combine_chunks())
+                yield from _open(part.combine_chunks())
 
 
 def _cut_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -35,3 +35,24 @@ def test_uuid_per_request(spark):
 
 def test_shared_path_is_under_checkpoint_dir(spark):
     assert shared_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+
+
+def test_small_result_and_profile_files(spark):
+    import pytest
+
+    from ledgerlens.operators import drift as D
+    from ledgerlens.session import shared_path
+    from ledgerlens.sources import files
+    rows = [("a,b", None, 1.5), ("", "x\"y", None)]
+    df = spark.createDataFrame(rows, "name string, note string, value double")
+    path = shared_path(spark, "small-csv")
+    files.write_csv(df, path)
+    got = files.read_csv(spark, path, "name string, note string, value double").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+    with pytest.raises(Exception):
+        files.read_csv(spark, path, "other string, note string, value double").collect()
+    obs = spark.createDataFrame([(i, "f", float(i)) for i in range(40)], "id int, feature string, value double")
+    profile = D.reference_profile(obs)
+    path = shared_path(spark, "profile-json")
+    files.write_profile(profile, path)
+    assert files.read_profile(spark, path).collect() == profile.collect()

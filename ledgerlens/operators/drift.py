@@ -98,6 +98,17 @@ def psi(obs: DataFrame, profile: DataFrame, group_cols: list[str] | tuple = ())
     return out.withColumn("band", psi_band("psi"))
 
 
+def psi_of_counts(counts: DataFrame, profile: DataFrame, group_cols: list[str]) -> DataFrame:
+    """PSI per group and feature from ``(group..., feature, class, n)``, classes without a row counting 0."""
+    g = [*group_cols, "feature"]
+    per = counts.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("_n"), F.sum("n").alias("_all"))
+    j = per.join(F.broadcast(profile.select("feature", F.posexplode("proportions").alias("class", "r"))), "feature")
+    share = F.coalesce(F.try_element_at("_n", F.col("class")), F.lit(0)) / F.col("_all")
+    p, r = F.greatest(share, F.lit(EPSILON)), F.greatest(F.col("r"), F.lit(EPSILON))
+    out = j.groupBy(*g).agg(round_dec(F.sum((p - r) * F.log(p / r)), PSI_DECIMALS).alias("psi"))
+    return out.withColumn("band", psi_band("psi"))
+
+
 def drift_table(obs: DataFrame, profile: DataFrame, group_cols: list[str] | tuple = ()) -> DataFrame:
     """PSI, band, missing rates and importance per feature of the profile. Without
     groups the profile drives the join, so a feature with no production row still

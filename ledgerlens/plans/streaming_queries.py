@@ -12,6 +12,7 @@ from ledgerlens.functions.rounding import round_sig, sql_round_sig
 from ledgerlens.operators import evaluate as E
 from ledgerlens.operators import ml as M
 from ledgerlens.plans import contract_queries as CQ
+from ledgerlens.plans import drift_queries as DQ
 from ledgerlens.plans.feature_queries import build_feature_table
 from ledgerlens.plans.registry import register
 from ledgerlens.session import shared_path
@@ -83,6 +84,24 @@ def stream_drift_sliding(spark, d):
     return back.select(_ntz("window_start"), _ntz("window_end"), "n", "rejected")
 
 
+_WINDOWED = ("swin AS (SELECT o.*, CAST(date_trunc('day', occurred_at) AS TIMESTAMP) - to_days(CAST(k AS INTEGER)) AS ws "
+             "FROM obs o, range(7) t(k))")
+
+
+@register("stream_drift_psi", "WITH " + ",\n".join([*DQ._base_ctes(), _WINDOWED, *DQ._psi_ctes("swin", "w", ["ws"])]) + f"""
+SELECT ws AS window_start, ws + INTERVAL 7 DAY AS window_end, feature, psi, {DQ._BAND} AS band FROM w
+WHERE ws + INTERVAL 7 DAY <= (SELECT max(occurred_at) FROM pred) - INTERVAL 1 DAY
+  AND (ws, feature) IN (SELECT (ws, feature) FROM swin WHERE value IS NOT NULL)""")
+def stream_drift_psi(spark, d):
+    """PSI per feature of every closed 7-day window (slide 1 day) against the profile of window A."""
+    base = _base(spark, "psi")
+    S.write_json_log(roles.predictions(spark, d), f"{base}/in")
+    stream = S.read_json_stream(spark, f"{base}/in", S.PREDICTION_SCHEMA)
+    S.psi_stream(stream, DQ._feature_columns(), DQ._profile(spark, d), f"{base}/out", f"{base}/checkpoint")
+    back = spark.read.parquet(f"{base}/out")
+    return back.select(_ntz("window_start"), _ntz("window_end"), "feature", "psi", "band")
+
+
 @register("stream_score")
 def stream_score(spark, d):
     """A stream of application records validated and scored per micro-batch; rejects and

@@ -72,6 +72,32 @@ def drift_sliding(stream: DataFrame, length: str = "7 days", slide: str = "1 day
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "rejected"))
 
 
+def psi_stream(stream: DataFrame, features: dict, profile: DataFrame, out: str, checkpoint: str,
+               length: str = "7 days", slide: str = "1 day", delay: str = "1 day") -> None:
+    """PSI per feature of every closed sliding window, written by batch id with overwrite.
+
+    The state is one counter per open window, feature and class; the bounds come from the broadcast profile. A
+    window reaches the sink once, when the watermark closes it, and its PSI needs nothing but its counters.
+    """
+    from ledgerlens.operators import drift as D
+
+    obs = D.observations(stream.withWatermark("occurred_at", delay), features, ["occurred_at"])
+    classed = obs.filter(F.col("value").isNotNull()).join(F.broadcast(profile.select("feature", "bounds")), "feature")
+    counts = classed.groupBy(F.window("occurred_at", length, slide).alias("w"), "feature",
+                             D.class_of(F.col("bounds"), F.col("value")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature", "class", "n")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        found = D.psi_of_counts(batch, profile, ["window_start", "window_end"])
+        found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (counts.writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def score_stream(stream: DataFrame, contract: DataFrame, model, columns: list[str], out: str, checkpoint: str,
                  threshold: float) -> None:
     """Validate each micro-batch against the broadcast contract, score the records of valid

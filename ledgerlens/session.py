@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,9 @@ DEFAULT_CONF = {
 }
 
 
+_open_blocks: list[list[str]] = []          # paths written inside each open scratch_tables block
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ledgerlens") -> SparkSession:
     """Return (or create) the session with the library defaults applied."""
@@ -71,17 +76,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+def materialised(df: DataFrame, name: str = "table", scratch: bool = True) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Like ``checkpointed`` it cuts the lineage and survives lost executors; the table is columnar,
-    so later uses read only the columns they need and the planner knows its size.
+    so later uses read only the columns they need and the planner knows its size. Inside
+    ``scratch_tables`` a ``scratch`` table is deleted at the end of the block.
     """
     path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    if scratch and _open_blocks:
+        _open_blocks[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """A block whose materialised tables are deleted when it ends. What it leaves must be written before
+    (``materialised(..., scratch=False)``), not a frame that still reads them."""
+    _open_blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _open_blocks.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: its cleaner acts when the
     driver's garbage is collected, which a driver with little garbage does only every half hour."""

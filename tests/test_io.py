@@ -56,3 +56,15 @@ def test_small_result_and_profile_files(spark):
     path = shared_path(spark, "profile-json")
     files.write_profile(profile, path)
     assert files.read_profile(spark, path).collect() == profile.collect()
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from ledgerlens.session import materialised, scratch_tables
+    base = spark.conf.get("spark.checkpoint.dir")
+    with scratch_tables(spark):
+        gone = materialised(spark.range(3), "gone-test")
+        kept = materialised(gone.filter("id > 0"), "kept-test", scratch=False)
+    names = os.listdir(base)
+    assert not any(n.startswith("gone-test") for n in names) and kept.count() == 2

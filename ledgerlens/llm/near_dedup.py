@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import components
+from ledgerlens.llm.text import broadcast_if_few
 from ledgerlens.operators.ranges import with_previous
 from ledgerlens.session import materialised
 
@@ -220,7 +221,8 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = near.select("tree", "prefix", F.explode(F.array("a", "b")).alias("id")).distinct()
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     pairs = materialised(_estimated(pairs, classes).filter(F.col("likeness") >= percent / 100 - SLACK), "pairs")
-    needed = members.select("id").distinct()
+    # the texts with a neighbour
+    needed = broadcast_if_few(members.select("id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi")
     sets = materialised(texts.mapInArrow(_sets, "id long, set binary"), "sets")
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import materialised
 from ledgerlens.sources.tables import table_path
 
+BROADCAST_ROWS = 1_000_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,3 +42,10 @@ def unpacked(rows: DataFrame, columns: list[str], made: dict[str, Column] | None
     made = made or {}
     return rows.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in columns],
                        *[v.alias(c) for c, v in made.items() if c not in columns])
+
+
+def broadcast_if_few(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (short rows), written once, with a broadcast hint if they are at most ``most``: a join with texts then shuffles
+    no text. More keys are joined by a shuffle."""
+    keys = materialised(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= most else keys

@@ -23,8 +23,8 @@ from ledgerlens.llm.language_id import accepted, learn_profiles
 from ledgerlens.llm.line_dedup import without_repeated_lines
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_dedup import near_duplicates
-from ledgerlens.llm.text import packed, same_document, table, unpacked
-from ledgerlens.session import materialised
+from ledgerlens.llm.text import broadcast_if_few, packed, same_document, table, unpacked
+from ledgerlens.session import materialised, scratch_tables
 
 SIMILARITY = 80          # percent
 LEAST_SCORE = 0.2        # of the nearest language
@@ -40,28 +40,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs, SIMILARITY).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns]).union(
-        docs.filter("doc_id IS NULL"))
+    found = near_duplicates(docs, SIMILARITY).filter("doc_id IS NOT NULL")
+    per = found.groupBy("doc_id").agg(F.count("kept").alias("n"), F.max("kept").alias("kept"))
+    odd = materialised(per.filter("n > 1 OR NOT kept"), "odd-ids")
+    rows = docs.join(broadcast_if_few(odd.select("doc_id")), "doc_id", "left_anti")
+    twice = odd.filter("kept").select("doc_id")
+    if not twice.isEmpty():
+        rows = rows.unionByName(docs.join(broadcast_if_few(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
     hit = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    rows = packed(docs).join(hit, same_document("_row.doc_id", "_md5", "_id", "_key"), "left_anti")
+    rows = packed(docs).join(broadcast_if_few(hit), same_document("_row.doc_id", "_md5", "_id", "_key"), "left_anti")
     return unpacked(rows, docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated rows are separate documents of the mix; they are joined as one row and listed apart again."""
     made = ["size", "source_size", "target", "taken", "mix_start"]
-    mixed = mix_sources(docs).filter("taken > 0").groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key")).agg(
+    mixed = mix_sources(docs).filter("taken > 0").groupBy(F.struct("doc_id", "source", "key").alias("_same")).agg(
         F.collect_list(F.struct(*made)).alias("_mixed"))
-    rows = packed(docs).withColumns({"_doc": F.col("_row.doc_id"), "_from": F.col("_row.source")})
-    rows = rows.dropDuplicates(["_doc", "_from", "_md5"])
-    same = same_document("_doc", "_md5", "_id", "_key") & F.col("_from").eqNullSafe(F.col("_source"))
-    rows = rows.join(mixed, same).withColumn("_m", F.explode("_mixed"))
+    # one struct as the key: NULLs are equal in it, and the texts are shuffled once for both steps
+    rows = packed(docs).withColumn("_same", F.struct("_row.doc_id", "_row.source", F.col("_md5").alias("key")))
+    rows = rows.dropDuplicates(["_same"]).join(mixed, "_same").withColumn("_m", F.explode("_mixed"))
     return unpacked(rows, docs.columns, {c: F.col("_m")[c] for c in made}).orderBy("mix_start")
 
 
@@ -75,5 +78,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "*")
     for name, stage in STAGES:
-        docs = materialised(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_tables(spark):
+            docs = materialised(stage(spark, docs, sf_dir), f"stage-{name}", scratch=False)
     return docs

@@ -9,15 +9,15 @@ places, so two documents that share a string share the suffix at its anchor; abo
 1. Anchors are range-partitioned by (hash of their leading ``LEAD`` bytes, doc_id) with splitters that Spark samples, so an
    anchor that a third of all documents have is spread over many partitions. In the sorted partitions a suffix lives on
    if a neighbour of another document has the same lead; the rows at a partition's ends always do.
-2. The living suffixes of one copy of each text are range-partitioned again, now with the strings around them
+2. The living suffixes are range-partitioned again, now with the strings around them
    (all strings whose anchor they are, at most ``2 * LENGTH - LEAD`` bytes). A partition sorts its strings by
    multikey quicksort (8 bytes at a time, only what is still tied goes on) and removes those that are equal to one of a
    smaller document.
 3. The first and the last lead of a partition may go on in its neighbours. What is left of their strings, each once in
    the smallest document of the partition, is compared across these boundaries: grouped by the string and joined back.
 
-Only what is repeated is moved with its bytes. Copies of a whole text are found by their hash; all but the
-smallest doc_id lose everything (if they have ``LENGTH`` bytes).
+Only what is repeated is moved with its bytes. Copies of a whole text are found by their hash before all this; all but the
+smallest doc_id lose everything (if they have ``LENGTH`` bytes) and take no further part.
 
 Defined cases: a NULL text is empty; texts shorter than ``LENGTH`` bytes stay; a row without doc_id is compared with
 nothing and stays; rows of one doc_id and text are copies of one document and all get its result; if rows of one doc_id have different
@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.near_dedup import mixed
-from ledgerlens.llm.text import text_or_empty
+from ledgerlens.llm.text import broadcast_if_few, text_or_empty
 from ledgerlens.operators.ranges import running_totals
 from ledgerlens.session import materialised, release_shuffles
 
 LENGTH = 50
 LEAD = 20
 _CHUNK = 1 << 20                      # places that one step looks at
+BROADCAST_COPIES = 4_000_000          # ids of 8 bytes; more are joined by a shuffle
 _RUNS = 20_000                        # suffixes that are sorted at once, at least
 
 _BYTE_HASH = np.random.default_rng(50).integers(1, 2**63, 256, np.uint64)
@@ -262,15 +263,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _open(part.combine_chunks())
 
 
-def _cut_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cut_doc, n_removed, n_spans, kept_sha256) of the documents in ``ids`` that lose bytes, from ``texts`` (doc, text)."""
+def _cut_texts(texts: DataFrame) -> DataFrame:
+    """(cut_doc, n_removed, n_spans, kept_sha256) of the documents of ``texts`` (doc, text) that lose bytes."""
     found = texts.mapInArrow(_leads, "lead long, doc long")
     sorted_leads = found.repartitionByRange("lead", "doc").sortWithinPartitions("lead", "doc")
     alive = sorted_leads.mapInArrow(_living, "lead long, doc long").groupBy("doc").agg(F.collect_list("lead").alias("leads"))
     alive = materialised(alive, "living")
     release_shuffles(texts.sparkSession)
     # the texts with a living suffix, once; what follows reads them from here
-    living = materialised(texts.join(alive.join(ids, "doc", "left_semi"), "doc").dropDuplicates(["doc"]), "texts")
+    living = materialised(texts.join(alive, "doc").dropDuplicates(["doc"]), "texts")
     release_shuffles(texts.sparkSession)
     around = living.mapInArrow(_strings_around, "lead long, doc long, first long, around binary")
     spread = around.repartitionByRange("lead", "doc").sortWithinPartitions("lead", "doc")
@@ -327,10 +328,10 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
     n, whole = F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")
     sizes = materialised(known.select("doc_id", "key", "doc", n, whole), "sizes")
     firsts = materialised(sizes.filter(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.min("doc").alias("first")), "firsts")
-    # the smallest document of each text; its repeated rows are one
-    ids = firsts.select(F.col("first").alias("doc"))
+    # only the smallest document of each text takes part
+    copies = sizes.join(firsts, "key").filter("doc > first").select("doc").distinct()
     texts = known.filter(F.octet_length("text") >= LENGTH).select("doc", "text")
-    cut = _cut_texts(texts, ids)
+    cut = _cut_texts(texts.join(broadcast_if_few(copies, BROADCAST_COPIES), "doc", "left_anti"))
     out = sizes.join(firsts, "key", "left").join(cut, F.col("doc") == F.col("cut_doc"), "left")
     copy = F.col("first") < F.col("doc")
     out = out.select(

@@ -48,8 +48,8 @@ LOOSE = {
     "email": _LOCAL + r"\x20?(?:@|\(at\)|\[at\])\x20?" + _DOMAIN,
     "phone": r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{2,4}[\x20.-][0-9]{3,5}(?![0-9])",
 }
-# A text without the mark has no match, and its regular expression is not run.
-MARKS = {"email": r"@|\(at\)|\[at\]", "phone": "[0-9][0-9]"}
+# Per (kind, strict), what every match of the pattern holds: a text without it has none, and the pattern is not run.
+MARKS = {("email", True): "@", ("email", False): r"@|\(at\)|\[at\]", ("phone", True): r"\+[0-9]", ("phone", False): "[0-9][0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _HINTS = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|pay|account",
           "phone": "phone|tel|call|fax|mobile"}
@@ -88,7 +88,7 @@ def _matches(text: Column, kind: str, strict: bool, pattern: str) -> Column:
         F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), x["p"]["gap"].alias("gap"),
         x["p"]["before"].alias("before"), x["p"]["after"].alias("after"), x["m"].alias("match")))
     rows = F.when(F.size(found) > 0, rows)
-    return F.when(text.rlike(MARKS[kind]), rows) if kind in MARKS else rows
+    return F.when(text.rlike(MARKS[kind, strict]), rows) if (kind, strict) in MARKS else rows
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -162,6 +162,20 @@ def test_base_spans_equal_the_plain_patterns(spread):
         assert set(filter(None, text.split(","))) <= set(got[d].spans.split(","))
 
 
+SPACED = ["call +1 2 3 4 5 6 7 8 now", "+1.2.3.4.5.6.7.8", "+1 (2) 3-4 5 6 7 8", "+ 1 2 3 4 5 6 7 8", "+1 2 3 4 5 6 7", "1 2 3 4 5 6 7 8",
+          "x@y.z +1 2 3 4 5 6 7 8", "@ (at) [at] +"]
+
+
+def test_base_spans_of_texts_without_adjacent_digits(spread):
+    rows = list(enumerate(SPACED))
+    got = {r.doc_id: r for r in digest_spans(detect(spread.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for d, t in rows:
+        want = _base(t)
+        assert [got[d][f"n_{k}"] for k in PATTERNS] == [sum(w[0] == k for w in want) for k in PATTERNS]
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    assert sum(r.n_phone for r in got.values()) == 4
+
+
 def test_boosted_proposals_add_spans_like_the_learned_ones(spark):
     rnd = random.Random(7)
     rows = []

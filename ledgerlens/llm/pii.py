@@ -3,10 +3,10 @@
 Per kind a strict base pattern with a validity rule marks sure spans, and a loose generator proposes
 more, which may overlap them: addresses written with ``(at)``, numbers without a country code, groups
 that miss a rule. Boosted trees (MLlib) score every proposal from its format and its context. They learn
-from proposals of a bounded sample: one that lies in a valid base span of its kind is positive, any other
-negative. The features leave out the marks that only the base patterns know (``@``, ``+``), so a proposal
-without them can look like a positive one. A threshold per kind is calibrated on the other half of the
-sample: the score that ``RECALL`` of the kind's positive proposals reach, if at least ``PRECISION`` of all that
+from a bounded sample of each kind's distinct proposals: one that lies in a valid base span of its kind is positive,
+any other negative. The features leave out the marks that only the base patterns know (``@``, ``+``), so a proposal
+without them can look like a positive one. A threshold per kind is calibrated on all proposals that are not in the
+sample (at least about half of them): the score that ``RECALL`` of the kind's positive proposals reach, if at least ``PRECISION`` of all that
 reach it are positive (the rest are unmarked spans or errors), else none. Proposals over it that overlap no
 base span are added; base spans always stay.
 
@@ -20,6 +20,8 @@ positive and negative proposals in the sample nothing is added; spans are code p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,10 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.text import text_or_empty
+from ledgerlens.operators.ranges import running_totals
 from ledgerlens.session import materialised
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000          # proposals that the trees are fitted and calibrated on, at most
+SAMPLE = 20_000          # proposals that the trees are fitted on, at most; an equal share for each kind
 RECALL, PRECISION = 0.8, 0.8
 TREES, DEPTH = 12, 4
 
@@ -92,14 +95,15 @@ def _matches(text: Column, kind: str, strict: bool, pattern: str) -> Column:
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: row, doc_id) and (spans: row, kind, strict, start, end, match, before, after)."""
+    """(documents: row, doc_id) and (spans: row, doc, kind, strict, start, end, match, before, after); ``doc`` is
+    a hash of doc_id."""
     text = F.col("_text")
     generators = [(k, True, p) for k, p in BASE.items()] + [(k, False, p) for k, p in LOOSE.items()]
     found = [F.coalesce(_matches(text, *g), F.array()) for g in generators]
     rows = docs.select("doc_id", text_or_empty("text").alias("_text")).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*found).alias("found"))
     rows = materialised(rows, "pii")
-    each = rows.select("row", F.explode("found").alias("s")).select("row", "s.*")
+    each = rows.select("row", F.xxhash64("doc_id").alias("doc"), F.explode("found").alias("s")).select("row", "doc", "s.*")
     upto = Window.partitionBy("row", "kind", "strict").orderBy("i")
     width = F.char_length("match")
     end = F.sum(F.col("gap").cast("long") + width).over(upto)
@@ -142,43 +146,59 @@ def marked(spans: DataFrame) -> DataFrame:
         "clear": F.coalesce(reach <= F.col("start"), F.lit(True)) & F.coalesce(ahead >= F.col("end"), F.lit(True))})
 
 
-def fit_thresholds(proposals: DataFrame, sample: int = SAMPLE):
-    """(model, {kind: threshold}) from at most ``sample`` proposals, or None without both labels."""
-    drawn = proposals.select("kind", "inside", *[f"f_{f}" for f in FEATURES], F.xxhash64("kind", "start", "match", "before").alias("draw"))
-    drawn = materialised(drawn.orderBy("draw").limit(sample).select(
-        "kind", F.col("inside").cast("double").alias("label"), *[f"f_{f}" for f in FEATURES],
-        (F.pmod("draw", F.lit(2)) == 0).alias("fit")), "pii-sample")
-    if drawn.filter("fit").agg(F.count_distinct("label")).first()[0] < 2:
+def _drawn(proposals: DataFrame, each: int) -> DataFrame:
+    """Of every kind the ``each`` distinct proposals of smallest draw, among those of even draws. Copies count once."""
+    content = ["kind", "inside", "match", "before", "after"]
+    even = proposals.filter(F.pmod("draw", F.lit(2)) == 0)
+    parts = [even.filter(F.col("kind") == kind).groupBy(*content).agg(F.min("draw").alias("draw"))
+             .orderBy("draw", *content).limit(each) for kind in KINDS]
+    return materialised(with_features(reduce(DataFrame.unionByName, parts)), "pii-sample")
+
+
+def calibrated(scored: DataFrame) -> dict[str, float]:
+    """{kind: threshold} from every row of ``scored`` (kind, score, inside): distinct scores with their counts, from the
+    highest on."""
+    counts = scored.groupBy("kind", "score").agg(F.count("kind").alias("n"), F.count_if("inside").alias("positive"))
+    totals = running_totals(counts.withColumn("down", -F.col("score")), ["down"], ["n", "positive"], ["kind"])
+    per = totals.groupBy("kind").agg(F.max("cum_positive").alias("all"))
+    reached = totals.join(F.broadcast(per), "kind").filter(F.col("cum_positive") > F.floor(RECALL * (F.col("all") - 1)))
+    first = reached.filter("all > 0").groupBy("kind").agg(F.max_by(F.struct("score", "cum_n", "cum_positive"), "score").alias("f"))
+    found = first.filter(F.col("f.cum_positive") >= PRECISION * F.col("f.cum_n")).select("kind", "f.score").collect()
+    return {r["kind"]: r["score"] for r in found}           # one row of each kind at most
+
+
+def score_proposals(spans: DataFrame, sample: int = SAMPLE):
+    """(the proposals of ``spans`` with draw, score and whether the trees were ``fitted`` on it, {kind: threshold}), or None
+    if the sample lacks a label. The draw depends on the document, so that copies of a passage have different ones."""
+    proposals = spans.filter("proposal").withColumn("draw", F.xxhash64("doc", "kind", "start", "match", "before"))
+    drawn = _drawn(proposals, max(1, sample // len(KINDS)))
+    if drawn.agg(F.count_distinct("inside")).first()[0] < 2:
         return None
     inputs = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(inputs.transform(drawn.filter("fit")).repartition(2))
-    held = model.transform(inputs.transform(drawn.filter("not fit")))
-    held = held.select("kind", "label", vector_to_array("probability")[1].alias("score"))
-    thresholds = {}
-    for kind in KINDS:
-        scored = held.filter(F.col("kind") == kind).select("score", "label").collect()    # bounded by the sample
-        positive = sorted((r["score"] for r in scored if r["label"]), reverse=True)
-        if positive:
-            least = positive[int(RECALL * (len(positive) - 1))]
-            if sum(x >= least for x in positive) >= PRECISION * sum(r["score"] >= least for r in scored):
-                thresholds[kind] = least
-    return inputs, model, thresholds
+    learned = inputs.transform(drawn.withColumn("label", F.col("inside").cast("double")))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(learned.select("label", "features").repartition(2))
+    fitted = F.lit(False)
+    for r in drawn.groupBy("kind").agg(F.max("draw").alias("most")).collect():
+        fitted = fitted | ((F.col("kind") == r["kind"]) & (F.pmod("draw", F.lit(2)) == 0) & (F.col("draw") <= r["most"]))
+    scored = model.transform(inputs.transform(with_features(proposals)))
+    scored = materialised(scored.select("row", "kind", "start", "end", "inside", "clear", "draw", fitted.alias("fitted"),
+                                        vector_to_array("probability")[1].alias("score")), "pii-scores")
+    return scored, calibrated(scored.filter("not fitted"))
 
 
 def detect(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id and ``found``, the sorted spans (kind number, kind, start, end, base)."""
     rows, spans = find_spans(docs)
-    spans = materialised(with_features(marked(spans)), "pii-spans")
-    fitted = fit_thresholds(spans.filter("proposal"), sample)
+    spans = materialised(marked(spans), "pii-spans")
+    made = score_proposals(spans, sample)
     chosen = spans.filter("base").select("row", "kind", "start", "end", "base")
-    if fitted:
-        inputs, model, thresholds = fitted
+    if made:
+        scored, thresholds = made
         over = F.lit(False)
         for kind, least in thresholds.items():
             over = over | ((F.col("kind") == kind) & (F.col("score") >= least))
-        scored = model.transform(inputs.transform(spans.filter("proposal and clear")))
-        scored = scored.withColumn("score", vector_to_array("probability")[1]).filter(over)
-        chosen = chosen.unionByName(scored.select("row", "kind", "start", "end", F.lit(False).alias("base")).distinct())
+        added = scored.filter("clear").filter(over).select("row", "kind", "start", "end", F.lit(False).alias("base"))
+        chosen = chosen.unionByName(added.distinct())
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     found = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         number.alias("number"), "start", "end", "kind", "base"))).alias("found"))

@@ -1,5 +1,6 @@
 """URL rules, source mixing, multiset fingerprints, personal data and revisits against brute force."""
 
+import collections
 import hashlib
 import random
 import re
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.multiset_fingerprint import as_text, combined, fingerprint_edits, with_fingerprint
-from ledgerlens.llm.pii import detect, digest_spans, redact
+from ledgerlens.llm.pii import PRECISION, RECALL, calibrated, detect, digest_spans, find_spans, marked, redact, score_proposals
 from ledgerlens.llm.url_rules import judge_urls
 from ledgerlens.llm.warc import canonical_url, resolve_revisits
 
@@ -189,6 +190,54 @@ def test_boosted_proposals_add_spans_like_the_learned_ones(spark):
     assert added <= {i for i in range(0, 600, 10)} and len(added) > 30
 
 
+def _rare_phones(rnd):
+    """Phones, every tenth unmarked, beside 150 times as many e-mails, half of them copies of one text."""
+    for i in range(100):
+        mark = "+1 " if i % 10 else ""
+        mails = " ".join(f"x{k if i % 2 else rnd.randint(0, 10**6)}@y.org" for k in range(150))
+        yield i, (f"{mails} phone {mark}({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)} {words(rnd, 4)} "
+                  f"{rnd.randint(10, 99)}.{rnd.randint(100, 999)}-{rnd.randint(1000, 99999)}x")
+
+
+def test_a_rare_kind_is_calibrated_beside_a_hot_one(spark):
+    docs = spark.createDataFrame(list(_rare_phones(random.Random(7))), "doc_id long, text string")
+    got = digest_spans(detect(docs, sample=200)).collect()
+    added = {r.doc_id for r in got if r.n_phone == 0 and "phone:" in r.spans}
+    assert sum(r.n_phone for r in got) == 90
+    assert added <= set(range(0, 100, 10)) and len(added) >= 5
+
+
+def test_thresholds_are_those_of_all_proposals_outside_the_sample(spread):
+    docs = spread.createDataFrame(list(_rare_phones(random.Random(8))), "doc_id long, text string")
+    scored, thresholds = score_proposals(marked(find_spans(docs)[1]), sample=200)
+    rows = scored.collect()
+    n = collections.Counter(r.kind for r in rows if r.fitted)
+    assert len(rows) > 15000 and 0 < n["phone"] <= 50 and n["email"] >= 25 and len(rows) - sum(n.values()) > 7000
+    want = _thresholds([r for r in rows if not r.fitted])
+    assert thresholds == want and set(want) >= {"email", "phone"}
+
+
+def _thresholds(rows):
+    out = {}
+    for kind in {r.kind for r in rows}:
+        positive = sorted((r.score for r in rows if r.kind == kind and r.inside), reverse=True)
+        if positive:
+            least = positive[int(RECALL * (len(positive) - 1))]
+            if sum(x >= least for x in positive) >= PRECISION * sum(r.kind == kind and r.score >= least for r in rows):
+                out[kind] = least
+    return out
+
+
+def test_calibration_equals_brute_force(spread):
+    rnd = random.Random(9)
+    share = {"email": 0.9, "ip": 0.5, "card": 0.0, "phone": 0.3}
+    for _ in range(3):
+        rows = [(k, round(min(1.0, rnd.random() * (0.5 + p)), rnd.choice([1, 3])), rnd.random() < p) for k, p in share.items() for _ in range(rnd.randint(1, 300))]
+        made = spread.createDataFrame(rows, "kind string, score double, inside boolean")
+        assert calibrated(made) == _thresholds(made.collect())
+    assert calibrated(made.limit(0)) == {}
+
+
 def test_personal_data_odd_rows(spark, no_docs):
     assert digest_spans(detect(no_docs)).count() == 0
     rows = [(1, "a@b.c"), (1, "a@b.c"), (None, "x 1.2.3.4"), (2, None)]

@@ -6,9 +6,9 @@ rarest by its count over all documents. Documents' words are joined with these t
 in the window bounds the place of the occurrence (it must start and end inside the document), and
 the candidate is verified word by word. Words inside a verified occurrence are hit.
 
-The benchmark side of the join is broadcast. It is taken in blocks of items of at most ``BLOCK_WORDS`` words, so its size
-is bounded however large the benchmark is; each block reads the documents' words again. Items are never cut:
-one longer than a block is a block.
+The benchmark side of the join is broadcast. It is taken in blocks of windows of about ``BLOCK_WORDS`` words, so its size
+is bounded however large the benchmark or one of its items is; each block reads the documents' words again. Windows
+are verified one by one, so an item's windows may lie in several blocks.
 
 Defined cases: words are runs of digits, letters and characters above ASCII, A-Z lower-cased; a NULL text has no words; an
 item without words has no window; an item without id contaminates, but is not counted or listed; items with
@@ -47,10 +47,11 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _blocks(windows: DataFrame) -> list[DataFrame]:
-    """``windows`` in parts of about ``BLOCK_WORDS`` words, all windows of an item in one."""
+    """``windows`` in parts of about ``BLOCK_WORDS`` words, dealt by window and item, so that neither a long item, nor items
+    without id, nor a window of many items fill one part."""
     words = windows.agg(F.sum(F.size("words"))).first()[0] or 0
     n = -(-words // BLOCK_WORDS)
-    part = F.pmod(F.xxhash64("item"), F.lit(n))
+    part = F.pmod(F.xxhash64("words", "item"), F.lit(n))
     return [windows.filter(part == k) for k in range(n)] if n > 1 else [windows] * n
 
 

@@ -51,6 +51,21 @@ def test_equals_brute_force(spread, monkeypatch, block):
     assert sum(v[4] for v in got.values()) > 10
 
 
+def test_blocks_are_bounded_for_long_items_items_without_id_and_common_windows(spread, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 1000)
+    rnd = random.Random(13)
+    long, common = words(rnd, 400), words(rnd, 10)
+    items = [(1, long)] + [(None, words(rnd, 12)) for _ in range(100)] + [(i, common) for i in range(2, 202)]
+    windows = decontamination.item_windows(spread.createDataFrame(items, "item_id long, text string"))
+    blocks = [[(r["item"], tuple(r["words"])) for r in b.collect()] for b in decontamination._blocks(windows)]
+    sizes = [sum(len(w) for _, w in b) for b in blocks]
+    assert max(sizes) <= 1500 and sum(sizes) == 10 * (391 + 300 + 200)
+    assert sorted(map(repr, sum(blocks, []))) == sorted(repr((r["item"], tuple(r["words"]))) for r in windows.collect())
+    docs = [(1, "x " + " ".join(long.split()[100:130])), (2, items[5][1] + " y"), (3, common), (4, "nothing")]
+    made = contamination(spread.createDataFrame(docs, "doc_id long, text string"), spread.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, list(r["items"]), r.contaminated) for r in made.collect()} == brute(docs, items)
+
+
 def test_odd_rows(spark, no_docs, odd_docs):
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert contamination(no_docs, items).count() == 0

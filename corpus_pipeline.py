@@ -5,12 +5,13 @@ folder and rereads them as the next stage's docs. All but the last stage return
 
 1. ``language_id`` drops documents without a letter and those that are far from every language's profile.
 2. ``line_dedup`` removes repeated three-line windows; a document of which nothing is left goes.
-3. ``near_dedup`` keeps the smallest doc_id of every group of near duplicates (similarity 0.8).
+3. ``near_dedup`` keeps the smallest (doc_id, md5 of the text) of every group of near duplicates (similarity 0.8).
 4. ``decontamination`` drops documents with a window of a benchmark item.
 5. ``source_mix`` takes documents to the sources' target weights; rows come in the order of the mix, with
    size, source_size, target, taken (words) and mix_start. Documents of which no word is taken go.
 
-Rows without doc_id and repeated rows pass as the operators define it; of rows that share a doc_id, near_dedup keeps one.
+Rows without doc_id and repeated rows pass as the operators define it. Rows that share a doc_id are separate documents;
+of those that share the text too, near_dedup keeps one if it has words.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ledgerlens.llm.line_dedup import without_repeated_lines
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.text import broadcast_if_few, packed, same_document, table, unpacked
+from ledgerlens.operators.ranges import running_totals
 from ledgerlens.session import materialised, scratch_tables
 
 SIMILARITY = 80          # percent
@@ -40,14 +42,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, SIMILARITY).filter("doc_id IS NOT NULL")
-    per = found.groupBy("doc_id").agg(F.count("kept").alias("n"), F.max("kept").alias("kept"))
-    odd = materialised(per.filter("n > 1 OR NOT kept"), "odd-ids")
-    rows = docs.join(broadcast_if_few(odd.select("doc_id")), "doc_id", "left_anti")
-    twice = odd.filter("kept").select("doc_id")
-    if not twice.isEmpty():
-        rows = rows.unionByName(docs.join(broadcast_if_few(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        gone = near_duplicates(docs, SIMILARITY).filter("NOT kept").select("doc_id")
+        rows = docs.join(broadcast_if_few(gone), "doc_id", "left_anti")
+        return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # ids of several rows: texts are compared under the rank of (doc_id, md5)
+    rows, same = packed(docs), same_document("_row.doc_id", "_md5", "_id", "_key")
+    keys = rows.filter("_row.doc_id IS NOT NULL").select(F.col("_row.doc_id").alias("_id"), F.col("_md5").alias("_key")).distinct()
+    ranks = running_totals(keys.withColumn("one", F.lit(1)), ["_id", "_key"], ["one"])
+    ranks = materialised(ranks.select("_id", "_key", F.col("cum_one").cast("long").alias("doc_id")), "ranks")
+    numbered = materialised(rows.join(ranks, same).select("doc_id", F.col("_row.text").alias("text")), "numbered")
+    found = near_duplicates(numbered, SIMILARITY).groupBy("doc_id", "n_shingles", "kept").count()
+    found = materialised(found.join(ranks, "doc_id"), "found")
+    rows = rows.join(broadcast_if_few(found.filter("NOT kept").select("_id", "_key")), same, "left_anti")
+    twice = broadcast_if_few(found.filter("kept AND n_shingles > 0 AND count > 1").select("_id", "_key"))
+    one = rows.join(twice, same, "left_semi").groupBy(F.struct("_row.doc_id", "_md5").alias("_same")).agg(
+        F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return unpacked(rows.join(twice, same, "left_anti").select("_row").unionByName(one.select("_row")), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

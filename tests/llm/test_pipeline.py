@@ -1,6 +1,7 @@
 """Every stage on its own input against brute force, and the whole run."""
 
 import collections
+import random
 
 import corpus_pipeline
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.text import table
 from ledgerlens.session import materialised
 
+from .conftest import DOCUMENT, words
 from .test_decontamination import brute as brute_items
 from .test_line_dedup import brute as brute_lines
 from .test_near_dedup import brute as brute_near
@@ -51,6 +53,19 @@ def test_near_stage_keeps_one_of_each_group(stages):
     assert sorted(r["doc_id"] for r in after) == sorted(d for d, (_, c) in want.items() if d == c)
 
 
+def test_near_stage_keeps_unrelated_texts_of_one_id(spark, smoke_dir):
+    rnd = random.Random(4)
+    a, b, c, d = (words(rnd, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (5, None), (6, a + " x"), (7, "y " + b), (8, c), (8, c), (9, ""), (9, ""), (None, a), (None, a), (4, d), (10, c), (5, a + " z")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", 1) for k, (i, t) in enumerate(rows)], DOCUMENT).repartition(3)
+    made = [corpus_pipeline.near_dedup(spark, x, smoke_dir) for x in (docs, docs.orderBy(F.desc("text")))]
+    got, again = ([(r.doc_id, r.text, r.source) for r in m.collect()] for m in made)
+    assert made[0].columns == COLUMNS and sorted(map(repr, got)) == sorted(map(repr, again))
+    first = [t for i, t in rows if i == 5 and t and t.startswith(a)]
+    kept = collections.Counter((i, "a" if t in first and i else t) for i, t, _ in got)
+    assert kept == {(5, "a"): 1, (5, b): 1, (5, None): 1, (8, c): 1, (9, ""): 2, (None, a): 2, (4, d): 1}
+
+
 def test_decontamination_stage(stages, spark, smoke_dir):
     before, after, _ = stages["decontamination"]
     items = [tuple(r) for r in table(spark, smoke_dir, "benchmark", "item_id", "text").collect()]

@@ -164,7 +164,8 @@ def word_distance(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_p": total(lambda x: x["p"]), "_q": total(lambda x: x["q"]),
                              "_gained": total(lambda x: _gain(x["p"], x["q"])),
                              "_all": F.aggregate(F.map_values("word_shares"), F.lit(0.0), lambda a, x: a + x)})
-    rest = _gain(F.greatest(F.lit(0.0), 1 - F.col("_p")), F.greatest(F.lit(0.0), 1 - F.col("_all")))
+    other = F.when(F.col("n_letter_words") > 0, F.greatest(F.lit(0.0), 1 - F.col("_p"))).otherwise(0.0)
+    rest = _gain(other, F.greatest(F.lit(0.0), 1 - F.col("_all")))
     missing = F.greatest(F.lit(0.0), F.col("_all") - F.col("_q")) / 2
     return rows.withColumn("word_distance", _distance(F.col("_gained") + missing + rest)).drop("_bins", "_p", "_q", "_gained", "_all")
 

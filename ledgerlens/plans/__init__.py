@@ -11,6 +11,7 @@ MODULES = (
     "contract_queries",
     "quality_queries",
     "ml_queries",
+    "tree_queries",
     "streaming_queries",
 )
 

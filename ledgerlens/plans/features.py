@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.columns import (clip_low, inf_to_null, ne_null_safe, safe_ratio,
                                           sentinel_to_null)
 from ledgerlens.operators.aggregate import agg_columns, aggregate, output_names
-from ledgerlens.operators.encode import factorize, indicator_name, one_hot
+from ledgerlens.operators.encode import factorize_few, indicator_name, one_hot
 
 KEY = "SK_ID_CURR"
 
@@ -107,7 +107,7 @@ def application_features(app: DataFrame, catalogue: dict[str, list[str]] | None
     df = app.filter(ne_null_safe("CODE_GENDER", "XNA"))
     order = ["_test", KEY]
     df = df.withColumn("_test", F.col("TARGET").isNull().cast("int"))
-    df = factorize(df, BINARY_APPLICATION, order).drop("_test")
+    df = factorize_few(df, BINARY_APPLICATION, order).drop("_test")
     df, _ = one_hot(df, catalogue, nan_as_category=False)
     df = df.withColumn("DAYS_EMPLOYED", sentinel_to_null("DAYS_EMPLOYED"))
     return df.select(

@@ -4,16 +4,17 @@ operators they use are checked exactly elsewhere."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import decide
 from ledgerlens.operators import evaluate as E
 from ledgerlens.operators import ml as M
+from ledgerlens.operators import search as S
+from ledgerlens.operators import trees as T
 from ledgerlens.operators.sampling import sql_hash_key
 from ledgerlens.plans.feature_queries import build_feature_table
 from ledgerlens.plans.registry import register
-from ledgerlens.session import checkpointed
+from ledgerlens.session import materialised
 from ledgerlens.sources.roles import with_roles
 
 KEY, TARGET = "SK_ID_CURR", "TARGET"
@@ -75,15 +76,24 @@ def boosted_model(spark, d):
     return auc.select(F.lit(n_trees).alias("n_trees"), "auc", "n_pos", "n_neg")
 
 
+def _forest_rows(train, model, forest, cols):
+    """The rows with the imputed values of the features that the trees split on."""
+    imputed = model.stages[0].transform(train)
+    return imputed.select("id", F.col(M.LABEL).cast("int").alias("y"), "is_valid",
+                          *[F.col(f"`{c}__imp`").alias(c) for c in forest.features()])
+
+
 @register("learning_curve")
 def learning_curve(spark, d):
-    """Validation log-loss after each boosting iteration."""
+    """AUC and log loss on the training and the validation rows after each boosting iteration, from one pass over the
+    rows' leaf values."""
     train, cols, model = _boosted(spark, d)
-    prep = train.filter("is_valid")
-    for stage in model.stages[:-1]:
-        prep = stage.transform(prep)
-    losses = model.stages[-1].evaluateEachIteration(prep)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, log_loss double")
+    forest = T.Forest.of(T.node_table(model.stages[-1], cols))
+    rows = _forest_rows(train, model, forest, cols).withColumn("part", F.when(F.col("is_valid"), "valid").otherwise("train"))
+    curve = materialised(T.learning_curve(rows, forest), "curve")        # two rows per tree
+    side = lambda part: curve.filter(F.col("part") == part).select(
+        "iteration", F.col("auc").alias(f"{part}_auc"), F.col("log_loss").alias(f"{part}_log_loss"))
+    return side("train").join(side("valid"), "iteration")
 
 
 @register("param_search")
@@ -93,30 +103,30 @@ def param_search(spark, d):
     return M.param_search(train, cols)
 
 
+@register("halving_search")
+def halving_search(spark, d):
+    """Successive halving over a space of boosted trees; one row per candidate and rung with its business cost."""
+    train, cols = _train(spark, d)
+    trials, _ = S.halving_search(train, cols)
+    return trials
+
+
 @register("feature_importance")
 def feature_importance(spark, d):
     """Gain importance of the boosted model, top 20 with the cumulative share of the total."""
     _, cols, model = _boosted(spark, d)
-    imp = M.feature_importance(model, cols)
-    df = spark.createDataFrame(imp, "feature string, importance double")
-    w = Window.orderBy(F.desc("importance"), "feature")   # one row per model feature
-    ranked = df.select("*", F.row_number().over(w).alias("rank"),
-                       (F.sum("importance").over(w.rowsBetween(Window.unboundedPreceding, 0)) /
-                        F.sum("importance").over(Window.partitionBy())).alias("cum_share"))
-    return ranked.filter(F.col("rank") <= TOP_IMPORTANCE)
+    gains = T.gain_importance(T.node_table(model.stages[-1], cols))
+    return gains.filter(F.col("rank") <= TOP_IMPORTANCE).select("feature", "importance", "rank", "cum_share")
 
 
 @register("permutation_importance")
 def permutation_importance(spark, d):
-    """AUC drop on the validation fold when one feature is permuted, for every feature, 3 repeats;
-    all variants are scored in one pass and the AUC is grouped by variant."""
+    """AUC drop on the validation fold when one feature is permuted, for every feature, 3 repeats; only trees that split
+    on a feature are scored again for it."""
     train, cols, model = _boosted(spark, d)
-    valid = checkpointed(train.filter("is_valid").drop("is_valid", "fold"))
-    plain = M.positive_probability(model.transform(valid)).select(F.col(M.LABEL).cast("int").alias("y"), "p")
-    base_auc = E.auc_rank(plain).select("auc").scalar()   # one-row baseline, inlined
-    variants = M.permuted_scores(model, valid, cols, [100 + r for r in range(REPEATS)])
-    per = E.auc_rank(variants, group_cols=["feature", "repeat"])
-    return per.select("feature", "repeat", (base_auc - F.col("auc")).alias("auc_drop"))
+    forest = T.Forest.of(T.node_table(model.stages[-1], cols))
+    valid = _forest_rows(train.filter("is_valid"), model, forest, cols)
+    return T.permutation_drops(valid, forest, cols, [100 + r for r in range(REPEATS)])
 
 
 @register("score_batch")

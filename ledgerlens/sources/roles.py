@@ -46,9 +46,11 @@ def _application_cols(with_target: bool) -> list[Column]:
     c = F.col
     cols = [c("c_custkey").alias("SK_ID_CURR")]
     if with_target:
-        # a noisy label: the rate depends on one category, the rest is a hash that no feature holds
+        # a noisy label: the rate (percent) depends on a category, the balance and the days employed, the rest is a hash that
+        # no feature holds
         noise = F.conv(F.substring(F.md5(F.concat(F.lit("label"), c("c_custkey").cast("string"))), 1, 6), 16, 10).cast("bigint") % 100
-        rate = F.when(c("c_mktsegment") == "BUILDING", 25).otherwise(8)
+        rate = (F.when(c("c_mktsegment") == "BUILDING", 19).otherwise(4) + F.floor((9999 - c("c_acctbal")) / 275)
+                + F.when(c("c_custkey") % 4000 < 400, 12).otherwise(0))
         cols.append(F.when(noise < rate, 1).otherwise(0).cast("int").alias("TARGET"))
     cols += [
         F.when((c("c_nationkey") == 3) & (c("c_mktsegment") == "MACHINERY"), "XNA")
@@ -103,7 +105,8 @@ DEPS: dict[str, tuple[str, ...]] = {}
 
 SQL["application"] = f"""
     SELECT c_custkey AS SK_ID_CURR, CAST(CASE WHEN CAST(('0x' || substr(md5('label' || CAST(c_custkey AS VARCHAR)), 1, 6)) AS BIGINT) % 100
-                < CASE WHEN c_mktsegment = 'BUILDING' THEN 25 ELSE 8 END THEN 1 ELSE 0 END AS INTEGER) AS TARGET,{_APP_BODY}
+                < CASE WHEN c_mktsegment = 'BUILDING' THEN 19 ELSE 4 END + CAST(floor((9999 - c_acctbal) / 275) AS BIGINT)
+                  + CASE WHEN c_custkey % 4000 < 400 THEN 12 ELSE 0 END THEN 1 ELSE 0 END AS INTEGER) AS TARGET,{_APP_BODY}
     FROM customer WHERE c_nationkey < 20
     UNION ALL BY NAME
     SELECT c_custkey AS SK_ID_CURR,{_APP_BODY}

@@ -114,10 +114,19 @@ def validate(records: DataFrame, contract: DataFrame) -> DataFrame:
     conditional aggregate of the same ``groupBy`` on the record key. A record with an
     empty payload keeps one row through ``explode_outer``.
     """
+    return entry_verdicts(records.select(*KEYS, F.explode_outer(F.col("features")).alias("name", "value")), contract)
+
+
+def entry_verdicts(ent: DataFrame, contract: DataFrame, kind: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The verdict of every record from its entries (``KEYS``, name, value); a record without any has one NULL entry.
+
+    ``kind``: a column with the type of the entry's value. Other kinds than ``number`` and ``null`` reject the record first
+    (``unreadable`` before ``type``). ``carried``: columns of the record, equal in all its entries, that pass to the result.
+    """
     sizes = scalar_fields(contract.agg(F.count_if(F.col("origin") == "application").alias("_na"),
                                        F.count_if(F.col("origin") == "history").alias("_nh")))
     rules = contract.select("name", "origin", "low", "high", "reason", F.lit(True).alias("_known"))
-    ent = records.select(*KEYS, F.explode_outer(F.col("features")).alias("name", "value"))
+    wrong_kind = F.lit(False) if kind is None else ~F.col(kind).isin("number", "null")
     j = ent.join(F.broadcast(rules), "name", "left")
     name, value = F.col("name"), F.col("value")
     known, present = F.col("_known").isNotNull(), value.isNotNull()
@@ -130,10 +139,16 @@ def validate(records: DataFrame, contract: DataFrame) -> DataFrame:
                     lambda e: e.getField("m")).alias("problems"),
         F.count_if(known & present & (F.col("origin") == "application")).alias("_app"),
         F.count_if(known & present & (F.col("origin") == "history")).alias("_hist"),
-        F.count_if(F.isnan(value) | (F.abs(value) == F.lit(float("inf")))).alias("n_non_finite"))
+        F.count_if(F.isnan(value) | (F.abs(value) == F.lit(float("inf")))).alias("n_non_finite"),
+        F.array_sort(F.collect_list(F.when(wrong_kind, F.concat(
+            F.coalesce(name, F.lit("payload")), F.lit(" is "), F.col(kind) if kind else F.lit(""))))).alias("mistyped"),
+        F.count_if(wrong_kind & name.isNull()).alias("_unreadable"),
+        *[F.any_value(c).alias(c) for c in carried])
     na, nh = sizes["_na"], sizes["_nh"]
     application_ratio = F.col("_app") / na
-    reason = (F.when(F.col("n_non_finite") > 0, "non_finite")
+    reason = (F.when(F.col("_unreadable") > 0, "unreadable")
+              .when(F.size("mistyped") > 0, "type")
+              .when(F.col("n_non_finite") > 0, "non_finite")
               .when(F.size("unknown") > 0, "unknown")
               .when(F.size("problems") > 0, "range")
               .when(application_ratio < MIN_APPLICATION_COVERAGE, "coverage"))
@@ -144,8 +159,10 @@ def validate(records: DataFrame, contract: DataFrame) -> DataFrame:
                .when(reason == "range", counted("problems", "value(s) out of range", "; "))
                .when(reason == "coverage", F.concat(F.lit("application coverage "), percent,
                                                     F.lit(f", at least {MIN_APPLICATION_COVERAGE:.0%} needed")))
-               .when(reason == "non_finite", F.lit("non-finite values")))
-    return agg.select(*KEYS,
+               .when(reason == "non_finite", F.lit("non-finite values"))
+               .when(reason == "type", counted("mistyped", "value(s) not a number or null", "; "))
+               .when(reason == "unreadable", F.lit("payload is not a JSON object")))
+    return agg.select(*KEYS, *carried,
                       (F.col("_app") + F.col("_hist")).cast("int").alias("provided"),
                       (na + nh - F.col("_app") - F.col("_hist")).cast("int").alias("missing"),
                       application_ratio.alias("application_ratio"), (F.col("_hist") / nh).alias("history_ratio"),

@@ -12,6 +12,7 @@ MODULES = (
     "quality_queries",
     "ml_queries",
     "tree_queries",
+    "payload_queries",
     "streaming_queries",
 )
 

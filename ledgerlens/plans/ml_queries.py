@@ -60,36 +60,39 @@ def baseline_models(spark, d):
 
 
 def _boosted(spark, d):
+    """(rows, features, nodes, forest): all boosting iterations fitted on the training folds; ``rows`` has the labelled rows with
+    the imputed values of the features that the trees split on, and their part (train or valid)."""
     train, cols = _train(spark, d)
-    train = train.withColumn("is_valid", F.col("fold") == VALIDATION_FOLD)
-    model = M.pipeline(cols, M.boosted(validation_col="is_valid")).fit(train)
-    return train, cols, model
+    model = M.pipeline(cols, M.boosted()).fit(train.filter(F.col("fold") != VALIDATION_FOLD))
+    nodes = materialised(T.node_table(model.stages[-1], cols), "nodes")
+    forest = T.Forest.of(nodes)
+    part = F.when(F.col("fold") == VALIDATION_FOLD, "valid").otherwise("train").alias("part")
+    rows = model.stages[0].transform(train).select(
+        "id", F.col(M.LABEL).cast("int").alias("y"), part, *[F.col(f"`{c}__imp`").alias(c) for c in forest.features()])
+    return rows, cols, nodes, forest
 
 
-@register("boosted_model")
-def boosted_model(spark, d):
-    """Boosted trees with early stopping on a validation fold; trees kept and validation AUC."""
-    train, cols, model = _boosted(spark, d)
-    valid = M.positive_probability(model.transform(train.filter("is_valid")))
-    auc = E.auc_rank(valid.select(F.col(M.LABEL).cast("int").alias("y"), "p"))
-    n_trees = model.stages[-1].getNumTrees
-    return auc.select(F.lit(n_trees).alias("n_trees"), "auc", "n_pos", "n_neg")
+def _kept(rows, forest):
+    """(trees, AUC): the iteration with the best validation AUC, the first of equals."""
+    curve = T.learning_curve(rows.filter("part = 'valid'"), forest)
+    best = curve.agg(F.max_by(F.struct("iteration", "auc"), F.struct("auc", -F.col("iteration"))).alias("b")).first()["b"]
+    return best["iteration"], best["auc"]
 
 
-def _forest_rows(train, model, forest, cols):
-    """The rows with the imputed values of the features that the trees split on."""
-    imputed = model.stages[0].transform(train)
-    return imputed.select("id", F.col(M.LABEL).cast("int").alias("y"), "is_valid",
-                          *[F.col(f"`{c}__imp`").alias(c) for c in forest.features()])
+@register("boosted_model")
+def boosted_model(spark, d):
+    """Boosted trees kept up to the iteration with the best AUC on the validation fold, and that AUC."""
+    rows, _, _, forest = _boosted(spark, d)
+    trees, auc = _kept(rows, forest)
+    counts = rows.filter("part = 'valid'").agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
+    return counts.select(F.lit(trees).alias("n_trees"), F.lit(auc).alias("auc"), "n_pos", "n_neg")
 
 
 @register("learning_curve")
 def learning_curve(spark, d):
     """AUC and log loss on the training and the validation rows after each boosting iteration, from one pass over the
     rows' leaf values."""
-    train, cols, model = _boosted(spark, d)
-    forest = T.Forest.of(T.node_table(model.stages[-1], cols))
-    rows = _forest_rows(train, model, forest, cols).withColumn("part", F.when(F.col("is_valid"), "valid").otherwise("train"))
+    rows, _, _, forest = _boosted(spark, d)
     curve = materialised(T.learning_curve(rows, forest), "curve")        # two rows per tree
     side = lambda part: curve.filter(F.col("part") == part).select(
         "iteration", F.col("auc").alias(f"{part}_auc"), F.col("log_loss").alias(f"{part}_log_loss"))
@@ -114,8 +117,8 @@ def halving_search(spark, d):
 @register("feature_importance")
 def feature_importance(spark, d):
     """Gain importance of the boosted model, top 20 with the cumulative share of the total."""
-    _, cols, model = _boosted(spark, d)
-    gains = T.gain_importance(T.node_table(model.stages[-1], cols))
+    rows, _, nodes, forest = _boosted(spark, d)
+    gains = T.gain_importance(nodes.filter(F.col("tree") < _kept(rows, forest)[0]))
     return gains.filter(F.col("rank") <= TOP_IMPORTANCE).select("feature", "importance", "rank", "cum_share")
 
 
@@ -123,10 +126,9 @@ def feature_importance(spark, d):
 def permutation_importance(spark, d):
     """AUC drop on the validation fold when one feature is permuted, for every feature, 3 repeats; only trees that split
     on a feature are scored again for it."""
-    train, cols, model = _boosted(spark, d)
-    forest = T.Forest.of(T.node_table(model.stages[-1], cols))
-    valid = _forest_rows(train.filter("is_valid"), model, forest, cols)
-    return T.permutation_drops(valid, forest, cols, [100 + r for r in range(REPEATS)])
+    rows, cols, _, forest = _boosted(spark, d)
+    kept = T.Forest(forest.trees[:_kept(rows, forest)[0]])
+    return T.permutation_drops(rows.filter("part = 'valid'"), kept, cols, [100 + r for r in range(REPEATS)])
 
 
 @register("score_batch")

@@ -420,6 +420,52 @@ SQL["scores"] = f"""
     FROM orders"""
 
 
+# --------------------------------------------------------------------------- scoring requests (customer)
+# Each customer sends one record as JSON text; three records make a batch request, in every fourth group each is a
+# request of its own. Some payloads break one rule of the record contract each.
+_PAYLOAD = {
+    "AMT_CREDIT": "CASE WHEN k % 31 = 0 THEN '1e999' ELSE CAST(CAST(floor(c_acctbal) AS BIGINT) + 1000 AS {text}) END",
+    "AMT_INCOME_TOTAL": "CAST(CAST(floor(abs(c_acctbal) * 10) AS BIGINT) AS {text})",
+    "AMT_ANNUITY": "CASE WHEN k % 23 = 0 THEN '\"350\"' WHEN k % 19 = 0 THEN 'null' ELSE CAST(CAST(floor(abs(c_acctbal) / 12) AS BIGINT) AS {text}) END",
+    "DAYS_BIRTH": "CASE WHEN k % 17 = 0 THEN '100' ELSE CAST(-(7000 + k % 15000) AS {text}) END",
+    "DAYS_EMPLOYED": "CASE WHEN k % 37 = 0 THEN '{{\"days\": 1}}' ELSE CAST(-(k % 4000) AS {text}) END",
+    "CNT_FAM_MEMBERS": "CAST(c_nationkey % 4 AS {text}) || '.5'",
+    "CODE_GENDER": "CAST(k % 2 AS {text})",
+    "FLAG_OWN_CAR": "CASE WHEN k % 29 = 0 THEN 'true' WHEN c_acctbal > 5000 THEN '1' ELSE '0' END",
+    "FLAG_OWN_REALTY": "CASE WHEN c_nationkey % 3 = 0 THEN '0' ELSE '1' END",
+    "NAME_CONTRACT_TYPE_BUILDING": "CASE WHEN c_mktsegment = 'BUILDING' THEN '1' ELSE '0' END",
+    "NAME_CONTRACT_TYPE_FURNITURE": "CASE WHEN c_mktsegment = 'FURNITURE' THEN '1' ELSE '0' END",
+}
+_PAYLOAD_UNKNOWN = "CASE WHEN k % 13 = 0 THEN ', \"UNKNOWN_SCORE\": 1' ELSE '' END"
+
+
+def _payload_columns(text: str) -> list[str]:
+    """The columns of ``payloads``, in one text for both engines; ``text`` is the engine's string type."""
+    fields = " || ', ' || ".join(f"'\"{name}\": ' || " + expr.format(text=text) for name, expr in _PAYLOAD.items())
+    group = "CAST(floor(k / 3) AS BIGINT)"
+    alone = f"{group} % 4 = 0"
+    return [
+        "k",
+        f"CASE WHEN {alone} THEN 's' || CAST(k AS {text}) ELSE 'b' || CAST({group} AS {text}) END AS request_id",
+        f"CAST(CASE WHEN {alone} THEN 0 ELSE k % 3 END AS INTEGER) AS position",
+        f"CASE WHEN {alone} THEN '/predict' ELSE '/predict/batch' END AS endpoint",
+        f"86400 + 60 * {group} AS occurred_s",
+        f"CAST({group} % 50 + 5 AS DOUBLE) AS duration_ms",
+        f"""CASE WHEN k % 41 = 0 THEN '{{"AMT_CREDIT": NaN}}' WHEN k % 43 = 0 THEN '{{"AMT_CREDIT": 1'
+                 WHEN k % 47 = 0 THEN '{{"AMT_CREDIT": 5000}}' WHEN k % 53 = 0 THEN '{{}}' WHEN k % 59 = 0 THEN '[1, 2]'
+                 ELSE '{{' || {fields} || {_PAYLOAD_UNKNOWN} || '}}' END AS payload""",
+    ]
+
+
+def payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Scoring requests: (k, request_id, position, endpoint, occurred_s, duration_ms, payload)."""
+    cust = scan(spark, d, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    return cust.withColumn("k", F.col("c_custkey")).selectExpr(*_payload_columns("STRING"))
+
+
+SQL["payloads"] = f"SELECT {', '.join(_payload_columns('VARCHAR'))} FROM (SELECT *, c_custkey AS k FROM customer)"
+
+
 def with_roles(*names: str) -> str:
     """``WITH`` clause defining the given role views for an oracle query."""
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n"

@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.rounding import round_sig, sql_round_sig
+from ledgerlens.functions.rounding import round_sig, sql_round_dec, sql_round_sig
 from ledgerlens.operators import evaluate as E
+from ledgerlens.operators import logs as L
 from ledgerlens.operators import ml as M
 from ledgerlens.plans import contract_queries as CQ
 from ledgerlens.plans import drift_queries as DQ
@@ -46,6 +47,42 @@ def stream_ingest(spark, d):
                        "decision")
 
 
+# every line whose id leaves 7 modulo 97 is cut short, 8: an id that is no number, 9: of no known log
+_LINES = """
+SELECT 'requests' AS log, CAST(occurred_at AS DATE) AS day, id FROM requests
+UNION ALL SELECT 'predictions', CAST(occurred_at AS DATE), id FROM predictions"""
+
+
+@register("stream_both_logs", with_roles("requests", "predictions") + f"""
+SELECT CASE WHEN id % 97 BETWEEN 7 AND 9 THEN 'unreadable' ELSE log END AS log,
+       CAST(CASE WHEN id % 97 BETWEEN 7 AND 9 THEN NULL ELSE day END AS VARCHAR) AS dt, count(*) AS n,
+       CAST(sum(CASE WHEN id % 97 BETWEEN 7 AND 9 THEN 0 ELSE id END) AS BIGINT) AS ids
+FROM ({_LINES}) GROUP BY 1, 2""")
+def stream_both_logs(spark, d):
+    """One stream of JSON lines into the request and the prediction log, each batch as one unit, unreadable lines
+    kept; all of it is delivered twice."""
+    base = _base(spark, "both")
+    at = F.date_format("occurred_at", S.TS_FORMAT).alias("occurred_at")
+    for name, log in (("requests", "request"), ("predictions", "prediction")):
+        rows = getattr(roles, name)(spark, d)
+        line = F.to_json(F.struct(F.when(F.col("id") % 97 == 9, "other").otherwise(log).alias("log"),
+                                  *[at if c == "occurred_at" else F.col(c) for c in rows.columns]))
+        sent = (F.when(F.col("id") % 97 == 7, F.expr("left(line, length(line) - 5)"))
+                .when(F.col("id") % 97 == 8, F.regexp_replace("line", r'"id":(\d+)', r'"id":"x$1"')).otherwise(F.col("line")))
+        rows.withColumn("line", line).select(sent.alias("value")).write.text(f"{base}/in/{name}")
+    # everything is delivered twice; the same batches overwrite their own rows
+    for delivery in (1, 2):
+        lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{base}/in/*")
+        S.ingest_lines(lines, f"{base}/out", f"{base}/checkpoint-{delivery}")
+    out = None
+    for name in ("requests", "predictions"):
+        rows = L.read_log(spark, f"{base}/out", name).select(F.lit(name).alias("log"), F.col("dt").cast("string").alias("dt"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    bad = spark.read.parquet(f"{base}/out/unreadable").select(
+        F.lit("unreadable").alias("log"), F.lit(None).cast("string").alias("dt"), F.lit(0).cast("long").alias("id"))
+    return out.unionByName(bad).groupBy("log", "dt").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 _CLASS = "CASE WHEN status_code >= 500 THEN '5xx' WHEN status_code >= 400 THEN '4xx' ELSE '2xx' END"
 
 
@@ -84,14 +121,24 @@ def stream_drift_sliding(spark, d):
     return back.select(_ntz("window_start"), _ntz("window_end"), "n", "rejected")
 
 
-_WINDOWED = ("swin AS (SELECT o.*, CAST(date_trunc('day', occurred_at) AS TIMESTAMP) - to_days(CAST(k AS INTEGER)) AS ws "
-             "FROM obs o, range(7) t(k))")
+# each observation is classed once; a window's counts are the sums of its seven days
+_DAILY = [
+    "days AS (SELECT CAST(date_trunc('day', o.occurred_at) AS TIMESTAMP) AS day, o.feature, "
+    "len(list_filter(p.bounds, lambda x: x <= o.value)) AS class, count(*) AS n "
+    "FROM obs o JOIN profile p ON o.feature = p.feature WHERE o.value IS NOT NULL GROUP BY ALL)",
+    "wins AS (SELECT day - to_days(CAST(k AS INTEGER)) AS ws, feature, class, sum(n) AS n FROM days, range(7) t(k) GROUP BY ALL)",
+    "sums AS (SELECT ws, feature, sum(n) AS n FROM wins GROUP BY ALL)",
+    "classes AS (SELECT feature, unnest(proportions) AS r, unnest(range(0, len(proportions))) AS class FROM profile)",
+    "parts AS (SELECT s.ws, s.feature, greatest(coalesce(w.n, 0) / s.n, 0.0001) AS p, greatest(c.r, 0.0001) AS r "
+    "FROM sums s JOIN classes c ON s.feature = c.feature "
+    "LEFT JOIN wins w ON w.ws = s.ws AND w.feature = s.feature AND w.class = c.class)",
+    f"w AS (SELECT ws, feature, {sql_round_dec('sum((p - r) * ln(p / r))', 4)} AS psi FROM parts GROUP BY ws, feature)",
+]
 
 
-@register("stream_drift_psi", "WITH " + ",\n".join([*DQ._base_ctes(), _WINDOWED, *DQ._psi_ctes("swin", "w", ["ws"])]) + f"""
+@register("stream_drift_psi", "WITH " + ",\n".join([*DQ._base_ctes(), *_DAILY]) + f"""
 SELECT ws AS window_start, ws + INTERVAL 7 DAY AS window_end, feature, psi, {DQ._BAND} AS band FROM w
-WHERE ws + INTERVAL 7 DAY <= (SELECT max(occurred_at) FROM pred) - INTERVAL 1 DAY
-  AND (ws, feature) IN (SELECT (ws, feature) FROM swin WHERE value IS NOT NULL)""")
+WHERE ws + INTERVAL 7 DAY <= (SELECT max(occurred_at) FROM pred) - INTERVAL 1 DAY""")
 def stream_drift_psi(spark, d):
     """PSI per feature of every closed 7-day window (slide 1 day) against the profile of window A."""
     base = _base(spark, "psi")

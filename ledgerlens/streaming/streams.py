@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import status_class
+from ledgerlens.operators.logs import append_lines
 
 REQUEST_SCHEMA = ("id long, request_id string, occurred_at timestamp, method string, path string, "
                   "status_code int, duration_ms double")
@@ -55,6 +56,16 @@ def ingest_predictions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
             .withColumn("dt", F.to_date("occurred_at")))
 
 
+def ingest_lines(lines: DataFrame, base: str, checkpoint: str) -> None:
+    """A stream of JSON lines (``value``) of both logs. Each micro-batch is one unit of the commit log under its batch
+    id, so a replayed batch overwrites its own rows."""
+    query = (lines.writeStream.foreachBatch(lambda batch, n: append_lines(batch.sparkSession, base, str(n), batch))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
 def request_series(stream: DataFrame, step: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """R2: tumbling-window calls per status class."""
     return (stream.withWatermark("occurred_at", delay)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.columns import psi_band
+from ledgerlens.functions.columns import psi_band, shift_clip
 from ledgerlens.functions.rounding import round_dec
 from ledgerlens.operators.ordered import percentile_cont
 from ledgerlens.session import checkpointed
@@ -103,12 +103,34 @@ def psi_of_counts(counts: DataFrame, profile: DataFrame, group_cols: list[str])
     g = [*group_cols, "feature"]
     per = counts.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("_n"), F.sum("n").alias("_all"))
     j = per.join(F.broadcast(profile.select("feature", F.posexplode("proportions").alias("class", "r"))), "feature")
-    share = F.coalesce(F.try_element_at("_n", F.col("class")), F.lit(0)) / F.col("_all")
+    share = F.coalesce(F.try_divide(F.try_element_at("_n", F.col("class")), F.col("_all")), F.lit(0.0))
     p, r = F.greatest(share, F.lit(EPSILON)), F.greatest(F.col("r"), F.lit(EPSILON))
     out = j.groupBy(*g).agg(round_dec(F.sum((p - r) * F.log(p / r)), PSI_DECIMALS).alias("psi"))
     return out.withColumn("band", psi_band("psi"))
 
 
+def shifted_psi(obs: DataFrame, profile: DataFrame, shifts: list[float], shifted: list[str]) -> DataFrame:
+    """``(shift, feature, psi, band)``: PSI of every feature of the profile if the values of the features ``shifted`` were
+    smaller by each shift (then clipped to 0..1).
+
+    No row is multiplied: a row's classes under all shifts are one array, which steps through at most shifts x bounds + 1
+    different arrays as the value grows, so counting the arrays is one map-side combined aggregate. A feature that is not
+    shifted has one class. The arrays are expanded after counting.
+    """
+    info = F.broadcast(profile.select("feature", "bounds"))            # one row per feature
+    moves = F.when(F.col("feature").isin(shifted), F.array(*[F.lit(float(s)) for s in shifts]))
+    classes = F.coalesce(F.transform(moves, lambda s: class_of(F.col("bounds"), shift_clip("value", s))),
+                         F.array(class_of(F.col("bounds"), F.col("value"))))
+    rows = obs.filter(F.col("value").isNotNull()).join(info, "feature")
+    counts = rows.groupBy("feature", classes.alias("classes")).agg(F.count(F.lit(1)).alias("n"))
+    per = counts.select("feature", "classes", "n", F.posexplode(F.array(*[F.lit(float(s)) for s in shifts])).alias("i", "shift"))
+    per = per.select("shift", "feature", F.coalesce(F.get("classes", F.col("i")), F.get("classes", F.lit(0))).alias("class"), "n")
+    none = profile.select(F.explode(F.array(*[F.lit(float(s)) for s in shifts])).alias("shift"), "feature",
+                          F.lit(0).alias("class"), F.lit(0).cast("bigint").alias("n"))     # a feature without any value
+    per = per.unionByName(none).groupBy("shift", "feature", "class").agg(F.sum("n").alias("n"))
+    return psi_of_counts(per, profile, ["shift"])
+
+
 def drift_table(obs: DataFrame, profile: DataFrame, group_cols: list[str] | tuple = ()) -> DataFrame:
     """PSI, band, missing rates and importance per feature of the profile. Without
     groups the profile drives the join, so a feature with no production row still

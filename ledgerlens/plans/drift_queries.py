@@ -301,14 +301,8 @@ FROM (SELECT shift, max(psi) FILTER (WHERE feature = '{SHIFTED_FEATURE}') AS psi
 @register("drift_sensitivity", _sensitivity_sql())
 def drift_sensitivity(spark, d):
     """Shift one feature of window B by 0 ... 0.30; PSI and drifted count per shift, and the
-    first shift crossing each band. The shift grid is a 7-element array expanded per row
-    (bounded fan-out) and aggregated map-side."""
-    prod = _production(spark, d)
-    shifts = F.array(*[F.lit(float(s)) for s in SHIFTS])
-    swept = prod.select("id", "feature", "value", F.explode(shifts).alias("shift"))
-    swept = swept.withColumn("value", F.when(F.col("feature") == SHIFTED_FEATURE, shift_clip("value", F.col("shift")))
-                             .otherwise(F.col("value")))
-    p = D.psi(swept, _profile(spark, d), ["shift"])
+    first shift crossing each band."""
+    p = D.shifted_psi(_production(spark, d), _profile(spark, d), SHIFTS, [SHIFTED_FEATURE])
     per = p.groupBy("shift").agg(F.max(F.when(F.col("feature") == SHIFTED_FEATURE, F.col("psi"))).alias("psi"),
                                  F.count_if(F.col("psi") >= 0.10).alias("n_drifted"))
     w = Window.partitionBy()  # over the 7 shift rows only
@@ -317,6 +311,33 @@ def drift_sensitivity(spark, d):
                       F.min(F.when(F.col("psi") >= 0.25, F.col("shift"))).over(w).alias("first_significant_shift"))
 
 
+SHIFTED_TOGETHER = ["application_ratio", "history_ratio"]
+
+
+def _sweep_sql():
+    grid = "(VALUES " + ", ".join(f"(CAST({s} AS DOUBLE))" for s in SHIFTS) + ") sh(shift)"
+    moved = ", ".join(f"'{f}'" for f in SHIFTED_TOGETHER)
+    ctes = _base_ctes() + [
+        f"swept AS (SELECT sh.shift, o.feature, CASE WHEN o.feature IN ({moved}) THEN least(greatest(o.value - sh.shift, 0.0), 1.0) "
+        f"ELSE o.value END AS value FROM prod o, {grid} WHERE o.value IS NOT NULL)",
+    ] + _psi_ctes("swept", "sw", ["shift"])
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT shift, feature, psi, {_BAND} AS band, CAST(sum(CASE WHEN psi >= 0.10 THEN 1 ELSE 0 END) OVER (PARTITION BY shift) AS BIGINT) AS n_drifted,
+       min(CASE WHEN psi >= 0.10 THEN shift END) OVER (PARTITION BY feature) AS first_moderate_shift,
+       min(CASE WHEN psi >= 0.25 THEN shift END) OVER (PARTITION BY feature) AS first_significant_shift FROM sw"""
+
+
+@register("drift_sweep", _sweep_sql())
+def drift_sweep(spark, d):
+    """Several features of window B shifted together; PSI of every feature per shift, the number that drifted, and the
+    first shift at which each feature crosses a band."""
+    p = D.shifted_psi(_production(spark, d), _profile(spark, d), SHIFTS, SHIFTED_TOGETHER)
+    by_shift, by_feature = Window.partitionBy("shift"), Window.partitionBy("feature")      # features x shifts rows
+    return p.select("shift", "feature", "psi", "band", F.sum((F.col("psi") >= 0.10).cast("bigint")).over(by_shift).alias("n_drifted"),
+                    F.min(F.when(F.col("psi") >= 0.10, F.col("shift"))).over(by_feature).alias("first_moderate_shift"),
+                    F.min(F.when(F.col("psi") >= 0.25, F.col("shift"))).over(by_feature).alias("first_significant_shift"))
+
+
 _WIN_SQL = f"CASE WHEN occurred_at < TIMESTAMP '{SPLIT}' THEN 'B1' ELSE 'B2' END"
 
 

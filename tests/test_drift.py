@@ -4,6 +4,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import drift as D
 from ledgerlens.operators.logs import Period, series_step
@@ -66,3 +67,22 @@ def test_absent_feature_still_gets_psi(spark):
     prod = _obs(spark, [1.0, 2.0], "other")
     row = D.drift_table(prod, prof).first()
     assert row.feature == "present" and row.psi > 0 and row.missing_production is None
+
+
+def test_shifted_psi_equals_shifting_every_row(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(k, f, None if rnd.random() < 0.1 else rnd.choice([rnd.random(), rnd.randrange(0, 21) / 20, -0.3, 1.4]))
+            for k in range(400) for f in ("a", "b")]
+    obs = spark.createDataFrame([*rows, (1, "empty", None)], "id int, feature string, value double")
+    ref = spark.createDataFrame([(k, f, rnd.randrange(0, 21) / 20) for k in range(300) for f in ("a", "b", "empty")],
+                                "id int, feature string, value double")
+    profile = D.reference_profile(ref)
+    shifts = [0.0, 0.05, 0.1, 0.3]
+    got = {(r["shift"], r.feature): r.psi for r in D.shifted_psi(obs, profile, shifts, ["a"]).collect()}
+    assert len(got) == 12
+    for s in shifts:
+        moved = obs.withColumn("value", F.when((F.col("feature") == "a") & F.col("value").isNotNull(), F.least(F.greatest(F.col("value") - s, F.lit(0.0)), F.lit(1.0)))
+                               .otherwise(F.col("value")))
+        want = {r.feature: r.psi for r in D.drift_table(moved, profile).collect()}
+        assert {f: got[s, f] for f in ("a", "b", "empty")} == want

@@ -109,6 +109,19 @@ def psi_of_counts(counts: DataFrame, profile: DataFrame, group_cols: list[str])
     return out.withColumn("band", psi_band("psi"))
 
 
+def psi_of_classes(classes: Column, proportions: Column) -> Column:
+    """PSI of a group and feature from its array of (class, n) and the reference's shares, classes without a row counting 0;
+    NULL without reference shares."""
+    total = F.aggregate(classes, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    found = F.map_from_entries(classes)
+
+    def term(reference, i):
+        share = F.coalesce(F.try_divide(F.try_element_at(found, i), total), F.lit(0.0))
+        p, r = F.greatest(share, F.lit(EPSILON)), F.greatest(reference, F.lit(EPSILON))
+        return (p - r) * F.log(p / r)
+    return round_dec(F.aggregate(F.transform(proportions, term), F.lit(0.0), lambda a, x: a + x), PSI_DECIMALS)
+
+
 def shifted_psi(obs: DataFrame, profile: DataFrame, shifts: list[float], shifted: list[str]) -> DataFrame:
     """``(shift, feature, psi, band)``: PSI of every feature of the profile if the values of the features ``shifted`` were
     smaller by each shift (then clipped to 0..1).

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +52,42 @@ def training_table(features: DataFrame, key: str, target: str, folds: int = 3) -
     return lab, cols
 
 
-def pipeline(cols: list[str], estimator, scale: bool = False) -> Pipeline:
+def columns_with_missing(train: DataFrame, cols: list[str]) -> list[str]:
+    """The columns that some row has no value in (NULL or NaN), found by one aggregate."""
+    if not cols:
+        return []
+    absent = train.agg(*[F.count_if(_missing(c)).alias(c) for c in cols]).first().asDict()
+    return [c for c in cols if absent[c] > 0]
+
+
+def _missing(c: str):
+    return F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`")
+
+
+def missing_vector(df: DataFrame, cols: list[str], out: str = "missing") -> DataFrame:
+    """``df`` with a sparse vector of the indicators of ``cols``: 1 where the value is missing."""
+    return Pipeline(stages=_indicators(cols, out)).fit(df).transform(df).drop(*[f"{c}__na" for c in cols])
+
+
+def _indicators(cols: list[str], out: str) -> list:
+    """Stages that make one 0/1 column for each column and assemble them; few are missing, so the vectors are sparse."""
+    flags = ", ".join(f"CAST(`{c}` IS NULL OR isnan(`{c}`) AS DOUBLE) AS `{c}__na`" for c in cols)
+    return [SQLTransformer(statement=f"SELECT *, {flags} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"{c}__na" for c in cols], outputCol=out)]
+
+
+def pipeline(cols: list[str], estimator, scale: bool = False, indicators: list[str] | tuple = ()) -> Pipeline:
+    """Median imputation, assembly, the estimator. ``indicators``: columns whose missingness is a feature of its own, after the
+    imputed values (never scaled, so that the vectors stay sparse there); see ``columns_with_missing``."""
     imputed = [f"{c}__imp" for c in cols]
-    stages = [Imputer(inputCols=cols, outputCols=imputed, strategy="median", relativeError=0.001),
-              VectorAssembler(inputCols=imputed, outputCol="raw" if scale else "features", handleInvalid="keep")]
+    stages = [Imputer(inputCols=cols, outputCols=imputed, strategy="median", relativeError=0.001)]
+    values = "values" if indicators else "features"
+    stages.append(VectorAssembler(inputCols=imputed, outputCol="raw" if scale else values, handleInvalid="keep"))
     if scale:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features"))
+        stages.append(StandardScaler(inputCol="raw", outputCol=values))
+    if indicators:
+        stages += [*_indicators(list(indicators), "missing"),
+                   VectorAssembler(inputCols=[values, "missing"], outputCol="features", handleInvalid="keep")]
     stages.append(estimator)
     return Pipeline(stages=stages)
 

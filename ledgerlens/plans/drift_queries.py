@@ -34,7 +34,7 @@ FEATURES_SQL = {
 }
 
 
-def _feature_columns():
+def feature_columns():
     return {
         "k": L.json_double("features", "k"),
         "latency_ms": F.col("latency_ms"),
@@ -46,7 +46,7 @@ def _feature_columns():
 # ---------------------------------------------------------------- Spark side
 def _obs(spark, d):
     p = roles.predictions(spark, d)
-    return D.observations(p, _feature_columns(), ["id", "occurred_at", "probability", "decision"])
+    return D.observations(p, feature_columns(), ["id", "occurred_at", "probability", "decision"])
 
 
 def _cut():
@@ -66,7 +66,7 @@ def _importance(ref):
     return ref.groupBy("feature").agg(round_dec(F.abs(F.corr("value", "probability")), 4).alias("importance"))
 
 
-def _profile(spark, d):
+def log_profile(spark, d):
     # the observations are written once: the deciles, shares, missing rates and importances
     # below each read them instead of deriving them from the log again
     ref = materialised(_reference(spark, d), "reference")
@@ -80,7 +80,7 @@ def _obs_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-def _profile_ctes(ref: str = "ref", name: str = "profile") -> list[str]:
+def profile_ctes(ref: str = "ref", name: str = "profile") -> list[str]:
     qs = ", ".join(f"quantile_cont(value, {q})" for q in D.DECILES)
     return [
         f"{name}_b AS (SELECT feature, list_sort(list_distinct([{qs}])) AS bounds FROM {ref} WHERE value IS NOT NULL GROUP BY feature)",
@@ -99,16 +99,16 @@ def _profile_ctes(ref: str = "ref", name: str = "profile") -> list[str]:
     ]
 
 
-def _base_ctes() -> list[str]:
+def base_ctes() -> list[str]:
     return [
         f"pred AS ({roles.SQL['predictions']})",
         f"obs AS ({_obs_sql()})",
         f"ref AS (SELECT * FROM obs WHERE occurred_at < TIMESTAMP '{WINDOW_CUT}')",
         f"prod AS (SELECT * FROM obs WHERE occurred_at >= TIMESTAMP '{WINDOW_CUT}')",
-    ] + _profile_ctes()
+    ] + profile_ctes()
 
 
-def _psi_ctes(obs: str, name: str, group: list[str], profile: str = "profile") -> list[str]:
+def psi_ctes(obs: str, name: str, group: list[str], profile: str = "profile") -> list[str]:
     """CTE ``{name}`` = (group..., feature, psi, missing_production) of ``obs`` against ``profile``."""
     gs = "".join(f"{c}, " for c in group)
     gs_o = "".join(f"o.{c}, " for c in group)
@@ -136,7 +136,7 @@ def _psi_ctes(obs: str, name: str, group: list[str], profile: str = "profile") -
     ]
 
 
-_BAND = "CASE WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END"
+BAND = "CASE WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END"
 
 
 def _with(*ctes) -> str:
@@ -148,44 +148,44 @@ def _r_list(expr: str) -> str:
 
 
 # ---------------------------------------------------------------- keys
-@register("decile_bounds", _with(_base_ctes()) + f"SELECT feature, {_r_list('bounds')} AS bounds FROM profile_b")
+@register("decile_bounds", _with(base_ctes()) + f"SELECT feature, {_r_list('bounds')} AS bounds FROM profile_b")
 def decile_bounds(spark, d):
     """De-duplicated inner deciles per feature of the reference sample."""
     return stable_doubles(D.decile_bounds(_reference(spark, d)))
 
 
-@register("class_shares", _with(_base_ctes(), _psi_ctes("prod", "pr", [])) +
+@register("class_shares", _with(base_ctes(), psi_ctes("prod", "pr", [])) +
           f"SELECT feature, CAST(class AS INTEGER) AS class, {R('p')} AS share, "
           "CAST(sum(cnt) OVER (PARTITION BY feature) AS BIGINT) AS n_values FROM pr_sh")
 def class_shares(spark, d):
     """Share of window B's non-missing values in each reference class (empty classes = 0)."""
-    return stable_doubles(D.class_shares(_production(spark, d), _profile(spark, d)))
+    return stable_doubles(D.class_shares(_production(spark, d), log_profile(spark, d)))
 
 
-@register("reference_profile", _with(_base_ctes()) +
+@register("reference_profile", _with(base_ctes()) +
           f"SELECT feature, {_r_list('bounds')} AS bounds, proportions, missing, importance FROM profile")
 def reference_profile(spark, d):
     """Bounds, class proportions (6 decimals), missing rate and importance per feature."""
-    prof = _profile(spark, d)
+    prof = log_profile(spark, d)
     return prof.select("feature", F.transform("bounds", lambda x: round_sig(x)).alias("bounds"),
                        "proportions", "missing", "importance")
 
 
-@register("psi_feature", _with(_base_ctes(), _psi_ctes("prod", "pr", [])) + f"SELECT feature, psi, {_BAND} AS band FROM pr")
+@register("psi_feature", _with(base_ctes(), psi_ctes("prod", "pr", [])) + f"SELECT feature, psi, {BAND} AS band FROM pr")
 def psi_feature(spark, d):
     """PSI of window B per feature and its band (on the rounded value)."""
-    return D.psi(_production(spark, d), _profile(spark, d)).select("feature", "psi", "band")
+    return D.psi(_production(spark, d), log_profile(spark, d)).select("feature", "psi", "band")
 
 
-_DRIFT_SQL = (_with(_base_ctes(), _psi_ctes("prod", "pr", [])) +
-              f"SELECT p.feature, pr.psi, {_BAND.replace('psi', 'pr.psi')} AS band, p.missing AS missing_reference, "
+_DRIFT_SQL = (_with(base_ctes(), psi_ctes("prod", "pr", [])) +
+              f"SELECT p.feature, pr.psi, {BAND.replace('psi', 'pr.psi')} AS band, p.missing AS missing_reference, "
               "pr.missing_production, p.importance FROM profile p LEFT JOIN pr USING (feature)")
 
 
 @register("drift_table", _DRIFT_SQL)
 def drift_table(spark, d):
     """PSI, band, missing rates and importance for every profiled feature."""
-    return D.drift_table(_production(spark, d), _profile(spark, d))
+    return D.drift_table(_production(spark, d), log_profile(spark, d))
 
 
 # ---------------------------------------------------------------- the whole contract
@@ -196,7 +196,7 @@ _CONTRACT_CTES = [
     "UNPIVOT INCLUDE NULLS (value FOR feature IN (COLUMNS(* EXCLUDE (id, unlabelled)))))",
     "ref AS (SELECT id, feature, value, value AS probability FROM cells WHERE NOT unlabelled)",
     "prod AS (SELECT id, feature, value FROM cells WHERE unlabelled)",
-] + _profile_ctes() + _psi_ctes("prod", "pr", [])
+] + profile_ctes() + psi_ctes("prod", "pr", [])
 
 
 def _contract_drift(spark, d):
@@ -209,7 +209,7 @@ def _contract_drift(spark, d):
 
 
 @register("drift_contract", _with(_CONTRACT_CTES) + f"""
-SELECT p.feature, pr.psi, {_BAND.replace('psi', 'pr.psi')} AS band, p.missing AS missing_reference, pr.missing_production
+SELECT p.feature, pr.psi, {BAND.replace('psi', 'pr.psi')} AS band, p.missing AS missing_reference, pr.missing_production
 FROM profile p LEFT JOIN pr USING (feature)""")
 def drift_contract(spark, d):
     """PSI, band and missing rates of every feature of the contract, from the feature table."""
@@ -226,13 +226,13 @@ def drift_contract_share(spark, d):
         F.count_if(F.col("psi") >= 0.25).alias("n_significant"))
 
 
-@register("missing_rate_gap", _with(_base_ctes(), _psi_ctes("prod", "pr", [])) + f"""
+@register("missing_rate_gap", _with(base_ctes(), psi_ctes("prod", "pr", [])) + f"""
 SELECT feature, missing_reference, missing_production, {R('missing_production - missing_reference')} AS gap,
        row_number() OVER (ORDER BY abs(missing_production - missing_reference) DESC, feature) AS rank
 FROM (SELECT p.feature, p.missing AS missing_reference, pr.missing_production FROM profile p JOIN pr USING (feature))""")
 def missing_rate_gap(spark, d):
     """Reference vs production missing rates, sorted by absolute gap (window on the feature table)."""
-    t = D.drift_table(_production(spark, d), _profile(spark, d))
+    t = D.drift_table(_production(spark, d), log_profile(spark, d))
     gap = F.col("missing_production") - F.col("missing_reference")
     w = Window.orderBy(F.abs(gap).desc(), "feature")
     out = t.select("feature", "missing_reference", "missing_production", gap.alias("gap"),
@@ -240,30 +240,30 @@ def missing_rate_gap(spark, d):
     return out.withColumn("gap", round_sig(F.col("gap")))
 
 
-@register("drifted_share", _with(_base_ctes(), _psi_ctes("prod", "pr", [])) + f"""
+@register("drifted_share", _with(base_ctes(), psi_ctes("prod", "pr", [])) + f"""
 SELECT count(*) AS n_features, count(*) FILTER (WHERE pr.psi >= 0.10) AS n_drifted,
        {R('count(*) FILTER (WHERE pr.psi >= 0.10) / count(*)')} AS drifted_share
 FROM profile p LEFT JOIN pr USING (feature)""")
 def drifted_share(spark, d):
     """Number and share of profiled features with PSI >= 0.10."""
-    t = D.drift_table(_production(spark, d), _profile(spark, d))
+    t = D.drift_table(_production(spark, d), log_profile(spark, d))
     return stable_doubles(t.agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("psi") >= 0.10).alias("n_drifted"),
                                 (F.count_if(F.col("psi") >= 0.10) / F.count(F.lit(1))).alias("drifted_share")))
 
 
 def _self_check_sql():
     h = sql_hash_key("id")
-    ctes = _base_ctes() + [
+    ctes = base_ctes() + [
         f"half1 AS (SELECT * FROM ref WHERE {h} % 2 = 0)",
         f"half2 AS (SELECT * FROM ref WHERE {h} % 2 <> 0)",
-    ] + _profile_ctes("half1", "prof1") + _psi_ctes("half2", "hv", [], "prof1") + [
+    ] + profile_ctes("half1", "prof1") + psi_ctes("half2", "hv", [], "prof1") + [
         f"shifted AS (SELECT id, feature, CASE WHEN feature = '{SHIFTED_FEATURE}' THEN "
         f"(CASE WHEN value - {SHIFT} < 0 THEN 0.0 WHEN value - {SHIFT} > 1 THEN 1.0 ELSE value - {SHIFT} END) "
         "ELSE value END AS value FROM ref)",
-    ] + _psi_ctes("shifted", "sv", [])
+    ] + psi_ctes("shifted", "sv", [])
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT feature, hv.psi AS psi_halves, {_BAND.replace('psi', 'hv.psi')} AS band_halves,
-       sv.psi AS psi_shifted, {_BAND.replace('psi', 'sv.psi')} AS band_shifted
+SELECT feature, hv.psi AS psi_halves, {BAND.replace('psi', 'hv.psi')} AS band_halves,
+       sv.psi AS psi_shifted, {BAND.replace('psi', 'sv.psi')} AS band_shifted
 FROM hv JOIN sv USING (feature)"""
 
 
@@ -285,13 +285,13 @@ def drift_self_check(spark, d):
 
 def _sensitivity_sql():
     grid = "(VALUES " + ", ".join(f"(CAST({s} AS DOUBLE))" for s in SHIFTS) + ") sh(shift)"
-    ctes = _base_ctes() + [
+    ctes = base_ctes() + [
         f"swept AS (SELECT sh.shift, o.id, o.feature, CASE WHEN o.feature = '{SHIFTED_FEATURE}' THEN "
         "(CASE WHEN o.value - sh.shift < 0 THEN 0.0 WHEN o.value - sh.shift > 1 THEN 1.0 ELSE o.value - sh.shift END) "
         f"ELSE o.value END AS value FROM prod o, {grid})",
-    ] + _psi_ctes("swept", "sw", ["shift"])
+    ] + psi_ctes("swept", "sw", ["shift"])
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT shift, psi, {_BAND} AS band, n_drifted,
+SELECT shift, psi, {BAND} AS band, n_drifted,
        min(CASE WHEN psi >= 0.10 THEN shift END) OVER () AS first_moderate_shift,
        min(CASE WHEN psi >= 0.25 THEN shift END) OVER () AS first_significant_shift
 FROM (SELECT shift, max(psi) FILTER (WHERE feature = '{SHIFTED_FEATURE}') AS psi,
@@ -302,7 +302,7 @@ FROM (SELECT shift, max(psi) FILTER (WHERE feature = '{SHIFTED_FEATURE}') AS psi
 def drift_sensitivity(spark, d):
     """Shift one feature of window B by 0 ... 0.30; PSI and drifted count per shift, and the
     first shift crossing each band."""
-    p = D.shifted_psi(_production(spark, d), _profile(spark, d), SHIFTS, [SHIFTED_FEATURE])
+    p = D.shifted_psi(_production(spark, d), log_profile(spark, d), SHIFTS, [SHIFTED_FEATURE])
     per = p.groupBy("shift").agg(F.max(F.when(F.col("feature") == SHIFTED_FEATURE, F.col("psi"))).alias("psi"),
                                  F.count_if(F.col("psi") >= 0.10).alias("n_drifted"))
     w = Window.partitionBy()  # over the 7 shift rows only
@@ -317,12 +317,12 @@ SHIFTED_TOGETHER = ["application_ratio", "history_ratio"]
 def _sweep_sql():
     grid = "(VALUES " + ", ".join(f"(CAST({s} AS DOUBLE))" for s in SHIFTS) + ") sh(shift)"
     moved = ", ".join(f"'{f}'" for f in SHIFTED_TOGETHER)
-    ctes = _base_ctes() + [
+    ctes = base_ctes() + [
         f"swept AS (SELECT sh.shift, o.feature, CASE WHEN o.feature IN ({moved}) THEN least(greatest(o.value - sh.shift, 0.0), 1.0) "
         f"ELSE o.value END AS value FROM prod o, {grid} WHERE o.value IS NOT NULL)",
-    ] + _psi_ctes("swept", "sw", ["shift"])
+    ] + psi_ctes("swept", "sw", ["shift"])
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT shift, feature, psi, {_BAND} AS band, CAST(sum(CASE WHEN psi >= 0.10 THEN 1 ELSE 0 END) OVER (PARTITION BY shift) AS BIGINT) AS n_drifted,
+SELECT shift, feature, psi, {BAND} AS band, CAST(sum(CASE WHEN psi >= 0.10 THEN 1 ELSE 0 END) OVER (PARTITION BY shift) AS BIGINT) AS n_drifted,
        min(CASE WHEN psi >= 0.10 THEN shift END) OVER (PARTITION BY feature) AS first_moderate_shift,
        min(CASE WHEN psi >= 0.25 THEN shift END) OVER (PARTITION BY feature) AS first_significant_shift FROM sw"""
 
@@ -331,7 +331,7 @@ SELECT shift, feature, psi, {_BAND} AS band, CAST(sum(CASE WHEN psi >= 0.10 THEN
 def drift_sweep(spark, d):
     """Several features of window B shifted together; PSI of every feature per shift, the number that drifted, and the
     first shift at which each feature crosses a band."""
-    p = D.shifted_psi(_production(spark, d), _profile(spark, d), SHIFTS, SHIFTED_TOGETHER)
+    p = D.shifted_psi(_production(spark, d), log_profile(spark, d), SHIFTS, SHIFTED_TOGETHER)
     by_shift, by_feature = Window.partitionBy("shift"), Window.partitionBy("feature")      # features x shifts rows
     return p.select("shift", "feature", "psi", "band", F.sum((F.col("psi") >= 0.10).cast("bigint")).over(by_shift).alias("n_drifted"),
                     F.min(F.when(F.col("psi") >= 0.10, F.col("shift"))).over(by_feature).alias("first_moderate_shift"),
@@ -346,20 +346,20 @@ def _sub_windows(spark, d):
     return prod.withColumn("window_label", F.when(F.col("occurred_at") < L.ts_literal(SPLIT), "B1").otherwise("B2"))
 
 
-@register("drift_two_windows", _with(_base_ctes(), [f"prodw AS (SELECT *, {_WIN_SQL} AS window_label FROM prod)"],
-                                     _psi_ctes("prodw", "tw", ["window_label"])) + f"""
-SELECT a.feature, a.psi AS psi_a, b.psi AS psi_b, {_BAND.replace('psi', 'b.psi')} AS band_b
+@register("drift_two_windows", _with(base_ctes(), [f"prodw AS (SELECT *, {_WIN_SQL} AS window_label FROM prod)"],
+                                     psi_ctes("prodw", "tw", ["window_label"])) + f"""
+SELECT a.feature, a.psi AS psi_a, b.psi AS psi_b, {BAND.replace('psi', 'b.psi')} AS band_b
 FROM (SELECT * FROM tw WHERE window_label = 'B1') a JOIN (SELECT * FROM tw WHERE window_label = 'B2') b USING (feature)""")
 def drift_two_windows(spark, d):
     """PSI of two production windows per feature (grouped once), band of the later one."""
-    p = D.psi(_sub_windows(spark, d), _profile(spark, d), ["window_label"])
+    p = D.psi(_sub_windows(spark, d), log_profile(spark, d), ["window_label"])
     a = p.filter(F.col("window_label") == "B1").select("feature", F.col("psi").alias("psi_a"))
     b = p.filter(F.col("window_label") == "B2").select("feature", F.col("psi").alias("psi_b"), F.col("band").alias("band_b"))
     return a.join(b, "feature")
 
 
-@register("window_synthesis", _with(_base_ctes(), [f"prodw AS (SELECT *, {_WIN_SQL} AS window_label FROM prod)"],
-                                    _psi_ctes("prodw", "tw", ["window_label"])) + f"""
+@register("window_synthesis", _with(base_ctes(), [f"prodw AS (SELECT *, {_WIN_SQL} AS window_label FROM prod)"],
+                                    psi_ctes("prodw", "tw", ["window_label"])) + f"""
 SELECT s.window_label, {R('s.max_psi')} AS max_psi, s.n_drifted, {R('l.refusal_rate')} AS refusal_rate, {R('l.p95_latency_ms')} AS p95_latency_ms
 FROM (SELECT window_label, max(psi) AS max_psi, count(*) FILTER (WHERE psi >= 0.10) AS n_drifted FROM tw GROUP BY window_label) s
 JOIN (SELECT {_WIN_SQL} AS window_label, avg(CASE WHEN decision = 'rejected' THEN 1.0 ELSE 0.0 END) AS refusal_rate,
@@ -367,7 +367,7 @@ JOIN (SELECT {_WIN_SQL} AS window_label, avg(CASE WHEN decision = 'rejected' THE
       FROM pred WHERE occurred_at >= TIMESTAMP '{WINDOW_CUT}' GROUP BY 1) l USING (window_label)""")
 def window_synthesis(spark, d):
     """Per production window, max PSI, drifted features, refusal rate and p95 latency."""
-    p = D.psi(_sub_windows(spark, d), _profile(spark, d), ["window_label"])
+    p = D.psi(_sub_windows(spark, d), log_profile(spark, d), ["window_label"])
     s = p.groupBy("window_label").agg(F.max("psi").alias("max_psi"), F.count_if(F.col("psi") >= 0.10).alias("n_drifted"))
     pred = roles.predictions(spark, d).filter(F.col("occurred_at") >= _cut())
     pred = pred.withColumn("window_label", F.when(F.col("occurred_at") < L.ts_literal(SPLIT), "B1").otherwise("B2"))
@@ -376,7 +376,7 @@ def window_synthesis(spark, d):
     return stable_doubles(s.join(lg, "window_label"))
 
 
-@register("verdict_data", _with(_base_ctes(), _psi_ctes("prod", "pr", [])) + f"""
+@register("verdict_data", _with(base_ctes(), psi_ctes("prod", "pr", [])) + f"""
 SELECT n.n_predictions, s.n_significant, s.n_moderate,
        CASE WHEN n.n_predictions < 500 THEN 'info' WHEN s.n_significant > 0 THEN 'warning' ELSE 'ok' END AS level,
        s.features
@@ -387,7 +387,7 @@ FROM (SELECT count(*) AS n_predictions FROM pred WHERE occurred_at >= TIMESTAMP
       FROM pr) s""")
 def verdict_data(spark, d):
     """Info under 500 predictions, warning naming the significant features, ok otherwise."""
-    t = D.drift_table(_production(spark, d), _profile(spark, d))
+    t = D.drift_table(_production(spark, d), log_profile(spark, d))
     s = t.agg(F.count_if(F.col("psi") >= 0.25).alias("n_significant"),
               F.count_if((F.col("psi") >= 0.10) & (F.col("psi") < 0.25)).alias("n_moderate"),
               F.concat_ws(", ", F.array_sort(F.collect_list(F.when(F.col("psi") >= 0.25, F.col("feature"))))).alias("features"))
@@ -398,9 +398,9 @@ def verdict_data(spark, d):
     return out.select("n_predictions", "n_significant", "n_moderate", level.alias("level"), "features")
 
 
-@register("escalation_alerts", _with(_base_ctes(), [
+ESCALATION_SQL = _with(base_ctes(), [
     "prodd AS (SELECT *, CAST(date_trunc('day', occurred_at) AS TIMESTAMP) AS day FROM prod)"],
-    _psi_ctes("prodd", "dd", ["day"])) + f"""
+    psi_ctes("prodd", "dd", ["day"])) + f"""
 , rates AS (SELECT CAST(date_trunc('day', occurred_at) AS TIMESTAMP) AS day,
                    date_diff('day', DATE '1970-01-01', CAST(occurred_at AS DATE)) AS day_number,
                    avg(CASE WHEN decision = 'rejected' THEN 1.0 ELSE 0.0 END) AS refusal_rate FROM pred GROUP BY 1, 2),
@@ -408,12 +408,15 @@ trail AS (SELECT *, avg(refusal_rate) OVER (ORDER BY day_number RANGE BETWEEN 7
 SELECT day, n_significant, {R('refusal_rate')} AS refusal_rate, {R('tr')} AS trailing_rate,
        coalesce(abs(refusal_rate - tr) / tr > 0.2, false) AS refusal_alert,
        n_significant >= 2 OR coalesce(abs(refusal_rate - tr) / tr > 0.2, false) AS alert
-FROM (SELECT day, count(*) FILTER (WHERE psi >= 0.25) AS n_significant FROM dd GROUP BY day) JOIN trail USING (day)""")
+FROM (SELECT day, count(*) FILTER (WHERE psi >= 0.25) AS n_significant FROM dd GROUP BY day) JOIN trail USING (day)"""
+
+
+@register("escalation_alerts", ESCALATION_SQL)
 def escalation_alerts(spark, d):
     """Per production day, alert when >= 2 features are significant or the refusal rate is
     more than 20 % off the mean of the 7 preceding days."""
     prod = _production(spark, d).withColumn("day", L.bucket_start("occurred_at", "day"))
-    p = D.psi(prod, _profile(spark, d), ["day"])
+    p = D.psi(prod, log_profile(spark, d), ["day"])
     sig = p.groupBy("day").agg(F.count_if(F.col("psi") >= 0.25).alias("n_significant"))
     pred = roles.predictions(spark, d)
     daily = pred.groupBy(L.bucket_start("occurred_at", "day").alias("day"),
@@ -428,11 +431,11 @@ def escalation_alerts(spark, d):
     return stable_doubles(out)
 
 
-@register("psi_bucket", _with(_base_ctes()) + """
+@register("psi_bucket", _with(base_ctes()) + """
 SELECT o.id, o.feature, len(list_filter(p.bounds, lambda x: x <= o.value)) AS class
 FROM prod o JOIN profile p USING (feature) WHERE o.value IS NOT NULL""")
 def psi_bucket(spark, d):
     """class of each production value = number of sorted bounds <= value (broadcast profile)."""
-    prof = F.broadcast(_profile(spark, d).select("feature", "bounds"))
+    prof = F.broadcast(log_profile(spark, d).select("feature", "bounds"))
     prod = _production(spark, d).filter(F.col("value").isNotNull()).join(prof, "feature")
     return prod.select("id", "feature", D.class_of(F.col("bounds"), F.col("value")).cast("bigint").alias("class"))

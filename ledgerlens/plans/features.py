@@ -75,6 +75,8 @@ BINARY_APPLICATION = ["CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY"]
 # Characters replaced by "_" in the final column names.
 NAME_CHARS = "[ ,:]"
 
+Catalogue = dict[str, dict[str, list[str]]]
+
 # Category catalogue of the stand-in tables (fixed output schema; an unseen
 # category encodes as all zeros). ``tests/test_features.py`` checks it against
 # ``fit_catalogue`` on the data.
@@ -100,15 +102,14 @@ def _ref(name: str):
 
 
 # ---------------------------------------------------------------- application
-def application_features(app: DataFrame, catalogue: dict[str, list[str]] | None = None) -> DataFrame:
+def application_features(app: DataFrame, catalogue: Catalogue = CATALOGUE) -> DataFrame:
     """Junk filter (NULL kept), first-seen codes for binary columns, one-hot without
     a missing indicator, sentinel -> NULL, five ratio columns."""
-    catalogue = catalogue or CATALOGUE["application"]
     df = app.filter(ne_null_safe("CODE_GENDER", "XNA"))
     order = ["_test", KEY]
     df = df.withColumn("_test", F.col("TARGET").isNull().cast("int"))
     df = factorize_few(df, BINARY_APPLICATION, order).drop("_test")
-    df, _ = one_hot(df, catalogue, nan_as_category=False)
+    df, _ = one_hot(df, catalogue["application"], nan_as_category=False)
     df = df.withColumn("DAYS_EMPLOYED", sentinel_to_null("DAYS_EMPLOYED"))
     return df.select(
         "*",
@@ -121,22 +122,22 @@ def application_features(app: DataFrame, catalogue: dict[str, list[str]] | None
 
 
 # ---------------------------------------------------------------- bureau
-def bureau_accounts(bureau: DataFrame, balance: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+def bureau_accounts(bureau: DataFrame, balance: DataFrame, catalogue: Catalogue = CATALOGUE) -> tuple[DataFrame, list[str], list[str]]:
     """Accounts with one-hot categories and their monthly-balance aggregates.
 
     Returns the frame, the bureau indicator names and the balance share names.
     """
-    bb, bb_cat = one_hot(balance, CATALOGUE["bureau_balance"], nan_as_category=True)
+    bb, bb_cat = one_hot(balance, catalogue["bureau_balance"], nan_as_category=True)
     bb_spec = dict(BUREAU_BALANCE_NUM, **{c: ["mean"] for c in bb_cat})
     bb_agg = aggregate(bb, "SK_ID_BUREAU", bb_spec)
-    accounts, b_cat = one_hot(bureau, CATALOGUE["bureau"], nan_as_category=True)
+    accounts, b_cat = one_hot(bureau, catalogue["bureau"], nan_as_category=True)
     accounts = accounts.join(bb_agg, "SK_ID_BUREAU", "left").drop("SK_ID_BUREAU")
     return accounts, b_cat, [f"{c}_MEAN" for c in bb_cat]
 
 
-def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
+def bureau_features(bureau: DataFrame, balance: DataFrame, catalogue: Catalogue = CATALOGUE) -> DataFrame:
     """``BURO_`` aggregates plus ``ACTIVE_`` / ``CLOSED_`` sub-populations, one pass."""
-    accounts, b_cat, bb_share = bureau_accounts(bureau, balance)
+    accounts, b_cat, bb_share = bureau_accounts(bureau, balance, catalogue)
     spec = dict(BUREAU_NUM, **{c: ["mean"] for c in b_cat + bb_share})
     return accounts.groupBy(KEY).agg(
         *agg_columns(spec, "BURO_"),
@@ -164,8 +165,8 @@ def bureau_subpopulations_joined(bureau: DataFrame, balance: DataFrame) -> DataF
 
 
 # ---------------------------------------------------------------- previous applications
-def previous_features(prev: DataFrame) -> DataFrame:
-    df, cat = one_hot(prev, CATALOGUE["previous_application"], nan_as_category=True)
+def previous_features(prev: DataFrame, catalogue: Catalogue = CATALOGUE) -> DataFrame:
+    df, cat = one_hot(prev, catalogue["previous_application"], nan_as_category=True)
     for col in SENTINEL_COLUMNS_PREVIOUS:
         df = df.withColumn(col, sentinel_to_null(col))
     df = df.withColumn("APP_CREDIT_PERC", safe_ratio("AMT_APPLICATION", "AMT_CREDIT"))
@@ -178,8 +179,8 @@ def previous_features(prev: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- POS / cash
-def pos_features(pos: DataFrame) -> DataFrame:
-    df, cat = one_hot(pos, CATALOGUE["pos_cash"], nan_as_category=True)
+def pos_features(pos: DataFrame, catalogue: Catalogue = CATALOGUE) -> DataFrame:
+    df, cat = one_hot(pos, catalogue["pos_cash"], nan_as_category=True)
     spec = dict(POS_NUM, **{c: ["mean"] for c in cat})
     return df.groupBy(KEY).agg(*agg_columns(spec, "POS_"), F.count(F.lit(1)).alias("POS_COUNT"))
 
@@ -201,19 +202,19 @@ def instalment_features(ins: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- credit card
-def card_spec(card: DataFrame) -> tuple[dict[str, list[str]], list[str]]:
+def card_spec(card: DataFrame, catalogue: Catalogue = CATALOGUE) -> tuple[dict[str, list[str]], list[str]]:
     cols = [c for c in card.columns if c not in (KEY, "SK_ID_PREV", "NAME_CONTRACT_STATUS")]
-    cat = [indicator_name("NAME_CONTRACT_STATUS", v) for v in CATALOGUE["card_balance"]["NAME_CONTRACT_STATUS"]]
+    cat = [indicator_name("NAME_CONTRACT_STATUS", v) for v in catalogue["card_balance"]["NAME_CONTRACT_STATUS"]]
     cat.append(indicator_name("NAME_CONTRACT_STATUS", None))
     spec = {c: CARD_STATS for c in cols}
     spec.update({c: CARD_INDICATOR_STATS for c in cat})
     return spec, cat
 
 
-def card_features(card: DataFrame) -> DataFrame:
+def card_features(card: DataFrame, catalogue: Catalogue = CATALOGUE) -> DataFrame:
     """Five statistics of every numeric column, mean/sum/var of the indicators."""
-    spec, _ = card_spec(card)
-    df, _ = one_hot(card.drop("SK_ID_PREV"), CATALOGUE["card_balance"], nan_as_category=True)
+    spec, _ = card_spec(card, catalogue)
+    df, _ = one_hot(card.drop("SK_ID_PREV"), catalogue["card_balance"], nan_as_category=True)
     return df.groupBy(KEY).agg(*agg_columns(spec, "CC_"), F.count(F.lit(1)).alias("CC_COUNT"))
 
 
@@ -231,16 +232,17 @@ def sanitise_columns(df: DataFrame) -> DataFrame:
 
 
 def feature_table(app: DataFrame, bureau: DataFrame, balance: DataFrame, prev: DataFrame,
-                  pos: DataFrame, ins: DataFrame, card: DataFrame, finish=None) -> DataFrame:
+                  pos: DataFrame, ins: DataFrame, card: DataFrame, finish=None,
+                  catalogue: Catalogue = CATALOGUE) -> DataFrame:
     """One row per application; aggregates joined left so the row count is unchanged.
 
     Names are sanitised and ±inf / NaN become NULL in one final projection;
     ``finish`` (SQL text -> SQL text) is applied to every double column in the same
-    projection.
+    projection. The categories are those of ``catalogue``, as stored by ``operators.catalogue``.
     """
-    df = application_features(app)
-    for part in (bureau_features(bureau, balance), previous_features(prev), pos_features(pos),
-                 instalment_features(ins), card_features(card)):
+    df = application_features(app, catalogue)
+    for part in (bureau_features(bureau, balance, catalogue), previous_features(prev, catalogue), pos_features(pos, catalogue),
+                 instalment_features(ins), card_features(card, catalogue)):
         df = df.join(part, KEY, "left")
     names = [sanitise_name(c) for c in df.columns]
     if len(set(names)) != len(names):

@@ -4,6 +4,7 @@ operators they use are checked exactly elsewhere."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import decide
@@ -12,6 +13,7 @@ from ledgerlens.operators import ml as M
 from ledgerlens.operators import search as S
 from ledgerlens.operators import trees as T
 from ledgerlens.operators.sampling import sql_hash_key
+from ledgerlens.plans import feature_sql as FS
 from ledgerlens.plans.feature_queries import build_feature_table
 from ledgerlens.plans.registry import register
 from ledgerlens.session import materialised
@@ -45,20 +47,41 @@ def oof_predictions(spark, d):
 
 @register("baseline_models")
 def baseline_models(spark, d):
-    """Median imputation + scaling + weighted logistic regression, and a weighted random forest,
-    fitted on two folds and scored by rank AUC on the third."""
+    """Median imputation + scaling + weighted logistic regression, and a weighted random forest, each without and with
+    indicators of missing values, fitted on two folds and scored by rank AUC on the third."""
     train, cols = _train(spark, d)
     fit_rows = train.filter(F.col("fold") != VALIDATION_FOLD)
     held = train.filter(F.col("fold") == VALIDATION_FOLD)
+    absent = M.columns_with_missing(fit_rows, cols)
     out = None
     for name, est, scale in (("logistic", M.logistic(), True), ("random_forest", M.forest(), False)):
-        scored = M.positive_probability(M.pipeline(cols, est, scale).fit(fit_rows).transform(held))
-        auc = E.auc_rank(scored.select(F.col(M.LABEL).cast("int").alias("y"), "p"))
-        row = auc.select(F.lit(name).alias("model"), "auc", (F.col("n_pos") + F.col("n_neg")).alias("n_eval"))
-        out = row if out is None else out.unionByName(row)
+        for indicators in ([], absent):
+            scored = M.positive_probability(M.pipeline(cols, est, scale, indicators).fit(fit_rows).transform(held))
+            auc = E.auc_rank(scored.select(F.col(M.LABEL).cast("int").alias("y"), "p"))
+            row = auc.select(F.lit(name).alias("model"), F.lit(len(indicators)).alias("n_indicators"), "auc",
+                             (F.col("n_pos") + F.col("n_neg")).alias("n_eval"))
+            out = row if out is None else out.unionByName(row)
     return out
 
 
+@register("missing_indicators", f"""WITH ftab AS ({FS.feature_table_query()}),
+cells AS (UNPIVOT (SELECT SK_ID_CURR AS id, CAST(COLUMNS(* EXCLUDE (SK_ID_CURR, TARGET)) AS DOUBLE) FROM ftab WHERE TARGET IS NOT NULL)
+          ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE value),
+present AS (SELECT feature, count(*) AS n FROM cells GROUP BY feature),
+rows AS (SELECT SK_ID_CURR AS id FROM ftab WHERE TARGET IS NOT NULL)
+SELECT id, feature FROM rows, (SELECT feature FROM present WHERE n < (SELECT count(*) FROM rows))
+EXCEPT SELECT id, feature FROM cells""")
+def missing_indicators(spark, d):
+    """The indicator matrix of the training rows, read off the sparse vectors: one row per missing value of a feature that
+    is present elsewhere."""
+    train, cols = _train(spark, d)
+    absent = M.columns_with_missing(train, cols)
+    rows = M.missing_vector(train.select("id", *[F.col(f"`{c}`") for c in absent]), absent).select("id", "missing")
+    names = F.array(*[F.lit(c) for c in absent])
+    flags = F.arrays_zip(names.alias("feature"), vector_to_array("missing").alias("flag"))
+    return rows.select("id", F.explode(F.filter(flags, lambda x: x["flag"] == 1.0)).alias("f")).select("id", "f.feature")
+
+
 def _boosted(spark, d):
     """(rows, features, nodes, forest): all boosting iterations fitted on the training folds; ``rows`` has the labelled rows with
     the imputed values of the features that the trees split on, and their part (train or valid)."""

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.rounding import round_sig, sql_round_dec, sql_round_sig
+from ledgerlens.functions.rounding import round_sig, sql_round_dec, sql_round_sig, stable_doubles
 from ledgerlens.operators import evaluate as E
 from ledgerlens.operators import logs as L
 from ledgerlens.operators import ml as M
@@ -136,19 +136,31 @@ _DAILY = [
 ]
 
 
-@register("stream_drift_psi", "WITH " + ",\n".join([*DQ._base_ctes(), *_DAILY]) + f"""
-SELECT ws AS window_start, ws + INTERVAL 7 DAY AS window_end, feature, psi, {DQ._BAND} AS band FROM w
+@register("stream_drift_psi", "WITH " + ",\n".join([*DQ.base_ctes(), *_DAILY]) + f"""
+SELECT ws AS window_start, ws + INTERVAL 7 DAY AS window_end, feature, psi, {DQ.BAND} AS band FROM w
 WHERE ws + INTERVAL 7 DAY <= (SELECT max(occurred_at) FROM pred) - INTERVAL 1 DAY""")
 def stream_drift_psi(spark, d):
     """PSI per feature of every closed 7-day window (slide 1 day) against the profile of window A."""
     base = _base(spark, "psi")
     S.write_json_log(roles.predictions(spark, d), f"{base}/in")
     stream = S.read_json_stream(spark, f"{base}/in", S.PREDICTION_SCHEMA)
-    S.psi_stream(stream, DQ._feature_columns(), DQ._profile(spark, d), f"{base}/out", f"{base}/checkpoint")
+    S.psi_stream(stream, DQ.feature_columns(), DQ.log_profile(spark, d), f"{base}/out", f"{base}/checkpoint")
     back = spark.read.parquet(f"{base}/out")
     return back.select(_ntz("window_start"), _ntz("window_end"), "feature", "psi", "band")
 
 
+@register("stream_escalation", f"""SELECT * FROM ({DQ.ESCALATION_SQL})
+WHERE day + INTERVAL 1 DAY <= (SELECT max(occurred_at) FROM ({roles.SQL['predictions']})) - INTERVAL 1 DAY""")
+def stream_escalation(spark, d):
+    """The daily escalation as chained stateful operators; its closed production days are those of ``escalation_alerts``."""
+    base = _base(spark, "escalation")
+    S.write_json_log(roles.predictions(spark, d), f"{base}/in")
+    stream = S.read_json_stream(spark, f"{base}/in", S.PREDICTION_SCHEMA)
+    S.run_to_parquet(S.escalation_stream(stream, DQ.feature_columns(), DQ.log_profile(spark, d)), f"{base}/out", f"{base}/checkpoint")
+    back = spark.read.parquet(f"{base}/out").filter(F.col("day") >= F.lit(roles.WINDOW_CUT).cast("timestamp"))
+    return stable_doubles(back.select(_ntz("day"), "n_significant", "refusal_rate", "trailing_rate", "refusal_alert", "alert"))
+
+
 @register("stream_score")
 def stream_score(spark, d):
     """A stream of application records validated and scored per micro-batch; rejects and

@@ -16,7 +16,7 @@ from ledgerlens.operators import trees as T
 from ledgerlens.operators.sampling import sql_hash_key, stratified_folds
 from ledgerlens.plans import feature_sql as FS
 from ledgerlens.plans.contract_queries import feature_names
-from ledgerlens.plans.drift_queries import _profile_ctes
+from ledgerlens.plans.drift_queries import profile_ctes
 from ledgerlens.plans.feature_queries import build_feature_table
 from ledgerlens.plans.registry import register
 from ledgerlens.session import materialised
@@ -200,7 +200,7 @@ def model_profile_of(rows, nodes, most: int = FOLLOWED):
 @register("model_profile", _with(
     *_ctes(), _GAINS, _TOP,
     "ref AS (SELECT id, feature, value, value AS probability FROM cells WHERE feature IN (SELECT feature FROM top WHERE rank <= 20))",
-    *_profile_ctes()) + f"""
+    *profile_ctes()) + f"""
 SELECT p.feature, list_transform(p.bounds, lambda x: {R('x')}) AS bounds, p.proportions, p.missing, {R('top.importance')} AS importance
 FROM profile p JOIN top ON p.feature = top.feature""")
 def model_profile(spark, d):

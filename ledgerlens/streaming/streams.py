@@ -109,6 +109,49 @@ def psi_stream(stream: DataFrame, features: dict, profile: DataFrame, out: str,
         raise RuntimeError(str(q.exception()))
 
 
+def escalation_stream(stream: DataFrame, features: dict, profile: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Per closed day the number of significant features, the refusal rate and the mean rate of the seven days before.
+
+    Chained stateful operators in append mode: counters per day, feature and class; the PSI inputs of a day and feature; one row
+    per day; and sliding windows of eight days, whose last day is judged by the others. The watermark closes them one after
+    the other, so the state holds the counters of open days and at most eight small rows for each open window, whatever the
+    traffic. A day without rows has no result and does not count in the mean; no day before gives a NULL mean and no refusal alert;
+    a feature without any value on a day counts as empty classes.
+    """
+    from ledgerlens.operators import drift as D
+    from ledgerlens.operators import logs as L
+
+    # the entry without a name carries the decisions of rows of any feature
+    everything = features | {"": F.lit(None)}
+    info = F.broadcast(profile.select("feature", "bounds"))                 # one row per feature
+    obs = D.observations(stream.withWatermark("occurred_at", delay), everything, ["occurred_at", "decision"])
+    place = F.when(F.col("value").isNotNull(), D.class_of(F.col("bounds"), F.col("value")))
+    counts = (obs.join(info, "feature", "left").filter("feature = '' OR bounds IS NOT NULL")
+              .groupBy(F.window("occurred_at", "1 day"), "feature", place.alias("class"))
+              .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "rejected").alias("rejected")))
+
+    per_feature = counts.groupBy("window", "feature").agg(
+        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "n"))).alias("classes"),
+        F.sum("n").alias("n"), F.sum("rejected").alias("rejected"))
+    shares = F.broadcast(profile.select("feature", "proportions"))
+    judged = per_feature.join(shares, "feature", "left").withColumn("psi", D.psi_of_classes(F.col("classes"), F.col("proportions")))
+    whole = F.col("feature") == ""
+    days = judged.groupBy("window").agg(
+        F.count_if(F.col("psi") >= L.PSI_SIGNIFICANT).alias("n_significant"),
+        F.max(F.when(whole, F.col("rejected") / F.col("n"))).alias("refusal_rate"))
+
+    seen = F.array_sort(F.collect_list(F.struct(F.col("window.start").alias("day"), "n_significant", "refusal_rate")))
+    weeks = days.groupBy(F.window(F.col("window"), "8 days", "1 day").alias("week")).agg(seen.alias("seen"))
+    last, before = F.element_at("seen", -1), F.slice("seen", 1, F.size("seen") - 1)
+    mean = F.when(F.size(before) > 0, F.aggregate(before, F.lit(0.0), lambda a, x: a + x["refusal_rate"]) / F.size(before))
+    closed = weeks.filter(last["day"] == F.col("week.end") - F.expr("INTERVAL 1 DAY")).select(
+        last["day"].alias("day"), last["n_significant"].alias("n_significant"), last["refusal_rate"].alias("refusal_rate"),
+        mean.alias("trailing_rate"))
+    gap = F.coalesce(F.abs(F.try_divide(F.col("refusal_rate") - F.col("trailing_rate"), F.col("trailing_rate"))) > L.MAX_REFUSAL_GAP,
+                     F.lit(False))
+    return closed.select("*", gap.alias("refusal_alert"), ((F.col("n_significant") >= L.MIN_SIGNIFICANT) | gap).alias("alert"))
+
+
 def score_stream(stream: DataFrame, contract: DataFrame, model, columns: list[str], out: str, checkpoint: str,
                  threshold: float) -> None:
     """Validate each micro-batch against the broadcast contract, score the records of valid

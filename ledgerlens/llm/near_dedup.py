@@ -2,16 +2,19 @@
 
 1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a signature of ``TREES`` x ``DEEP``
    minimum hashes. Texts with equal sets form a class, represented by its smallest doc_id from here on.
-2. Each tree is one sorted order of the signatures. Neighbours in the order that agree in the first
-   ``SHALLOW`` hashes are candidates; where a region of the order is dense, neighbours agree in more hashes,
-   so the depth adapts to the region. At a similarity of 0.85 two texts share no region with a probability of
-   (1 - 0.85^4)^16 < 1e-5.
+2. Each tree is one sorted order of the signatures. Neighbours whose longest common prefix has at least ``SHALLOW`` hashes
+   are candidates. The texts that share the first ``SHALLOW`` hashes of a tree are a region; a region of more than
+   ``REGION`` texts descends to the next hash, and again, until its parts are small enough or ``DEEP`` is reached.
+   At a similarity of 0.85 two texts share no region of the least depth with a probability of (1 - 0.85^4)^16 < 1e-5, and no
+   region of the full depth, if all their regions are dense, with one of (1 - 0.85^8)^16 = 0.006.
 3. Candidates whose signatures estimate less than ``threshold - SLACK`` (4 standard errors) are left out; the
    others are confirmed on the full sets, first the most similar one of each text, then those that still join
    different components.
 4. A region of three or more texts that still holds several components is completed: its texts outside the
    region's largest component are compared with all its texts, in blocks of about ``BLOCK`` x ``BLOCK``, and one
-   confirmed link between two components is returned. No neighbour or region is capped.
+   confirmed link between two components is returned. In a block only texts that share one of their rarest shingles can be
+   linked, so texts that share a template are not compared pair by pair. No neighbour or region is capped: one that is
+   still large at full depth is split into more blocks.
 
 Defined cases: words are runs of characters that are not blank (space, tab to carriage return), A-Z
 lower-cased; fewer than five words are one shingle; a text without words, or NULL, has an empty set and is linked
@@ -36,7 +39,7 @@ from ledgerlens.session import materialised
 WORDS = 5
 TREES, DEEP, SHALLOW = 16, 8, 4
 SLACK = 0.13
-BLOCK = 256
+BLOCK, REGION = 256, 1024
 _BYTES = 2                                    # kept of each minimum hash
 
 _rng = np.random.default_rng(20240229)
@@ -151,17 +154,38 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         compare, "a long, b long, likeness double")
 
 
+def _prefix(path, hashes):
+    return F.substring(path, F.lit(1), F.lit(_BYTES) * hashes)
+
+
 def forest_neighbours(classes: DataFrame) -> DataFrame:
-    """(tree, prefix, a, b): neighbours in the sorted order of each tree that share the first hashes."""
+    """(tree, a, path_a, b, path_b, lcp): neighbours in the sorted order of each tree with a longest common prefix of at least
+    ``SHALLOW`` hashes."""
     width = DEEP * _BYTES
     paths = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
         t.alias("tree"), F.substring("sign", t * width + 1, F.lit(width)).alias("path")))
     rows = classes.select("id", F.explode(paths).alias("p")).select("id", "p.tree", "p.path")
     rows = rows.withColumn("here", F.struct("path", "id"))
-    sorted_rows = with_previous(rows, ["path", "id"], "here", "before", ["tree"])
-    prefix = lambda c: F.substring(c, 1, SHALLOW * _BYTES)
-    return sorted_rows.filter(prefix(F.col("before.path")) == prefix(F.col("path"))).select(
-        "tree", prefix(F.col("path")).alias("prefix"), F.col("before.id").alias("a"), F.col("id").alias("b"))
+    near = with_previous(rows, ["path", "id"], "here", "before", ["tree"]).filter("before IS NOT NULL")
+    near = near.select("tree", F.col("before.id").alias("a"), F.col("before.path").alias("path_a"),
+                       F.col("id").alias("b"), F.col("path").alias("path_b"))
+    agree = [F.when(_prefix("path_a", F.lit(d)) == _prefix("path_b", F.lit(d)), d) for d in range(SHALLOW, DEEP + 1)]
+    return near.withColumn("lcp", F.greatest(*agree)).filter("lcp IS NOT NULL")
+
+
+def region_members(near: DataFrame) -> DataFrame:
+    """(tree, prefix, id): the texts with a neighbour, each in the region of its tree whose depth fits its density."""
+    side = lambda c: F.struct(F.col(c).alias("id"), F.col(f"path_{c}").alias("path"))
+    members = materialised(near.select("tree", F.explode(F.array(side("a"), side("b"))).alias("m"))
+                           .select("tree", "m.id", "m.path").distinct(), "members")
+    # of each depth, the regions that are too large to stay: their parts are told from the others by a join on few rows
+    depth = F.lit(SHALLOW)
+    for d in range(SHALLOW, DEEP):
+        large = (members.groupBy("tree", _prefix("path", F.lit(d)).alias("prefix")).agg(F.count("id").alias("n"))
+                 .filter(F.col("n") > REGION).select(F.col("tree").alias(f"t{d}"), F.col("prefix").alias(f"p{d}")))
+        members = members.join(large, (F.col("tree") == F.col(f"t{d}")) & (_prefix("path", F.lit(d)) == F.col(f"p{d}")), "left")
+        depth = depth + F.col(f"p{d}").isNotNull().cast("int")
+    return members.select("tree", _prefix("path", depth).alias("prefix"), "id")
 
 
 def _component_of(rows: DataFrame, known: DataFrame, key: str, out: str) -> DataFrame:
@@ -181,6 +205,27 @@ def open_regions(members: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(regions, ["tree", "prefix"])
 
 
+def _share_rare(sets_of: list[np.ndarray], outside: np.ndarray, percent: int) -> np.ndarray:
+    """Which texts outside (rows) and inside (columns) share one of their rarest shingles of the block. Linked texts do: each
+    lacks at most ``size - ceil(percent * size / 100)`` shingles of the other, and the rarest one of both is among as many plus one."""
+    sizes = np.array([len(x) for x in sets_of])
+    owner = np.repeat(np.arange(len(sets_of)), sizes)
+    _, which, counts = np.unique(np.concatenate(sets_of), return_inverse=True, return_counts=True)
+    order = np.lexsort((which, counts[which], owner))            # text by text, rarest first
+    which, owner = which[order], owner[order]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = place <= (sizes - -(-percent * sizes // 100))[owner]
+    which, owner = which[kept], owner[kept]
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    meets = np.zeros((len(sets_of), len(sets_of)), bool)
+    for texts in np.split(owner, np.flatnonzero(which[1:] != which[:-1]) + 1):
+        outer = outside[texts]
+        if len(texts) > 1 and outer.any() and not outer.all():
+            meets[np.ix_(texts[outer], texts[~outer])] = True
+    return meets
+
+
 def completed(region_rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between components of one region, one for every two components in a block."""
     rows = region_rows.join(classes.select("id", "sign"), "id").join(sets, "id")
@@ -194,16 +239,18 @@ def completed(region_rows: DataFrame, classes: DataFrame, sets: DataFrame, perce
 
     def compare(group: pa.Table) -> pa.Table:
         outside = np.array(group["outer"].to_pylist(), bool)
-        ids, parts, sets_of = (group[c].to_pylist() for c in ("id", "component", "set"))
+        ids, parts, blobs = (group[c].to_pylist() for c in ("id", "component", "set"))
+        sets_of = [_numbers(b) for b in blobs]
         signs = np.frombuffer(b"".join(group["sign"].to_pylist()), np.uint16).reshape(len(ids), -1)
         found: dict[tuple[int, int], tuple[int, int]] = {}
         insiders = np.flatnonzero(~outside)
+        meets = _share_rare(sets_of, outside, percent)
         for x in np.flatnonzero(outside):
-            near = insiders[(signs[insiders] == signs[x]).mean(axis=1) >= least]
+            near = insiders[meets[x, insiders]]
+            near = near[(signs[near] == signs[x]).mean(axis=1) >= least]
             for y in near:
                 between = (min(parts[x], parts[y]), max(parts[x], parts[y]))
-                if between[0] != between[1] and between not in found and \
-                        _linked(_numbers(sets_of[x]), _numbers(sets_of[y]), percent):
+                if between[0] != between[1] and between not in found and _linked(sets_of[x], sets_of[y], percent):
                     found[between] = (ids[x], ids[y])
         return pa.table({"a": pa.array([p[0] for p in found.values()], pa.int64()),
                          "b": pa.array([p[1] for p in found.values()], pa.int64())})
@@ -218,7 +265,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     linkable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialised(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("sign").alias("sign")), "classes")
     near = materialised(forest_neighbours(classes), "neighbours")
-    members = near.select("tree", "prefix", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = materialised(region_members(near), "regions-of")
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     pairs = materialised(_estimated(pairs, classes).filter(F.col("likeness") >= percent / 100 - SLACK), "pairs")
     # the texts with a neighbour

@@ -77,6 +77,40 @@ def test_large_group_of_near_copies(spread):
     check(spread, rows[::4], 80)
 
 
+def test_dense_regions_descend_and_keep_the_links(spread, monkeypatch):
+    """Texts that share a template and are not linked, among them pairs that are; regions descend from 40 texts on."""
+    monkeypatch.setattr(near_dedup, "REGION", 40)
+    rnd = random.Random(8)
+    template = words(rnd, 100)
+    rows = [(i, template + " " + words(rnd, 22)) for i in range(0, 600, 2)]
+    rows += [(i + 1, t + f" tail{i}") for i, t in rows[::5]]
+    check(spread, rows, 85)
+
+
+def test_rare_shingles_meet_in_every_linked_pair():
+    rnd = random.Random(11)
+    base = [rnd.randrange(10**6) for _ in range(60)]
+    sets = [np.unique(np.array([x if rnd.random() < p else rnd.randrange(10**6) for x in base], np.uint64))
+            for p in (0.8, 0.9, 0.95, 1.0) for _ in range(12)] + [np.array([5], np.uint64)] * 2
+    outside = np.array([i % 3 == 0 for i in range(len(sets))])
+    for percent in (50, 80, 85, 100):
+        meets = near_dedup._share_rare(sets, outside, percent)
+        linked = {(x, y) for x in np.flatnonzero(outside) for y in np.flatnonzero(~outside) if near_dedup._linked(sets[x], sets[y], percent)}
+        assert linked and all(meets[x, y] for x, y in linked)
+    assert near_dedup._share_rare(sets, outside, 85).sum() < outside.sum() * (~outside).sum()
+
+
+def test_region_depth_follows_density(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 3)
+    path = lambda *h: bytearray(b"".join(bytes([0, x]) for x in h))
+    paths = {1: path(1, 1, 1, 1, 1, 1, 1, 1), 2: path(1, 1, 1, 1, 1, 1, 1, 2), 3: path(1, 1, 1, 1, 2, 1, 1, 1), 4: path(1, 1, 1, 1, 2, 2, 2, 2),
+             5: path(2, 1, 1, 1, 1, 1, 1, 1), 6: path(2, 1, 1, 1, 3, 1, 1, 1)}
+    near = spark.createDataFrame([(0, a, paths[a], a + 1, paths[a + 1]) for a in (1, 2, 3, 5)],
+                                 "tree int, a long, path_a binary, b long, path_b binary")
+    got = {r.id: bytes(r.prefix)[1::2] for r in near_dedup.region_members(near).collect()}
+    assert got == {1: b"\1" * 5, 2: b"\1" * 5, 3: b"\1\1\1\1\2", 4: b"\1\1\1\1\2", 5: b"\2\1\1\1", 6: b"\2\1\1\1"}
+
+
 def test_blocks_find_a_link_between_any_two_components(spark):
     rnd = random.Random(6)
     base = words(rnd, 100)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NULL_MARK = "\\N"
 PROFILE_SCHEMA = ("feature string, bounds array<double>, proportions array<double>, missing double, importance double")
@@ -27,3 +28,15 @@ def write_profile(profile: DataFrame, path: str) -> None:
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROFILE_SCHEMA).json(path)
+
+
+def first_record(df: DataFrame) -> dict | None:
+    """The first row as ``{column: value}`` with None for NULL and NaN; None without rows. The order is the caller's."""
+    clean = [F.nanvl(f"`{c}`", F.lit(None).cast(t)).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
+    row = df.select(*clean).first()
+    return None if row is None else row.asDict()
+
+
+def with_request_ids(df: DataFrame, column: str = "request_id") -> DataFrame:
+    """``df`` with a random UUID in each row. Every evaluation draws new ones, so write the rows before using the ids twice."""
+    return df.withColumn(column, F.uuid())

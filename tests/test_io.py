@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.session import shared_path
+from ledgerlens.sources.files import first_record, with_request_ids
 from ledgerlens.sources.tables import scan
 
 
@@ -23,14 +24,16 @@ def test_json_profile_round_trip(spark, tmp_path):
     assert spark.read.schema(schema).json(path).collect() == prof.collect()
 
 
-def test_first_row_record_has_none_for_null(spark):
-    row = spark.createDataFrame([(1, None)], "a int, b double").first().asDict()
-    assert row == {"a": 1, "b": None}
+def test_first_record_has_none_for_null_and_nan(spark):
+    df = spark.createDataFrame([(2, None, float("nan")), (1, float("nan"), 0.5)], "a int, `b c` double, d double")
+    assert first_record(df.orderBy("a")) == {"a": 1, "b c": None, "d": 0.5}
+    assert first_record(df.orderBy(F.desc("a"))) == {"a": 2, "b c": None, "d": None}
+    assert first_record(df.filter("a > 2")) is None
 
 
 def test_uuid_per_request(spark):
-    ids = [r[0] for r in spark.range(100).select(F.uuid()).collect()]
-    assert len(set(ids)) == 100
+    ids = [r.request_id for r in with_request_ids(spark.range(100)).collect()]
+    assert len(set(ids)) == 100 and all(len(i) == 36 for i in ids)
 
 
 def test_shared_path_is_under_checkpoint_dir(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import shared_path
 from ledgerlens.sources.files import first_record, with_request_ids
-from ledgerlens.sources.tables import scan
+from ledgerlens.sources.tables import forget_schemas, scan
 
 
 def test_csv_scan_first_n(spark, smoke_dir, tmp_path):
@@ -71,3 +71,18 @@ def test_scratch_tables_are_deleted(spark):
         kept = materialised(gone.filter("id > 0"), "kept-test", scratch=False)
     names = os.listdir(base)
     assert not any(n.startswith("gone-test") for n in names) and kept.count() == 2
+
+
+def test_a_second_scan_builds_its_plan_without_a_job(spark, smoke_dir):
+    forget_schemas()
+    first = scan(spark, smoke_dir, "orders")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("second-scan", "second scan")
+    second = scan(spark, smoke_dir, "orders", ["o_orderkey"])
+    assert not tracker.getJobIdsForGroup("second-scan")
+    assert second.schema == first.select("o_orderkey").schema
+    forget_schemas()
+    scan(spark, smoke_dir, "orders")
+    assert tracker.getJobIdsForGroup("second-scan")          # the footer is read again
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert scan(spark, smoke_dir, "orders").collect() == first.collect()

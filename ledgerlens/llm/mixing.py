@@ -2,8 +2,9 @@
 
 Every source's documents are shuffled by a hash, up to ``copies`` times over; a document's virtual
 finish time is the cumulative words of its source up to its end divided by the source's target. All
-documents are range-sorted by it and the mix is cut at the total budget. A document that reaches over
-its source's target is served up to the target (finish time 1), so sources meet their targets to the word.
+documents are range-sorted by it and the queue is truncated at the total budget: words that start after it are not
+taken. A document that reaches over its source's target is two pieces, one that finishes at time 1 and one that
+finishes later, so the words that finish by time 1 are the budget (all targets, rounded down), and sources meet theirs to the word.
 
 Targets fill like water: weight times a common level, at most ``copies`` times the source's size. With
 sources sorted by the level at which they are full, the common level is the largest of
@@ -62,14 +63,18 @@ def mix_sources(docs: DataFrame, budget: int | None = None, copies: int = COPIES
     dealt = rows.withColumn("round", F.explode(F.sequence(F.lit(1), rounds.cast("int"))))
     dealt = dealt.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(seed), "round", F.col("doc_id").cast("string"))))
     queued = running_totals(dealt, ["round", "shuffled", "doc_id", "key", "nth"], ["size"], ["source"])
-    before = F.col("cum_size") - F.col("size")
-    served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - before))
-    finish = F.least(F.lit(1.0), F.try_divide(F.col("cum_size").cast("double"), F.col("target")))
-    queued = queued.select(*one, "nth", "source_size", "target", "round", "shuffled",
-                           served.alias("served"), F.coalesce(finish, F.lit(1.0)).alias("finish"))
-    mixed = running_totals(queued, ["finish", "shuffled", "doc_id", "source", "key", "nth", "round"], ["served"])
-    start = F.col("cum_served") - F.col("served")
-    taken = F.col("served") if budget is None else F.greatest(F.lit(0), F.least(F.col("served"), F.lit(budget) - start))
+    finish = F.coalesce(F.try_divide(F.col("cum_size").cast("double"), F.col("target")), F.lit(1.0))
+    early = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("cum_size") + F.col("size")))
+    pieces = F.filter(F.array(
+        F.struct(early.alias("words"), F.least(finish, F.lit(1.0)).alias("finish"), F.lit(False).alias("late")),
+        F.struct((F.col("size") - early).alias("words"), F.greatest(finish, F.lit(1.0)).alias("finish"), F.lit(True).alias("late"))),
+        lambda p: (p["words"] > 0) | ((F.col("size") == 0) & ~p["late"]))
+    queued = queued.select(*one, "nth", "source_size", "target", "round", "shuffled", F.inline(pieces))
+    mixed = running_totals(queued, ["finish", "late", "shuffled", "doc_id", "source", "key", "nth", "round"], ["words"])
+    every = targets.agg(F.sum(F.floor("target"))).first()[0] or 0
+    budget = every if budget is None else min(budget, every)
+    start = F.col("cum_words") - F.col("words")
+    taken = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget) - start))
     return mixed.select("*", taken.alias("part"), start.alias("start")).groupBy(
         *one, "nth", "source_size", "target").agg(
         F.sum("part").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("start"))).alias("mix_start")).drop("nth")

@@ -1,11 +1,11 @@
 """Personal data by candidate gradient boosting.
 
 Per kind a strict base pattern with a validity rule marks sure spans, and a loose generator proposes
-more, which may overlap them: addresses written with ``(at)``, numbers without a country code, groups
-that miss a rule. Boosted trees (MLlib) score every proposal from its format and its context. They learn
+more, which may overlap them: addresses written with ``(at)``, ip addresses with bracketed or spelled dots, card
+numbers with dots or several marks between their groups, phones without a country code, groups that miss a rule. Boosted trees (MLlib) score every proposal from its format and its context. They learn
 from a bounded sample of each kind's distinct proposals: one that lies in a valid base span of its kind is positive,
-any other negative. The features leave out the marks that only the base patterns know (``@``, ``+``), so a proposal
-without them can look like a positive one. A threshold per kind is calibrated on all proposals that are not in the
+any other negative. The features leave out the marks that only the base patterns know (``@``, ``+``, plain dots, single
+separators), so a proposal without them can look like a positive one. A threshold per kind is calibrated on all proposals that are not in the
 sample (at least about half of them): the score that ``RECALL`` of the kind's positive proposals reach, if at least ``PRECISION`` of all that
 reach it are positive (the rest are unmarked spans or errors), else none. Proposals over it that overlap no
 base span are added; base spans always stay.
@@ -46,17 +46,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Loose generators; ip and card propose what their own rule rejects.
+_DOT = r"\x20?(?:[.,]|\[\.\]|\(\.\)|\[dot\]|\(dot\)|(?<=\x20)dot(?=\x20))\x20?"
+# Loose generators; ip and card also propose what their own base rule rejects.
 LOOSE = {
     "email": _LOCAL + r"\x20?(?:@|\(at\)|\[at\])\x20?" + _DOMAIN,
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:" + _DOT + r"[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,3}[0-9]){15,18}+(?![0-9])",
     "phone": r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{2,4}[\x20.-][0-9]{3,5}(?![0-9])",
 }
 # Per (kind, strict), what every match of the pattern holds: a text without it has none, and the pattern is not run.
-MARKS = {("email", True): "@", ("email", False): r"@|\(at\)|\[at\]", ("phone", True): r"\+[0-9]", ("phone", False): "[0-9][0-9]"}
+MARKS = {("email", True): "@", ("email", False): r"@|\(at\)|\[at\]",
+         ("ip", False): r"[0-9]\x20?[.,\[(d]", ("card", False): r"[0-9][\x20._/-]{0,3}[0-9]", ("phone", True): r"\+[0-9]", ("phone", False): "[0-9][0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _HINTS = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|pay|account",
           "phone": "phone|tel|call|fax|mobile"}
-FEATURES = ("kind", "length", "digits", "letters", "marks", "groups", "longest", "luhn", "hint",
+FEATURES = ("kind", "length", "digits", "letters", "marks", "groups", "longest", "luhn", "octets", "hint",
             "before_letter", "after_letter", "before_digit", "after_digit")
 
 
@@ -112,8 +116,12 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_features(spans: DataFrame) -> DataFrame:
-    """Format and context features, as numbers; ``@``, ``(at)`` and ``+`` count as no character of the format."""
-    bare = F.regexp_replace("match", r"\x20?(?:@|\(at\)|\[at\])\x20?|\+", "")
+    """Format and context features, as numbers; ``@``, ``(at)`` and ``+`` count as no character of the format, any dot of an
+    ip address and any marks between the digits of a card as one."""
+    of = F.col("kind")
+    bare = (F.when(of == "ip", F.regexp_replace("match", "[^0-9]+", "."))
+            .when(of == "card", F.regexp_replace("match", r"[\x20._/-]+", " "))
+            .otherwise(F.regexp_replace("match", r"\x20?(?:@|\(at\)|\[at\])\x20?|\+", "")))
     count = lambda p: F.regexp_count(bare, F.lit(p))
     hint = F.lit(False)
     for kind, words in _HINTS.items():
@@ -123,7 +131,8 @@ def with_features(spans: DataFrame) -> DataFrame:
         "kind": F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "length": F.char_length(bare),
         "digits": count("[0-9]"), "letters": count("[A-Za-z]"), "marks": count("[^0-9A-Za-z]"),
         "groups": F.size(groups), "longest": F.array_max(F.transform(groups, lambda g: F.length(g))),
-        "luhn": (F.col("kind") == "card") & passes_luhn(F.col("match")), "hint": hint,
+        "luhn": (F.col("kind") == "card") & passes_luhn(F.col("match")),
+        "octets": (F.col("kind") == "ip") & is_valid(F.lit("ip"), bare), "hint": hint,
         "before_letter": F.col("before").rlike("[A-Za-z]$"), "after_letter": F.col("after").rlike("[A-Za-z]"),
         "before_digit": F.col("before").rlike("[0-9]$"), "after_digit": F.col("after").rlike("[0-9]")}
     return spans.withColumns({f"f_{k}": v.cast("double") for k, v in made.items()})

@@ -85,6 +85,16 @@ def test_mix_of_a_smaller_budget_is_a_prefix(spread):
     assert sum(r.n for r in cut) == 1500
     by = {r.source: r.n for r in cut}
     assert abs(by["s1"] / by["s0"] - 2) < 0.1            # weights 1 and 2
+    order = "doc_id", "taken", "mix_start"
+    assert sorted(mix_sources(docs, budget=10**9).select(*order).collect()) == sorted(mix_sources(docs).select(*order).collect())
+
+
+def test_the_queue_is_truncated_inside_a_document(spread):
+    """Two sources of one long document each: the total budget ends inside both, at their targets."""
+    docs = spread.createDataFrame([(1, "a", "w " * 1000), (2, "b", "w " * 1001)], "doc_id long, source string, text string")
+    got = {r.source: r for r in mix_sources(docs).collect()}
+    assert {s: (r.taken, r.target) for s, r in got.items()} == {"a": (667, 667.0), "b": (1334, 1334.0)}
+    assert sum(r.taken for r in mix_sources(docs, budget=100).collect()) == 100
 
 
 def test_mix_odd_rows(spark, no_docs):
@@ -190,6 +200,49 @@ def test_boosted_proposals_add_spans_like_the_learned_ones(spark):
     assert added <= {i for i in range(0, 600, 10)} and len(added) > 30
 
 
+def _card(rnd):
+    d = [rnd.randint(0, 9) for _ in range(15)]
+    return next(n for n in ("".join(map(str, d)) + str(k) for k in range(10)) if _luhn(n))
+
+
+def test_disguised_ip_addresses_and_cards_are_proposed_and_added(spark):
+    rnd, rows, want = random.Random(11), [], {}
+    for i in range(600):
+        ip, n = [str(rnd.randint(1, 255)) for _ in range(4)], _card(rnd)
+        four, wrong = [n[k:k + 4] for k in range(0, 16, 4)], str(rnd.randint(300, 999))
+        dot, gap = (rnd.choice(["[.]", " . ", " dot ", "(dot)"]), rnd.choice([".", " - ", "/"])) if i % 10 == 0 else (".", " ")
+        head = f"{words(rnd, 3)} server "
+        mid = f" {words(rnd, 3)} card "
+        tail = f" {words(rnd, 2)} {wrong}[.]{wrong}[.]0[.]1 and {rnd.randint(10**14, 10**15)}.7.7"     # octets over 255, a failed rule
+        shown, number = dot.join(ip), gap.join(four)
+        text = head + shown + mid + number + tail
+        rows.append((i, text))
+        if i % 10 == 0:
+            at = len(head + shown + mid)
+            want[i] = {f"ip:{len(head)}:{len(head + shown)}", f"card:{at}:{at + len(number)}"}
+    got = {r.doc_id: r for r in digest_spans(detect(spark.createDataFrame(rows, "doc_id long, text string"), sample=3000)).collect()}
+    for i, text in rows:
+        base = _base(text)
+        assert (got[i].n_ip, got[i].n_card) == (sum(k == "ip" for k, _, _ in base), sum(k == "card" for k, _, _ in base))
+    found = sum(len(w & set(got[i].spans.split(","))) for i, w in want.items())
+    assert found > 0.8 * sum(map(len, want.values()))
+    clean = [i for i in got if i not in want]
+    wild = sum(len(set(got[i].spans.split(",")) - {f"{k}:{a}:{b}" for k, a, b in _base(rows[i][1])}) for i in clean)
+    assert wild < 0.1 * len(clean)
+
+
+def test_loose_generators_take_linear_time(spark):
+    texts = ["1 " * 20000, "1." * 20000, "1 dot " * 8000, "12345678901234567890" * 2000, "1 . " * 8000, "1   " * 8000]
+    rows, spans = find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rows.count() == len(texts) and spans.count() > 0
+
+
+def test_found_spans_are_redacted(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.c or 1.2.3.4!"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    rows = docs.join(detect(docs), "doc_id").select("doc_id", redact(F.coalesce("text", F.lit("")), F.col("found")).alias("text"))
+    assert dict(rows.collect()) == {1: "mail [email] or [ip]!", 2: "nothing", 3: ""}
+
+
 def _rare_phones(rnd):
     """Phones, every tenth unmarked, beside 150 times as many e-mails, half of them copies of one text."""
     for i in range(100):

@@ -38,7 +38,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = without_repeated_lines(docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

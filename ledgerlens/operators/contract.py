@@ -117,11 +117,12 @@ def validate(records: DataFrame, contract: DataFrame) -> DataFrame:
     return entry_verdicts(records.select(*KEYS, F.explode_outer(F.col("features")).alias("name", "value")), contract)
 
 
-def entry_verdicts(ent: DataFrame, contract: DataFrame, kind: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+def entry_verdicts(ent: DataFrame, contract: DataFrame, kind: str | None = None) -> DataFrame:
     """The verdict of every record from its entries (``KEYS``, name, value); a record without any has one NULL entry.
 
     ``kind``: a column with the type of the entry's value. Other kinds than ``number`` and ``null`` reject the record first
-    (``unreadable`` before ``type``). ``carried``: columns of the record, equal in all its entries, that pass to the result.
+    (``unreadable`` before ``type``). The reason depends on counts alone, so a query that takes no message sorts and keeps no
+    entry: its aggregate has a few numbers per record.
     """
     sizes = scalar_fields(contract.agg(F.count_if(F.col("origin") == "application").alias("_na"),
                                        F.count_if(F.col("origin") == "history").alias("_nh")))
@@ -142,15 +143,15 @@ def entry_verdicts(ent: DataFrame, contract: DataFrame, kind: str | None = None,
         F.count_if(F.isnan(value) | (F.abs(value) == F.lit(float("inf")))).alias("n_non_finite"),
         F.array_sort(F.collect_list(F.when(wrong_kind, F.concat(
             F.coalesce(name, F.lit("payload")), F.lit(" is "), F.col(kind) if kind else F.lit(""))))).alias("mistyped"),
-        F.count_if(wrong_kind & name.isNull()).alias("_unreadable"),
-        *[F.any_value(c).alias(c) for c in carried])
+        F.count_if(wrong_kind & name.isNull()).alias("_unreadable"), F.count_if(wrong_kind).alias("_mistyped"),
+        F.count_if(name.isNotNull() & ~known).alias("_unknown"), F.count_if(bad).alias("_problems"))
     na, nh = sizes["_na"], sizes["_nh"]
     application_ratio = F.col("_app") / na
     reason = (F.when(F.col("_unreadable") > 0, "unreadable")
-              .when(F.size("mistyped") > 0, "type")
+              .when(F.col("_mistyped") > 0, "type")
               .when(F.col("n_non_finite") > 0, "non_finite")
-              .when(F.size("unknown") > 0, "unknown")
-              .when(F.size("problems") > 0, "range")
+              .when(F.col("_unknown") > 0, "unknown")
+              .when(F.col("_problems") > 0, "range")
               .when(application_ratio < MIN_APPLICATION_COVERAGE, "coverage"))
     counted = lambda names, what, between: F.concat(
         F.size(names).cast("string"), F.lit(f" {what}: "), bounded_list(F.col(names), between=between))
@@ -162,7 +163,7 @@ def entry_verdicts(ent: DataFrame, contract: DataFrame, kind: str | None = None,
                .when(reason == "non_finite", F.lit("non-finite values"))
                .when(reason == "type", counted("mistyped", "value(s) not a number or null", "; "))
                .when(reason == "unreadable", F.lit("payload is not a JSON object")))
-    return agg.select(*KEYS, *carried,
+    return agg.select(*KEYS,
                       (F.col("_app") + F.col("_hist")).cast("int").alias("provided"),
                       (na + nh - F.col("_app") - F.col("_hist")).cast("int").alias("missing"),
                       application_ratio.alias("application_ratio"), (F.col("_hist") / nh).alias("history_ratio"),

@@ -56,3 +56,16 @@ def test_prediction_records(spark):
     assert got["two", 1].probability == 1 / (1 + math.exp(2)) and got["two", 1].decision == "accepted"     # missing goes right
     # the score of a record equals that of the row of its values
     assert got["two", 0].history_ratio == 1.0 and got["one", 0].latency_ms == 30.0
+
+
+def test_texts_do_not_go_with_the_entries(spark):
+    """The reason depends on counts: no list of entries and no payload passes the aggregate of the entries."""
+    out = P.payload_verdicts(requests(spark, ['{"DAYS_BIRTH": 5}', "{}"]), C.contract_table(spark, NAMES), ("payload",))
+    plan = out.select("request_id", "reject_reason", "payload")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    above = plan[:plan.index("Generate variant_explode")].splitlines()
+    assert "payload" not in [line for line in above if "Aggregate" in line][-1]
+    twice = requests(spark, ['{"AMT_CREDIT": 1, "DAYS_BIRTH": -1}']).unionByName(requests(spark, ['{"AMT_CREDIT": 1, "DAYS_BIRTH": -1}']))
+    twice = twice.unionByName(twice.withColumn("request_id", F.lit(None).cast("string")))
+    rows = P.payload_verdicts(twice, C.contract_table(spark, NAMES), ("payload",)).collect()
+    assert sorted((str(r.request_id), r.payload) for r in rows) == [(k, '{"AMT_CREDIT": 1, "DAYS_BIRTH": -1}') for k in ("None", "r0")]

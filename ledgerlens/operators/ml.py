@@ -76,11 +76,17 @@ def _indicators(cols: list[str], out: str) -> list:
             VectorAssembler(inputCols=[f"{c}__na" for c in cols], outputCol=out)]
 
 
-def pipeline(cols: list[str], estimator, scale: bool = False, indicators: list[str] | tuple = ()) -> Pipeline:
+def imputer(cols: list[str]) -> Imputer:
+    """Medians of ``cols``, filled in as ``{c}__imp``."""
+    return Imputer(inputCols=cols, outputCols=[f"{c}__imp" for c in cols], strategy="median", relativeError=0.001)
+
+
+def pipeline(cols: list[str], estimator, scale: bool = False, indicators: list[str] | tuple = (), medians=None) -> Pipeline:
     """Median imputation, assembly, the estimator. ``indicators``: columns whose missingness is a feature of its own, after the
-    imputed values (never scaled, so that the vectors stay sparse there); see ``columns_with_missing``."""
+    imputed values (never scaled, so that the vectors stay sparse there); see ``columns_with_missing``. ``medians``: an
+    ``imputer`` that is fitted on the same rows already, for several fits on them."""
     imputed = [f"{c}__imp" for c in cols]
-    stages = [Imputer(inputCols=cols, outputCols=imputed, strategy="median", relativeError=0.001)]
+    stages = [medians or imputer(cols)]
     values = "values" if indicators else "features"
     stages.append(VectorAssembler(inputCols=imputed, outputCol="raw" if scale else values, handleInvalid="keep"))
     if scale:

@@ -53,10 +53,11 @@ def baseline_models(spark, d):
     fit_rows = train.filter(F.col("fold") != VALIDATION_FOLD)
     held = train.filter(F.col("fold") == VALIDATION_FOLD)
     absent = M.columns_with_missing(fit_rows, cols)
+    medians = M.imputer(cols).fit(fit_rows)             # of the same rows in all four fits
     out = None
     for name, est, scale in (("logistic", M.logistic(), True), ("random_forest", M.forest(), False)):
         for indicators in ([], absent):
-            scored = M.positive_probability(M.pipeline(cols, est, scale, indicators).fit(fit_rows).transform(held))
+            scored = M.positive_probability(M.pipeline(cols, est, scale, indicators, medians).fit(fit_rows).transform(held))
             auc = E.auc_rank(scored.select(F.col(M.LABEL).cast("int").alias("y"), "p"))
             row = auc.select(F.lit(name).alias("model"), F.lit(len(indicators)).alias("n_indicators"), "auc",
                              (F.col("n_pos") + F.col("n_neg")).alias("n_eval"))
@@ -157,7 +158,7 @@ def permutation_importance(spark, d):
 @register("score_batch")
 def score_batch(spark, d):
     """Fit on the labelled rows, score every feature row (train and test), decide at 0.1."""
-    ft = build_feature_table(spark, d)
+    ft = materialised(build_feature_table(spark, d), "features")          # fitted on and scored: built once
     train, cols = M.training_table(ft, KEY, TARGET)
     model = M.pipeline(cols, M.logistic(), scale=True).fit(train)
     rows = ft.select(F.col(KEY).alias("id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])

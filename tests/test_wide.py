@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import ml as M
 from ledgerlens.plans import features as FT
 from ledgerlens.plans import ml_queries, quality_queries
 
@@ -29,3 +30,20 @@ def test_gaps_are_written_once(spark, monkeypatch):
     out = quality_queries.missing_correlation(spark, "nowhere")
     assert out.inputFiles() and all("/gaps-" in f for f in out.inputFiles())
     assert [(r.col_a, r.col_b, r["corr"]) for r in out.collect()] == [("a", "b", 0.0)]
+
+
+def test_score_batch_builds_the_features_once(spark, monkeypatch):
+    rows = [(k, k % 2 if k < 16 else None, float(k), None if k % 5 == 0 else float(k % 2)) for k in range(20)]
+    table = spark.createDataFrame(rows, "SK_ID_CURR int, TARGET int, a double, b double")
+    monkeypatch.setattr(ml_queries, "build_feature_table", lambda spark, d: table)
+    out = ml_queries.score_batch(spark, "nowhere")
+    assert out.inputFiles() and all("/features-" in f for f in out.inputFiles())
+    assert sorted(r.id for r in out.collect()) == list(range(20))
+
+
+def test_medians_serve_several_fits(spark):
+    rows = [(k, float(k % 2), 1.0, None if k % 5 == 0 else float(k % 7)) for k in range(20)]
+    train = spark.createDataFrame(rows, f"id int, {M.LABEL} double, {M.WEIGHT} double, a double")
+    scores = lambda p: [r.p for r in M.positive_probability(p.fit(train).transform(train)).orderBy("id").collect()]
+    medians = M.imputer(["a"]).fit(train)
+    assert scores(M.pipeline(["a"], M.logistic(), True, ["a"], medians)) == scores(M.pipeline(["a"], M.logistic(), True, ["a"]))

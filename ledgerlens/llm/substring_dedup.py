@@ -10,11 +10,12 @@ places, so two documents that share a string share the suffix at its anchor; abo
    anchor that a third of all documents have is spread over many partitions. In the sorted partitions a suffix lives on
    if a neighbour of another document has the same lead; the rows at a partition's ends always do.
 2. The living suffixes are range-partitioned again, now with the strings around them
-   (all strings whose anchor they are, at most ``2 * LENGTH - LEAD`` bytes). A partition sorts its strings by
+   (all strings whose anchor they are, at most ``2 * LENGTH - LEAD`` bytes). The splitters come from a bounded number of
+   the texts, so that all texts are not searched a second time for Spark's sample. A partition sorts its strings by
    multikey quicksort (8 bytes at a time, only what is still tied goes on) and removes those that are equal to one of a
    smaller document.
 3. The first and the last lead of a partition may go on in its neighbours. What is left of their strings, each once in
-   the smallest document of the partition, is compared across these boundaries: grouped by the string and joined back.
+   the smallest document of the partition, is compared across these boundaries with the smallest document of its string.
 
 Only what is repeated is moved with its bytes. Copies of a whole text are found by their hash before all this; all but the
 smallest doc_id lose everything (if they have ``LENGTH`` bytes) and take no further part.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.near_dedup import mixed
@@ -44,6 +45,8 @@ LEAD = 20
 _CHUNK = 1 << 20                      # places that one step looks at
 BROADCAST_COPIES = 4_000_000          # ids of 8 bytes; more are joined by a shuffle
 _RUNS = 20_000                        # suffixes that are sorted at once, at least
+_BATCH = 1 << 22                      # bytes of strings that are handed on at once, at least
+_SAMPLE = 100                         # living suffixes that are sampled for each partition's splitter, about
 
 _BYTE_HASH = np.random.default_rng(50).integers(1, 2**63, 256, np.uint64)
 _STEP = 0x9E3779B97F4A7C15
@@ -129,19 +132,64 @@ def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+_AROUND = "lead long, doc long, first long, around binary"
+
+
 def _strings_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lead, doc, first, around): for every living anchor the bytes from its first string to the end of its last."""
     for batch in batches:
+        held, docs, strings, size = [], [], [], 0
         for doc, text, alive in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["leads"].to_pylist()):
             raw = text.encode("utf-8", "surrogatepass")
             lead, first, last = anchors(np.frombuffer(raw, np.uint8))
             keep = np.isin(lead.view(np.int64), np.array(alive, np.int64))
             lead, first, last = lead[keep].view(np.int64), first[keep], last[keep]
             if len(lead):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead), pa.array(np.full(len(lead), doc)), pa.array(first),
-                     pa.array([raw[a:b + LENGTH] for a, b in zip(first.tolist(), last.tolist())], pa.binary())],
-                    ["lead", "doc", "first", "around"])
+                held.append((lead, first))
+                docs.append(np.full(len(lead), doc))
+                strings += [raw[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist())]
+                size += int((last - first).sum()) + LENGTH * len(lead)
+            if size >= _BATCH:
+                yield _suffixes(held, docs, strings)
+                held, docs, strings, size = [], [], [], 0
+        if held:
+            yield _suffixes(held, docs, strings)
+
+
+def _suffixes(held: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray], strings: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([lead for lead, _ in held])), pa.array(np.concatenate(docs)),
+         pa.array(np.concatenate([first for _, first in held])), pa.array(strings, pa.binary())],
+        ["lead", "doc", "first", "around"])
+
+
+def splitters(living: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """At most ``parts - 1`` sorted (lead, doc) that cut the living suffixes of ``living`` (doc, text, leads) into ranges of about
+    one size. Some texts, picked by a hash, are searched, so that a lead counts as often as a text repeats it; of what they
+    have, about ``_SAMPLE`` suffixes for each range are read."""
+    wanted = parts * _SAMPLE
+    total = living.agg(F.sum(F.size("leads"))).first()[0] or 0
+    one_in = max(1, total // (3 * wanted))
+    some = living.filter(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0).mapInArrow(_strings_around, _AROUND)
+    picked = some.filter(F.pmod(F.xxhash64("lead", "doc", "first"), F.lit(max(1, total // one_in // wanted))) == 0)
+    sample = sorted((r.lead, r.doc) for r in picked.select("lead", "doc").collect())     # some hundred numbers for each partition
+    return sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+
+
+def _placed(cuts: list[tuple[int, int]]):
+    """The strings around living anchors with ``part``, the number of ``cuts`` at or before their (lead, doc)."""
+    leads, docs = (np.array([c[k] for c in cuts], np.int64) for k in (0, 1))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _strings_around(batches):
+            lead, doc = batch["lead"].to_numpy(), batch["doc"].to_numpy()
+            part, upto = np.searchsorted(leads, lead, "left"), np.searchsorted(leads, lead, "right")
+            for value in np.unique(lead[upto > part]):                 # leads that go on over a cut: few
+                at = np.flatnonzero(lead == value)
+                a, b = int(part[at[0]]), int(upto[at[0]])
+                part[at] = a + np.searchsorted(docs[a:b], doc[at], "right")
+            yield batch.append_column("part", pa.array(part.astype(np.int32)))
+    return place
 
 
 def multikey_order(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,14 +321,15 @@ def _cut_texts(texts: DataFrame) -> DataFrame:
     # the texts with a living suffix, once; what follows reads them from here
     living = materialised(texts.join(alive, "doc").dropDuplicates(["doc"]), "texts")
     release_shuffles(texts.sparkSession)
-    around = living.mapInArrow(_strings_around, "lead long, doc long, first long, around binary")
-    spread = around.repartitionByRange("lead", "doc").sortWithinPartitions("lead", "doc")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    around = living.mapInArrow(_placed(splitters(living, parts)), f"{_AROUND}, part int")
+    spread = around.repartitionById(parts, "part").drop("part").sortWithinPartitions("lead", "doc")
     compared = materialised(spread.mapInArrow(_compared, _FOUND), "ranges")
     release_shuffles(texts.sparkSession)
     inside = compared.filter("string IS NULL").select("doc", "begin", "end")
-    across = compared.filter("string IS NOT NULL")
-    least = across.groupBy("string").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    later = across.join(least, "string").filter("doc > least").select("doc", "begin", "end")
+    # a string is open once for each partition and run of it, so a window holds no more rows than there are of these
+    least = F.min("doc").over(Window.partitionBy("string"))
+    later = compared.filter("string IS NOT NULL").withColumn("least", least).filter("doc > least").select("doc", "begin", "end")
     ranges = inside.union(later).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     cut = living.select("doc", "text").join(ranges, "doc").mapInArrow(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string")
     return materialised(cut.withColumnRenamed("doc", "cut_doc"), "cut")

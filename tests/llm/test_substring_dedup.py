@@ -82,6 +82,37 @@ def test_runs_are_sorted_whole(monkeypatch):
     assert seen[0] == seen[1] == seen[2] and seen[0]
 
 
+def test_texts_are_searched_once_for_their_strings(spread, monkeypatch):
+    """The second dealing takes its splitters from the written suffixes; strings over its cuts are compared without a join."""
+    rnd = random.Random(10)
+    hot = words(rnd, 25)
+    rows = [(i, words(rnd, 4) + " " + hot + " " + words(rnd, 4)) for i in range(60)]
+    written = []
+    keep = lambda df, name="table", scratch=True, f=substring_dedup.materialised: written.append(
+        (name, df._jdf.queryExecution().executedPlan().toString())) or f(df, name, scratch)
+    monkeypatch.setattr(substring_dedup, "materialised", keep)
+    got = remove_repeated_strings(spread.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    plans = dict(written)
+    assert "rangepartitioning" not in plans["ranges"] and "MapInArrow" in plans["ranges"]
+    assert "string#" in plans["cut"] and plans["cut"].count("Join") == 1 and "Window" in plans["cut"]
+
+
+def test_splitters_cut_a_hot_lead_by_documents(spark):
+    rnd = random.Random(12)
+    line = words(rnd, 12)
+    texts = [" ".join([line] * 9 if d % 2 else [words(rnd, 12)]) for d in range(80)]      # repeated within half of the texts
+    leads = [sorted({*substring_dedup.anchors(np.frombuffer(t.encode(), np.uint8))[0].view(np.int64).tolist()}) for t in texts]
+    living = spark.createDataFrame([(d, t, x) for d, (t, x) in enumerate(zip(texts, leads))], "doc long, text string, leads array<long>")
+    cuts = substring_dedup.splitters(living, 16)
+    assert cuts == sorted(set(cuts)) and len(cuts) > 10 and substring_dedup.splitters(living.limit(0), 16) == []
+    batches = living.toArrow().to_batches()
+    placed = pa.Table.from_batches(substring_dedup._placed(cuts)(iter(batches))).to_pylist()
+    sizes = [sum(r["part"] == p for r in placed) for p in range(16)]
+    assert sum(sizes) == len(placed) and max(sizes) < 3 * len(placed) / 16
+    assert all(r["part"] == sum(c <= (r["lead"], r["doc"]) for c in cuts) for r in placed)
+
+
 def test_hot_passage_over_many_partitions(spread):
     rnd = random.Random(8)
     hot = words(rnd, 25)

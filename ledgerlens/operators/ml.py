@@ -23,6 +23,7 @@ from ledgerlens.session import checkpointed, ensure_checkpoint_dir
 
 LABEL = "label"
 WEIGHT = "weight"
+MEDIANS_AT_ONCE = 50
 
 
 def numeric_features(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
@@ -76,9 +77,16 @@ def _indicators(cols: list[str], out: str) -> list:
             VectorAssembler(inputCols=[f"{c}__na" for c in cols], outputCol=out)]
 
 
-def imputer(cols: list[str]) -> Imputer:
-    """Medians of ``cols``, filled in as ``{c}__imp``."""
-    return Imputer(inputCols=cols, outputCols=[f"{c}__imp" for c in cols], strategy="median", relativeError=0.001)
+def imputer(cols: list[str]) -> Pipeline:
+    """Medians of ``cols``, filled in as ``{c}__imp``.
+
+    Spark spreads the values over one row per column and keeps a summary of each column in a hash map. Above 128 columns
+    (``spark.sql.objectHashAggregate.sortBased.fallbackThreshold``) a task sorts, and spills, all its values instead, so
+    each ``Imputer`` has at most ``MEDIANS_AT_ONCE`` columns.
+    """
+    parts = [cols[i:i + MEDIANS_AT_ONCE] for i in range(0, len(cols), MEDIANS_AT_ONCE)]
+    return Pipeline(stages=[Imputer(inputCols=some, outputCols=[f"{c}__imp" for c in some], strategy="median", relativeError=0.001)
+                            for some in parts])
 
 
 def pipeline(cols: list[str], estimator, scale: bool = False, indicators: list[str] | tuple = (), medians=None) -> Pipeline:

@@ -159,7 +159,7 @@ def permutation_importance(spark, d):
 def score_batch(spark, d):
     """Fit on the labelled rows, score every feature row (train and test), decide at 0.1."""
     ft = materialised(build_feature_table(spark, d), "features")          # fitted on and scored: built once
-    train, cols = M.training_table(ft, KEY, TARGET)
+    train, cols = M.training_table(ft, KEY, TARGET, stored=True)
     model = M.pipeline(cols, M.logistic(), scale=True).fit(train)
     rows = ft.select(F.col(KEY).alias("id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     scored = M.positive_probability(model.transform(rows))

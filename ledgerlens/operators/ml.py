@@ -30,20 +30,16 @@ def numeric_features(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
     return [n for n, t in df.dtypes if n not in exclude and t in ("double", "float", "int", "bigint")]
 
 
-def training_table(features: DataFrame, key: str, target: str, folds: int = 3, stored: bool = False) -> tuple[DataFrame, list[str]]:
+def training_table(features: DataFrame, key: str, target: str, folds: int = 3) -> tuple[DataFrame, list[str]]:
     """Labelled rows with double features, class-balanced weights and a stratified fold column.
 
-    The labelled projection is checkpointed first, so the feature aggregates are
-    computed once (not if the features are ``stored``, a written table); weights
-    and folds are then derived from the materialised rows and the result is
-    checkpointed for the repeated fits.
+    Weights and folds are found from keys and labels alone: of a lazy feature table Spark then leaves out the joined
+    aggregates. The features are computed once, in the pass that adds both, shuffled once and checkpointed for the repeated fits.
     """
     ensure_checkpoint_dir(features.sparkSession)
     cols = numeric_features(features, (key, target))
     lab = features.filter(F.col(target).isNotNull()).selectExpr(
         f"`{key}` AS id", f"CAST(`{target}` AS DOUBLE) AS {LABEL}", *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols])
-    if not stored:
-        lab = checkpointed(lab)
     counts = lab.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_nc"))
     total = counts.agg(F.sum("_nc")).scalar()
     weights = counts.select(LABEL, (total / (2.0 * F.col("_nc"))).alias(WEIGHT))

@@ -8,12 +8,16 @@ splits use the distributed row numbers of ``ordered.row_numbers``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordered import join_groups, row_numbers
+from ledgerlens.session import materialised
 
 SEED = 42
+RANGES = 4096           # parts of the hash keys in which the rows of a class are numbered, a power of 2
 
 
 def hash_key(id_col: str, seed: int = SEED) -> Column:
@@ -38,10 +42,22 @@ def halves(df: DataFrame, id_col: str, seed: int = SEED) -> tuple[DataFrame, Dat
 
 
 def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int = 3, seed: int = SEED) -> DataFrame:
-    """Fold = (rank of the hash key within the class - 1) mod k: classes spread evenly over folds."""
+    """Fold = (rank of the hash key within the class - 1) mod k: classes spread evenly over folds.
+
+    The keys are spread evenly, so their first bits cut a class into ``RANGES`` parts of about the same size. How many rows of
+    the class come before a part is counted from labels and ids alone (a first, narrow pass over ``df``). The rows are shuffled once,
+    to be numbered inside their part, and come out sorted by class, key and id in each partition; nothing else is written.
+    """
+    shift = 60 - int(math.log2(RANGES))
     keyed = df.withColumn("_h", hash_key(id_col, seed))
-    ranked = row_numbers(keyed, "_h", [label_col], tiebreak=[id_col])
-    return ranked.withColumn("fold", ((F.col("row_number") - 1) % k).cast("int")).drop("_h", "row_number")
+    keyed = keyed.withColumn("_range", F.coalesce(F.shiftright("_h", shift), F.lit(-1)))       # -1: no id, before all others
+    counts = keyed.groupBy(label_col, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(label_col).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = materialised(counts.select(label_col, "_range", (F.sum("_n").over(upto) - F.col("_n")).alias("_before")), "folds")
+    inside = Window.partitionBy(label_col, "_range").orderBy("_h", id_col)
+    ranked = join_groups(keyed.withColumn("_in", F.row_number().over(inside)), before, [label_col, "_range"])
+    fold = (F.col("_before") + F.col("_in") - 1) % k
+    return ranked.withColumn("fold", fold.cast("int")).drop("_h", "_range", "_in", "_before")
 
 
 def stratified_sample(df: DataFrame, label_col: str, id_col: str, size: int, seed: int = SEED) -> DataFrame:

@@ -155,18 +155,20 @@ class BusinessCostEvaluator(Evaluator):
 def param_search(train: DataFrame, cols: list[str], reg_values=(0.001, 0.01, 0.1)) -> DataFrame:
     """Grid search over the fold column with the cost evaluator; one row per candidate.
 
-    Imputation and scaling are fitted once for each fold, on its training rows only, and the assembled
-    vectors are checkpointed; the candidates then refit only the classifier.
+    Imputation and scaling are fitted once for each fold, on its training rows only; the candidates then refit only the
+    classifier. A fold's vectors are as large as the checkpointed rows, which make them again if lost: they are cached while the
+    fold is in use, not written.
     """
     folds = [r[0] for r in train.select("fold").distinct().orderBy("fold").collect()]   # a handful
     evaluator = BusinessCostEvaluator()
     costs: dict[float, list[float]] = {reg: [] for reg in reg_values}
     for k in folds:
         prep = Pipeline(stages=pipeline(cols, logistic(), scale=True).getStages()[:-1]).fit(train.filter(F.col("fold") != k))
-        vectors = checkpointed(prep.transform(train).select("id", "fold", LABEL, WEIGHT, "features"))
+        vectors = prep.transform(train).select("id", "fold", LABEL, WEIGHT, "features").persist()
         for reg in reg_values:
             model = logistic(reg=reg).fit(vectors.filter(F.col("fold") != k))
             costs[reg].append(evaluator.evaluate(model.transform(vectors.filter(F.col("fold") == k))))
+        vectors.unpersist()
     rows = [(float(reg), sum(c) / len(c)) for reg, c in costs.items()]
     best = min(rows, key=lambda r: (r[1], r[0]))
     return train.sparkSession.createDataFrame(
